@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quilate.llm import listings, percentiles, reference_map
+from quilate.llm import leaks, listings, packing, percentiles, reference_map, spam
 from quilate.session import table
 
 PS = (0.05, 0.25, 0.5, 0.75, 0.95, 0.99)
@@ -69,6 +69,31 @@ def p3_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return groups.join(sizes, "group_id", "left").select("id", "group_id", "listings", "sellers")
 
 
+def p7_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each text (or piece of a long one) with its container of 2,048 tokens."""
+    return packing.pack(table(spark, sf_dir, "documents"), "doc_id", "text")
+
+
+def p7_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Containers, tokens, unused room and fill of the packing."""
+    return packing.fill(p7_pack(spark, sf_dir))
+
+
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that hold a substantial share of an evaluation passage."""
+    return leaks.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items")).select("doc_id", "item_id")
+
+
+def p8_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same with the words of the passage that the document holds."""
+    return leaks.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
+
+
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that are keywords, links or tags rather than sentences."""
+    return spam.spam_pages(table(spark, sf_dir, "documents")).where("is_spam").select("doc_id")
+
+
 QUERIES = {
     "p1_percentiles": p1_percentiles,
     "p1_weekly_percentiles": p1_weekly_percentiles,
@@ -77,6 +102,11 @@ QUERIES = {
     "p2_found": p2_found,
     "p3_found": p3_found,
     "p3_groups": p3_groups,
+    "p7_pack": p7_pack,
+    "p7_fill": p7_fill,
+    "p8_found": p8_found,
+    "p8_spans": p8_spans,
+    "p9_found": p9_found,
 }
 
 
