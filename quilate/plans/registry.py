@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-SQL: dict = {}
+from quilate.plans import data_problems
+
+QUERIES: dict = {**data_problems.QUERIES}
+SQL: dict = {**data_problems.SQL}
