@@ -147,7 +147,8 @@ def containment_stars(classes: DataFrame, containment: float = 1.0) -> DataFrame
     weight = F.log(1 + F.col("classes") / F.col("df")) + 0.1
     weighed = tokens.join(seen, ["hard", "token"]).join(total, "hard").select("class_key", "hard", "size", F.struct(F.col("df"), "token", weight.alias("w")).alias("t"))
     ordered = weighed.groupBy("class_key", "hard", "size").agg(F.sort_array(F.collect_list("t")).alias("ts"))
-    ordered = ordered.withColumn("mass", F.aggregate("ts", F.lit(0.0), lambda a, t: a + t["w"]))
+    # Both sides of the join read the ordered sets: the cut keeps the plan, and the driver's memory, small.
+    ordered = ordered.withColumn("mass", F.aggregate("ts", F.lit(0.0), lambda a, t: a + t["w"])).checkpoint()
     # Prefix: leading tokens whose loss a containment of this size would not survive.
     slack = F.col("mass") * (1 - containment) + 1e-9
     prefix = F.expr("sequence(1, size(ts))")
@@ -158,7 +159,7 @@ def containment_stars(classes: DataFrame, containment: float = 1.0) -> DataFrame
         (F.col("in_size") > F.col("size")) & (F.col("in_size") - F.col("in_pos") >= (F.col("size") - F.col("i") + 1) * F.lit(containment) - F.lit(1e-9))
     )
     shared = F.aggregate(F.filter("ts", lambda t: F.exists("in_ts", lambda u: u["token"] == t["token"])), F.lit(0.0), lambda a, t: a + t["w"])
-    links = pairs.where(shared >= F.col("mass") * containment - 1e-9).select("class_key", "in_key", "in_size").distinct()
+    links = pairs.where(shared >= F.col("mass") * containment - 1e-9).select("class_key", "in_key").distinct().checkpoint()
     # Only centres (sets that no other set contains) gather; exactly one may.
     inner = links.select(F.col("class_key").alias("in_key")).distinct()
     stars = links.join(inner, "in_key", "left_anti").groupBy("class_key").agg(F.min("in_key").alias("centre"), F.count("*").alias("centres"))
@@ -174,9 +175,9 @@ def group_listings(df: DataFrame, reference: DataFrame, id_col: str = "id", titl
     ensure_checkpoint_dir(df.sparkSession)
     tokens = correct(title_tokens(df, id_col, title_col, seller_col, reference, entry_col).checkpoint())
     keyed = tokens.withColumn("class_key", F.when((F.size("soft") > 0) | (F.col("hard") != ""), F.concat_ws("|", F.col("hard"), "soft"))).checkpoint()
-    classes = keyed.where(F.col("class_key").isNotNull()).select("class_key", "hard", "soft").dropDuplicates(["class_key"])
+    classes = keyed.where(F.col("class_key").isNotNull()).select("class_key", "hard", "soft").dropDuplicates(["class_key"]).checkpoint()
     stars = containment_stars(classes, containment)
-    return keyed.join(stars, "class_key", "left").select("id", "seller", F.col("centre").alias("group_id"))
+    return keyed.join(stars, "class_key", "left").select("id", "seller", F.col("centre").alias("group_id")).checkpoint()
 
 
 def same_item_pairs(groups: DataFrame) -> DataFrame:
