@@ -51,11 +51,8 @@ def p5_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
     bad = units.impossible(F.col("price_usd"), F.col("usd_value"))
     readings = converted.select("id", "source", F.concat_ws("\x01", "entry", "source", "seller").alias("series"), F.col("timestamp").alias("at"), F.when(~bad, F.col("usd_value")).alias("value"), F.col("price_usd").alias("reading"), F.col("level").alias("season"), F.coalesce(bad, F.lit(True)).alias("impossible"))
     flags = anomalies.flag_readings(readings)
-    limits = readings.where("impossible").select(F.col("id").alias("row_id"))
-    joined = flags.join(limits, F.col("id") == F.col("row_id"), "left")
-    hit = F.col("row_id").isNotNull()
-    reason = F.when(hit, "impossible").when(F.col("is_spike"), "spike").when(F.col("is_stuck"), "stuck")
-    return joined.select("id", "source", "score", reason.alias("reason")).where("reason IS NOT NULL")
+    reason = F.when(F.col("is_impossible"), "impossible").when(F.col("is_spike"), "spike").when(F.col("is_stuck"), "stuck")
+    return flags.select("id", "source", "score", reason.alias("reason")).where("reason IS NOT NULL")
 
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
