@@ -180,6 +180,8 @@ def price_levels(prices: DataFrame) -> DataFrame:
 
 
 SIGMA, TAIL = 0.25, 0.005
+#: Price texts up to this number are broadcast (some 100 bytes each); more are joined by id.
+TEXTS_TO_BROADCAST = 200_000
 #: Log weights of units that the label, or the price as shown, does not name: near to it, and far.
 LABEL_OTHER, SHOWN_OTHER = (-3.0, -7.0), (-6.0, -8.0)
 
@@ -203,6 +205,9 @@ def convert_prices(prices: DataFrame, texts: DataFrame, rates: DataFrame, key: C
     shown = shown.withColumn("_unit", F.trim(F.regexp_replace("_shown", r"(?<![x\d])\d[\d.,]*", " ")))
     units = unit_priors(shown, "_unit", grammar, SHOWN_OTHER).select(F.col("unit_string").alias("_unit"), F.col("unit_prior").alias("_shown_prior"))
     shown = shown.join(units, "_unit").select("snapshot_id", "_shown_prior")
+    # Few prices have a text; a short list of them spares all prices a shuffle by id.
+    if texts.limit(TEXTS_TO_BROADCAST + 1).count() <= TEXTS_TO_BROADCAST:
+        shown = F.broadcast(shown)
     # Rates for all weeks that occur, forward then backward from the nearest recorded week.
     weeks = base.select(F.col("level_week").alias("rate_week")).where("level_week IS NOT NULL").distinct().join(rates, "rate_week", "full_outer")
     order = Window.orderBy("rate_week")  # one row a week
@@ -227,10 +232,12 @@ def convert_prices(prices: DataFrame, texts: DataFrame, rates: DataFrame, key: C
         return fit + named + seen
 
     usable = F.col("price").isNotNull() & ~F.isnan("price") & (F.col("price") > 0)
-    best = F.greatest(*(F.struct(score(c).alias("s"), F.lit(-i).alias("o"), F.lit(c).alias("c"), scale[c].alias("f")) for i, c in enumerate(UNITS)))
-    rows = rows.withColumn("_best", F.when(usable, best))
+    best = F.greatest(*(F.struct(score(c).alias("s"), F.lit(-i).alias("o"), F.lit(c).alias("unit_code"), (F.col("price") * scale[c]).alias("usd_value")) for i, c in enumerate(UNITS)))
+    none = F.struct(F.lit(None).cast("double").alias("s"), F.lit(0).alias("o"), F.lit(None).cast("string").alias("unit_code"), F.lit(None).cast("double").alias("usd_value"))
+    # A generator: what follows reads the result and never repeats its expression.
+    rows = rows.select("*", F.inline(F.array(F.when(usable, best).otherwise(none))))
     label_unit = F.when(F.col("currency") == "USD", "usd").when(F.col("currency") == "UYU", "uyu")
-    return rows.withColumn("unit_code", F.col("_best.c")).withColumn("usd_value", F.col("price") * F.col("_best.f")).withColumn("label_unit", label_unit).drop("_prior", "_best", "_label", "_label_prior", "_shown_prior", "snapshot_id", "rate_week", "level_week", "level_key")
+    return rows.withColumn("label_unit", label_unit).drop("s", "o", "_prior", "_label", "_label_prior", "_shown_prior", "snapshot_id", "rate_week", "level_week", "level_key")
 
 
 #: No goods of this kind cost less or more, in dollars.
