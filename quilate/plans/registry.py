@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quilate.plans import data_problems
+from quilate.plans import data_problems, reference_queries, reference_sql
 
-QUERIES: dict = {**data_problems.QUERIES}
-SQL: dict = {**data_problems.SQL}
+QUERIES: dict = {**reference_queries.QUERIES, **data_problems.QUERIES}
+SQL: dict = {**reference_sql.SQL, **data_problems.SQL}
