@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
 from urllib.parse import parse_qs, urlencode, urlparse, urlunparse
 
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quilate.functions import fixed_values as V
 
@@ -21,14 +21,16 @@ def canonical_url(url: str | None) -> str | None:
     return urlunparse(parts._replace(query=urlencode(query, doseq=True), fragment=""))
 
 
-_canonical_udf = F.pandas_udf(lambda s: s.map(canonical_url), "string")
-
-
 def normalize_url(url: Column) -> Column:
     """``canonical_url``; URLs without a query, parameters or escapes never reach Python's result."""
+
+    @F.pandas_udf(T.StringType())
+    def full(s: pd.Series) -> pd.Series:
+        return s.map(canonical_url)
+
     low = F.rtrim(F.lower(url), F.lit("/"))
     plain = F.regexp_replace(low, "#.*$", "")
-    return F.when(~low.rlike(r"[?;%\s]") & low.rlike("^https?://[^/]"), plain).otherwise(_canonical_udf(url))
+    return F.when(~low.rlike(r"[?;%\s]") & low.rlike("^https?://[^/]"), plain).otherwise(full(url))
 
 
 def listing_key(source: Column, item_id: Column, url: Column) -> Column:
@@ -73,7 +75,7 @@ def page_url(site: str, base: Column, page: Column) -> Column:
         return F.when(page == 1, F.concat(trimmed, F.lit("/"))).otherwise(F.concat(trimmed, F.lit(f"/{word}/"), page.cast("string"), F.lit("/")))
     if site == "pccompu":
 
-        @F.pandas_udf("string")
+        @F.pandas_udf(T.StringType())
         def with_page(b: pd.Series, p: pd.Series) -> pd.Series:
             return pd.Series([_query_page(x, y) for x, y in zip(b, p)])
 
@@ -86,6 +88,3 @@ def _query_page(base: str, page: int) -> str:
     query = {k: v[0] for k, v in parse_qs(parts.query).items()} | {"pagina": str(page)}
     return urlunparse(parts._replace(query=urlencode(query)))
 
-
-def first_not_null(columns: Sequence[Column]) -> Column:
-    return F.coalesce(*columns)

@@ -6,13 +6,13 @@ expressions; similarity is an Arrow UDF over the distinct titles that the first
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quilate.functions import fixed_values as V
 from quilate.functions.text import java, normalize_sku, normalize_title
@@ -31,18 +31,11 @@ def catalog_entries(catalog: DataFrame) -> list[str]:
     return list(dict.fromkeys(r["sku"] for r in sorted(rows, key=lambda r: (r["pos"] is None, r["pos"], r["sku"]))))
 
 
-def exact_match(normalized: Column, skus: list[str]) -> Column:
-    """The longest entry contained in the normalised title (file order on ties); NULL if none."""
-    ordered = sorted(skus, key=len, reverse=True)
-    pairs = F.array(*(F.struct(F.lit(plain_sku(s)).alias("n"), F.lit(s).alias("s")) for s in ordered))
-    return F.get(F.filter(pairs, lambda p: normalized.contains(p["n"])), F.lit(0))["s"] if ordered else F.lit(None).cast("string")
-
-
 def with_exact_match(df: DataFrame, title_col: str, catalog: DataFrame, out: str = "exact_sku") -> DataFrame:
-    """Containment in one pass of an Arrow UDF over distinct titles where the catalogue is long.
+    """``df`` with the longest entry contained in the normalised title (file order on ties); NULL if none.
 
-    A literal array of hundreds of entries makes code too large to compile; the entries are grouped
-    by their first word instead, and only groups whose word the title holds are tried.
+    A literal array of hundreds of entries makes code too large to compile; in an Arrow UDF the
+    entries are grouped by their first word, and only groups whose word the title holds are tried.
     """
     skus = catalog_entries(catalog)
     ordered = sorted(skus, key=len, reverse=True)
@@ -50,7 +43,7 @@ def with_exact_match(df: DataFrame, title_col: str, catalog: DataFrame, out: str
     for i, s in enumerate(ordered):
         groups.setdefault(plain_sku(s).split(" ")[0], []).append((i, plain_sku(s), s))
 
-    @F.pandas_udf("string")
+    @F.pandas_udf(T.StringType())
     def search(titles: pd.Series) -> pd.Series:
         def one(t):
             if t is None:
@@ -72,14 +65,17 @@ def pattern_match(title: Column, skus: list[str]) -> Column:
     if not known:
         return F.lit(None).cast("string")
     table = F.create_map(*(F.lit(x) for kv in known.items() for x in kv))
-    tries = []
-    for i, pattern in enumerate(V.MODEL_PATTERNS):
-        found = F.trim(F.upper(F.regexp_extract(title, "(?i)" + pattern, 0)))
-        rewrites = V.MODEL_REWRITES if i < len(V.MODEL_PATTERNS) - 3 else V.MODEL_REWRITES[:1]
+
+    def rewritten(found: Column, rewrites) -> Column:
         for p, r in rewrites:
             found = F.regexp_replace(found, p, java(r))
-        tries.append(F.try_element_at(table, F.when(found != "", normalize_sku(found))))
-    return F.coalesce(*tries)
+        return F.try_element_at(table, normalize_sku(found))
+
+    # One array of the finds in order; the rewrites stand once, as a function of its elements.
+    finds = [F.trim(F.upper(F.regexp_extract(title, "(?i)" + p, 0))) for p in V.MODEL_PATTERNS]
+    models = F.transform(F.array(*finds[:-3]), lambda f: F.when(f != "", rewritten(f, V.MODEL_REWRITES)))
+    disks = F.transform(F.array(*finds[-3:]), lambda f: F.when(f != "", rewritten(f, V.MODEL_REWRITES[:1])))
+    return F.get(F.filter(F.concat(models, disks), lambda s: s.isNotNull()), F.lit(0))
 
 
 def lcs_length(a: str, b: str) -> int:
@@ -110,6 +106,8 @@ def partial_ratio(a: str, b: str) -> float:
         a, b = b, a
     if not a:
         return 1.0 if not b else 0.0
+    if a in b:
+        return 1.0
     m, n = len(a), len(b)
     letters = set(a)
 
@@ -133,18 +131,52 @@ def partial_ratio(a: str, b: str) -> float:
 
 
 class FuzzyIndex:
-    """Catalogue entries with letter counts, for an upper bound of the partial ratio."""
+    """Catalogue entries with pair counts (an upper bound of the partial ratio) and letter masks.
+
+    For one text, all entries that can reach the threshold are compared with all its windows at
+    once: the bit-parallel recurrence of ``lcs_length`` on arrays of 64-bit words.
+    """
 
     def __init__(self, skus: list[str]):
         self.skus = skus
         self.plain = [plain_sku(s) for s in skus]
-        self.length = np.array([len(p) for p in self.plain])
+        self.length = np.array([len(p) for p in self.plain], dtype=np.int64)
         pairs = sorted({p[i : i + 2] for p in self.plain for i in range(len(p) - 1)})
         self.pair = {g: i for i, g in enumerate(pairs)}
         self.counts = np.zeros((len(skus), len(pairs)), dtype=np.int16)
+        self.code = {c: i for i, c in enumerate(sorted({c for p in self.plain for c in p}), 1)}
+        self.masks = np.zeros((len(skus), len(self.code) + 1), dtype=np.uint64)
         for r, p in enumerate(self.plain):
             for i in range(len(p) - 1):
                 self.counts[r, self.pair[p[i : i + 2]]] += 1
+            if len(p) < 64:
+                for i, c in enumerate(p):
+                    self.masks[r, self.code[c]] |= np.uint64(1 << i)
+
+    def ratios(self, rows: np.ndarray, text: str, starts: int | None = None, from_start: bool = True) -> np.ndarray:
+        """Best ratios of entries with the windows that begin at the first ``starts`` letters (all).
+
+        ``from_start``: the text begins here, so windows may be cut at their beginning too.
+        """
+        m = self.length[rows]
+        steps = int(m.max())
+        size, n = len(text), len(text) if starts is None else starts
+        codes = np.zeros(size + steps, dtype=np.int64)
+        codes[:size] = [self.code.get(c, 0) for c in text]
+        full = ((np.uint64(1) << m.astype(np.uint64)) - np.uint64(1))[:, None]
+        v = np.repeat(full, n, axis=1)
+        best = np.zeros(len(rows))
+        for j in range(steps):
+            mask = self.masks[rows[:, None], codes[None, j : j + n]]
+            mask[j >= m] = 0
+            u = v & mask
+            v = ((v + u) | (v - u)) & full
+            if from_start and j + 1 < steps:  # the text's first j + 1 letters as a window cut at its beginning
+                head = 2 * (m - np.bitwise_count(v[:, 0]).astype(np.int64)) / (m + j + 1)
+                best = np.where(j + 1 < m, np.maximum(best, head), best)
+        common = m[:, None] - np.bitwise_count(v).astype(np.int64)
+        width = np.minimum(m[:, None], size - np.arange(n)[None, :])
+        return np.maximum(best, (2 * common / (m[:, None] + width)).max(axis=1))
 
     def best(self, text: str, threshold: float) -> tuple[str | None, float]:
         """The entry of the highest ratio (the first on ties), if that reaches the threshold.
@@ -154,25 +186,34 @@ class FuzzyIndex:
         """
         if not self.skus:
             return None, 0.0
+        m, edge = self.length, int(self.length.max())
+        plain = (len(text) > m) & (m < 64) & (m > 0)
+        score = np.zeros(len(m))
+        # Whole windows need more of the pairs than those cut at an end of the text, which lie in its margins.
+        rows = np.flatnonzero(plain & (self._letters(text) >= threshold * m - 1e-9))
+        if len(rows):
+            score[rows] = self.ratios(rows, text)
+        cut = lambda part: plain & (2 * np.minimum(self._letters(part), m - 1) / (m + np.minimum(self._letters(part), m - 1)) >= threshold - 1e-9)
+        head, tail = text[:edge], text[-edge:]
+        rows = np.flatnonzero(cut(head))
+        if len(rows):
+            score[rows] = np.maximum(score[rows], self.ratios(rows, head, 1))
+        rows = np.flatnonzero(cut(tail))
+        if len(rows):
+            score[rows] = np.maximum(score[rows], self.ratios(rows, tail, from_start=False))
+        for i in np.flatnonzero(~plain):
+            score[i] = partial_ratio(self.plain[i], text)
+        at = int(score.argmax())
+        return (self.skus[at], float(score[at])) if score[at] >= threshold else (None, 0.0)
+
+    def _letters(self, text: str) -> np.ndarray:
+        """Upper bound of the letters in order that each entry shares with a window of the text."""
         have = np.zeros(len(self.pair), dtype=np.int16)
         for i in range(len(text) - 1):
             k = self.pair.get(text[i : i + 2])
-            if k is not None:
+            if k is not None and have[k] < 32000:
                 have[k] += 1
-        shared = np.minimum(self.counts, have).sum(axis=1)
-        m = self.length
-        most = np.minimum(m, (shared + 1 + m) / 2)  # bound of L
-        bound = np.minimum(1.0, 2 * most / (m + np.minimum(m, most)))
-        short = len(text) < m
-        bound[short] = 1.0
-        best, at = 0.0, None
-        for i in np.lexsort((np.arange(len(m)), -bound)):
-            if bound[i] < threshold - 1e-12 or bound[i] < best - 1e-12:
-                break
-            r = partial_ratio(self.plain[i], text)
-            if r > best or (r == best and at is not None and i < at):
-                best, at = r, i
-        return (self.skus[at], best) if at is not None and best >= threshold else (None, 0.0)
+        return np.minimum(self.length, (np.minimum(self.counts, have).sum(axis=1) + 1 + self.length) / 2)
 
 
 def fuzzy_match(titles: DataFrame, title_col: str, catalog: DataFrame, threshold: float = V.FUZZY_THRESHOLD) -> DataFrame:

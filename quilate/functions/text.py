@@ -8,6 +8,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quilate.functions import fixed_values as V
 
@@ -17,14 +18,20 @@ def java(replacement: str) -> str:
     return re.sub(r"\\(\d)", r"$\1", replacement)
 
 
-@F.pandas_udf("string")
-def _decomposed(s: pd.Series) -> pd.Series:
-    return s.map(lambda t: None if t is None else t if t.isascii() else "".join(c for c in unicodedata.normalize("NFKD", t) if not unicodedata.combining(c)))
+def decomposed(t: str | None) -> str | None:
+    if t is None or t.isascii():
+        return t
+    return "".join(c for c in unicodedata.normalize("NFKD", t) if not unicodedata.combining(c))
 
 
 def without_accents(c: Column) -> Column:
     """NFKD without combining marks."""
-    return _decomposed(c)
+
+    @F.pandas_udf(T.StringType())
+    def run(s: pd.Series) -> pd.Series:
+        return s.map(decomposed)
+
+    return run(c)
 
 
 def collapse(c: Column) -> Column:

@@ -203,8 +203,8 @@ def convert_prices(prices: DataFrame, texts: DataFrame, rates: DataFrame, key: C
     shown = texts.select("snapshot_id", F.col("price_text").alias("_shown")).where("_shown IS NOT NULL").dropDuplicates(["snapshot_id"])
     # The number differs in every text: the unit string is the text without it.
     shown = shown.withColumn("_unit", F.trim(F.regexp_replace("_shown", r"(?<![x\d])\d[\d.,]*", " ")))
-    units = unit_priors(shown, "_unit", grammar, SHOWN_OTHER).select(F.col("unit_string").alias("_unit"), F.col("unit_prior").alias("_shown_prior"))
-    shown = shown.join(units, "_unit").select("snapshot_id", "_shown_prior")
+    units = unit_priors(shown, "_unit", grammar, SHOWN_OTHER).select(F.col("unit_string").alias("_unit_string"), F.col("unit_prior").alias("_shown_prior"))
+    shown = shown.select("snapshot_id", "_unit")
     # Few prices have a text; a short list of them spares all prices a shuffle by id.
     if texts.limit(TEXTS_TO_BROADCAST + 1).count() <= TEXTS_TO_BROADCAST:
         shown = F.broadcast(shown)
@@ -217,6 +217,7 @@ def convert_prices(prices: DataFrame, texts: DataFrame, rates: DataFrame, key: C
         .join(filled, F.col("level_week") == F.col("rate_week"), "left")
         .join(labels, F.col("currency").eqNullSafe(F.col("_label")), "left")
         .join(shown, F.col("id") == F.col("snapshot_id"), "left")
+        .join(units, F.col("_unit") == F.col("_unit_string"), "left")
     )
     scale = {c: (F.lit(s) if root == "usd" else s / F.col("rate")) for c, (root, s) in UNITS.items()}
     # A label that says nothing leaves all plain units open.
@@ -237,7 +238,7 @@ def convert_prices(prices: DataFrame, texts: DataFrame, rates: DataFrame, key: C
     # A generator: what follows reads the result and never repeats its expression.
     rows = rows.select("*", F.inline(F.array(F.when(usable, best).otherwise(none))))
     label_unit = F.when(F.col("currency") == "USD", "usd").when(F.col("currency") == "UYU", "uyu")
-    return rows.withColumn("label_unit", label_unit).drop("s", "o", "_prior", "_label", "_label_prior", "_shown_prior", "snapshot_id", "rate_week", "level_week", "level_key")
+    return rows.withColumn("label_unit", label_unit).drop("s", "o", "_prior", "_label", "_label_prior", "_shown_prior", "_unit", "_unit_string", "snapshot_id", "rate_week", "level_week", "level_key")
 
 
 #: No goods of this kind cost less or more, in dollars.

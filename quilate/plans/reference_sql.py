@@ -32,7 +32,7 @@ SUMMARY = f"""
     {PRICES},
     cur AS (SELECT * FROM prices WHERE ts >= {AS_OF} - INTERVAL 720 HOUR QUALIFY row_number() OVER (PARTITION BY canonical_product_id ORDER BY timestamp DESC, id DESC) = 1),
     med AS (SELECT canonical_product_id, median(price_usd) AS m FROM prices GROUP BY 1),
-    summary AS (SELECT canonical_product_id, source, ts, price_usd AS current_price, round(m, 2) AS historical_median, round(CASE WHEN m <> 0 THEN (price_usd - m) / m * 100 ELSE 0 END, 1) AS pct_diff
+    summary AS (SELECT canonical_product_id, source, ts, price_usd AS current_price, round(m, 2) AS historical_median, round(CASE WHEN m <> 0 THEN (price_usd - m) / m * 100 ELSE 0 END, 1) + 0.0 AS pct_diff
                 FROM cur JOIN med USING (canonical_product_id)),
     signals AS (SELECT canonical_product_id, coalesce(category, 'Unknown') AS category, coalesce(brand_family, 'Unknown') AS brand_family, pct_diff,
                        CASE WHEN historical_median = 0 THEN 'fair' WHEN (current_price - historical_median) / historical_median * 100 <= -10 THEN 'deal'
@@ -212,7 +212,7 @@ SQL = {
     "daily_median_top5": f"WITH {TOP5} SELECT * FROM dm",
     "rolling_mean_7": f"WITH {TOP5} SELECT canonical_product_id, day, round(avg(median) OVER (PARTITION BY canonical_product_id ORDER BY day ROWS 6 PRECEDING), 6) AS rolling_mean FROM dm",
     "hist_vs_current": f"""WITH {PRICES}, x AS (SELECT canonical_product_id, median(price_usd) FILTER (ts::DATE < (SELECT max(ts)::DATE FROM prices)) AS historical, median(price_usd) FILTER (ts::DATE = (SELECT max(ts)::DATE FROM prices)) AS current FROM prices GROUP BY 1)
-        SELECT canonical_product_id, round(historical, 6) AS historical, round(current, 6) AS current, round((current - historical) / historical * 100, 1) AS delta_pct FROM x WHERE historical IS NOT NULL AND current IS NOT NULL""",
+        SELECT canonical_product_id, round(historical, 6) AS historical, round(current, 6) AS current, round((current - historical) / historical * 100, 1) + 0.0 AS delta_pct FROM x WHERE historical IS NOT NULL AND current IS NOT NULL""",
     "value_counts_condition": "SELECT condition AS value, count(*) AS n FROM raw_listings GROUP BY 1",
     "null_counts": " UNION ALL ".join(f"SELECT '{c}' AS column_name, count(*) - count({c}) AS nulls, count(*) AS rows FROM raw_listings" for c in ("item_id", "condition", "available_quantity", "base_price")),
     "outliers": "SELECT id, price FROM price_snapshots WHERE currency = 'USD' AND (price < 10 OR price > 10000)",

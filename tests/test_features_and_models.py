@@ -28,7 +28,7 @@ def test_features_gap(spark):
 
 def test_metrics_and_folds(spark):
     m = models.metrics(spark.createDataFrame([(100.0, 110.0), (200.0, 190.0)], "y double, p double"), "y", "p").first()
-    assert (m["mae"], m["rmse"], m["mape"]) == (10, 10, 7.5)
+    assert (m["mae"], m["rmse"], m["mape"]) == pytest.approx((10, 10, 7.5))
     frame = spark.createDataFrame([(f"2026-01-{i // 2 + 10}", f"p{i % 2}", float(i)) for i in range(20)], "week_start string, canonical_product_id string, v double")
     rows = models.walk_forward(models.with_bucket(frame, 4), 4).collect()
     sizes = {f: sum(r["fold"] == f and r["role"] == "train" for r in rows) for f in (1, 2, 3)}
@@ -55,7 +55,7 @@ def test_elastic_net_against_coordinate_descent(spark):
     assert np.allclose(net.coefficients, w, atol=1e-7) and net.intercept == pytest.approx(y.mean())
     got = [r["prediction"] for r in net.predict(df).collect()]
     assert np.allclose(got, z @ w + y.mean())
-    assert abs(net.importances()[0][1]) == max(abs(w))
+    assert abs(net.importances()[0][1]) == pytest.approx(max(abs(w)))
     again = models.ElasticNet.from_json(net.to_json())
     assert again.coefficients == net.coefficients
     with pytest.raises(ValueError, match="not fitted"):
