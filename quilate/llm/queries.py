@@ -123,11 +123,11 @@ def _percentile_sql(keys: str, source: str) -> str:
 
 _WEEKLY = """
     SELECT canonical_product_id, price_usd, strftime(date_trunc('week', timestamp AT TIME ZONE 'UTC'), '%Y-%m-%d') AS week_start
-    FROM price_snapshots WHERE price_usd > 0 AND NOT isnan(price_usd)
+    FROM price_snapshots WHERE price_usd > 0 AND price_usd::VARCHAR <> 'nan'
     AND strftime(date_trunc('week', timestamp AT TIME ZONE 'UTC'), '%Y-%m-%d') IN (SELECT week_start FROM feature_snapshots)
 """
 SQL = {
-    "p1_percentiles": _percentile_sql("canonical_product_id", "SELECT canonical_product_id, price_usd FROM price_snapshots WHERE price_usd > 0 AND NOT isnan(price_usd)"),
+    "p1_percentiles": _percentile_sql("canonical_product_id", "SELECT canonical_product_id, price_usd FROM price_snapshots WHERE price_usd > 0 AND price_usd::VARCHAR <> 'nan'"),
     "p1_weekly_percentiles": _percentile_sql("canonical_product_id, week_start", _WEEKLY),
     "p1_combined_days": _percentile_sql("canonical_product_id, week_start", _WEEKLY),
 }
