@@ -40,7 +40,7 @@ TRADE_WORDS = frozenset(
 ACCESSORY_KINDS = ("cooler", "pasta", "adaptador", "caja", "gabinete", "ventilador", "soporte", "fuente", "cable")
 #: Details of the goods that titles give or leave out at will. Fixed patterns.
 _DETAIL = re.compile(
-    r"(?<![a-z\d])(?:\d+(?:[.,]\d+)?[\s-]*(?:ghz|mhz|mt\s*/\s*s|w|v|threads|nucleos|meses|cuotas|mm|h)(?![a-z])|cl[\s-]*\d+|pcie(?:[\s-]*gen)?[\s-]*\d(?:\.\d)?"
+    r"(?<![a-z\d])(?:\d+(?:[.,]\d+)?[\s-]*(?:ghz|mhz|mt\s*/\s*s|w|v|threads|nucleos|meses|cuotas|mm|h)(?![a-z])|cl[\s-]*\d+|pcie(?:[\s-]*gen)?[\s-]*\d(?:\.\d)?(?!\d)"
     r"|gddr\d|socket\s*[a-z]{2}\d|m\.?2(?:\s*2280)?(?!\d)|lectura\s*\d+\s*mb/s|s/\s*cooler|pc[345][\s-]*\d{5}|pcie)"
 )
 _CAPACITY = re.compile(r"(?<![a-z\d.,])\d+(?:[.,]\d+)?[\s-]*(?:gigabytes?|gigas?|gb|g|terabytes?|teras?|tb|t|mb)(?![a-z])")
@@ -60,12 +60,11 @@ def normalise(text: str | None, matcher: ReferenceMatcher) -> tuple[str, list[st
         tokens = T.tokenize(line)
         first, last = tokens[span[0]], tokens[span[1] - 1]
         rest = f"{line[: first[1]]} {line[last[1] + len(last[0]) :]}"
-        if category == "RAM":
-            rest = re.sub(rf"(?<!\d){exact[2]}(?!\d)", " ", rest, count=1)
-        elif category == "SSD":
+        if category == "SSD":
             rest = re.sub(rf"(?<![a-z]){exact[0][:2]}[\s-]*{exact[0][2:]}(?!\d)", " ", rest)
-        rest = _DETAIL.sub(" ", rest)
-        rest = re.sub(r"(?<!g)ddr[\s-]*\d", " ", _CAPACITY.sub(" ", rest))
+        rest = re.sub(r"(?<!g)ddr[\s-]*\d", " ", _CAPACITY.sub(" ", _DETAIL.sub(" ", rest)))
+        if category == "RAM" and f"{exact[2]}" in _DETAIL.sub(" ", line):
+            rest = re.sub(rf"(?<!\d){exact[2]}(?!\d)", " ", rest, count=1)
     else:
         hard_parts = []
         no_cooler = re.sub(r"s\s*/\s*cooler", " ", line)

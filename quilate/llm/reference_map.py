@@ -112,7 +112,7 @@ class ReferenceMatcher:
     def _build(self) -> None:
         self.by_key: dict[tuple, list] = {}
         self.by_name: dict[str, set] = {}
-        self.numbers: dict[str, set] = {}
+        self.rests: dict[tuple, frozenset] = {}
         self.exact: dict[str, tuple[int, str]] = {}
         self.squeezed: dict[str, tuple[int, str]] = {}
         self.cache: dict[str, list] = {}
@@ -125,7 +125,7 @@ class ReferenceMatcher:
             category, name, rest = read
             self.by_key.setdefault((name, category, rest), []).append((pos, entry))
             self.by_name.setdefault(name, set()).add(category)
-            self.numbers.setdefault(name, set()).add(rest[0])
+            self.rests[name, category] = self.rests.get((name, category), frozenset()) | {rest}
         self.names = BKTree(list(self.by_name))
         self.whole = BKTree(list(self.squeezed))
 
@@ -145,7 +145,7 @@ class ReferenceMatcher:
                 continue
             for distance, name in self.near(word):
                 for category in self.by_name[name]:
-                    read = T.read_rest(category, text, tokens, i, frozenset(self.numbers[name]))
+                    read = T.read_rest(category, text, tokens, i, self.rests[name, category])
                     if read:
                         yield distance, category, name, read[0], read[1]
 

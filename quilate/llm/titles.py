@@ -56,17 +56,17 @@ def capacities(text: str) -> list[tuple[int, float]]:
     return found
 
 
-def memory_speed(text: str, after_name: str = "") -> int | None:
-    """Transfer rate in MT/s: as MHz, MT/s or a PC module rating, else bare after name, size or kind."""
+def memory_speed(text: str, after_name: str = "", known: frozenset = frozenset()) -> int | None:
+    """Transfer rate in MT/s: as MHz, MT/s or a PC module rating, else bare after size, kind or name.
+
+    Of two bare numbers the one among ``known`` rates counts, else the one after size or kind.
+    """
     if m := _SPEED.search(text):
         return int(m[1])
     if m := _PC.search(text):
         return int(round(int(m[1]) / 8))
-    if after_name:
-        return int(after_name)
-    if m := _BARE.search(text):
-        return int(m[1])
-    return None
+    bare = [int(m[1]) for m in _BARE.finditer(text)] + ([int(after_name)] if after_name else [])
+    return next((b for b in bare if b in known), bare[0] if bare else None)
 
 
 def _number_parts(tokens: list[tuple[str, int]], i: int, cpu: bool) -> tuple[list[str], int]:
@@ -100,16 +100,17 @@ def _skip(tokens: list[tuple[str, int]], i: int, step: int) -> int:
     return i
 
 
-def read_rest(category: str, text: str, tokens: list[tuple[str, int]], at: int, numbers: frozenset = frozenset()) -> tuple[tuple, tuple[int, int]] | None:
+def read_rest(category: str, text: str, tokens: list[tuple[str, int]], at: int, known: frozenset = frozenset()) -> tuple[tuple, tuple[int, int]] | None:
     """The exact part of the mention whose name is token ``at``; with the token span it covers.
 
-    ``numbers`` are the reference's model numbers of that name; they decide only between a number
-    before and one after the name.
+    ``known`` are the exact parts that the reference has for that name; they decide only between two
+    numbers that may both be meant (before and after a name, bare transfer rates).
     """
     n = len(tokens)
     if category == "GPU":
         j = _skip(tokens, at, 1)
-        after = j if j < n and is_number4(tokens[j][0]) else None
+        unit = tokens[j + 1][0] if j + 1 < n else ""
+        after = j if j < n and is_number4(tokens[j][0]) and unit not in ("mb", "gb", "mhz", "mt") else None
         # before: number [suffix] name
         b = _skip(tokens, at, -1)
         before = None
@@ -119,8 +120,10 @@ def read_rest(category: str, text: str, tokens: list[tuple[str, int]], at: int,
             c = _skip(tokens, b, -1)
             if c >= 0 and is_number4(tokens[c][0]):
                 before = (c, tokens[b][0])
-        if after is not None and before is not None and tokens[after][0] not in numbers and tokens[before[0]][0] in numbers:
-            after = None
+        if after is not None and before is not None:
+            numbers = {r[0] for r in known}
+            if tokens[after][0] not in numbers and tokens[before[0]][0] in numbers:
+                after = None
         if after is not None:
             parts, end = _number_parts(tokens, after, False)
             return tuple(parts), (at, end)
@@ -142,7 +145,8 @@ def read_rest(category: str, text: str, tokens: list[tuple[str, int]], at: int,
         j = at + 1
         while j < n and tokens[j][0] in ("-", "|", "_"):
             j += 1
-        speed = memory_speed(text, tokens[j][0] if j < n and is_number4(tokens[j][0]) and not (j + 1 < n and tokens[j + 1][0] == "mb") else "")
+        named = tokens[j][0] if j < n and is_number4(tokens[j][0]) and not (j + 1 < n and tokens[j + 1][0] == "mb") else ""
+        speed = memory_speed(text, named, frozenset(r[2] for r in known if r[:2] == (gen[1], caps[0])) if gen and caps else frozenset())
         if not gen or not caps or speed is None:
             return None
         return (gen[1], caps[0], speed), (at, at + 1)
