@@ -169,17 +169,19 @@ def rate_units(df: DataFrame, id_col: str, week_col: str, rate_col: str) -> Data
 
 
 def price_levels(prices: DataFrame) -> DataFrame:
-    """(``level_key``, ``level_week``, ``level``): median of price_usd per product and week, steadied over nine weeks.
+    """(``level_key``, ``level_week``, ``level``): median of price_usd per product and week, steadied over a year.
 
     The weekly median is a mergeable sketch (1 % of rank); the steadying window has one row a week.
+    It is long, because a seller may record a wrong unit for weeks, and no narrower than price
+    changes allow: units lie a factor of 2.5 or more apart.
     """
     v = F.col("price_usd")
     weekly = prices.where((v > 0) & ~F.isnan(v)).groupBy("level_key", "level_week").agg(F.percentile_approx("price_usd", 0.5, 100).alias("m"))
-    w = Window.partitionBy("level_key").orderBy("level_week").rowsBetween(-4, 4)
+    w = Window.partitionBy("level_key").orderBy("level_week").rowsBetween(-STEADY_WEEKS, STEADY_WEEKS)
     return weekly.select("level_key", "level_week", F.percentile("m", F.lit(0.5)).over(w).alias("level"))
 
 
-SIGMA, TAIL = 0.25, 0.005
+SIGMA, TAIL, STEADY_WEEKS = 0.25, 0.005, 26
 #: Price texts up to this number are broadcast (some 100 bytes each); more are joined by id.
 TEXTS_TO_BROADCAST = 200_000
 #: Log weights of units that the label, or the price as shown, does not name: near to it, and far.
