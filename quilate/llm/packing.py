@@ -1,10 +1,10 @@
 """Packing texts into containers of fixed token capacity: harmonic classes with refined bins.
 
 Lengths are partitioned at the reciprocals of the capacity (C, C/2, C/3 ...). A bin of class k
-takes exactly k documents. Classes 1 to 3 are refined at ``(C - C/j) / k``: k documents under that
-bound leave room for one document of class j, so such a bin takes k documents and one of class j.
-Every bin pattern thus is a fixed count of documents by class and needs no running fill level:
-each shard of documents (by hash of the id) fills its bins alone, from ranks within its classes.
+takes exactly k documents. Classes up to 32 are refined: k documents of at most b tokens leave room
+for C - k b, so such a bin also takes fixed counts of documents of smaller classes whose upper
+bounds fit into that room. Every bin pattern thus is a count of documents by class, settled by the
+classes' bounds: each shard of documents (by hash of the id) fills its bins alone, from ranks within its classes.
 The few documents that remain of each class in a shard go by first fit decreasing.
 
 Only (id, tokens) pairs reach the packing; a shard has a bounded number of them by its hash range.
@@ -23,6 +23,8 @@ from pyspark.sql import functions as F
 CAPACITY = 2048
 #: Classes at the reciprocals up to this one; shorter texts all belong to the last.
 CLASSES = 128
+#: Classes whose bins take partners, and how many partner classes (or refills of one) a bin may have.
+REFINED, PARTNERS = 32, 4
 #: Documents a shard holds on average.
 SHARD_DOCUMENTS = 20_000
 DEFAULT_TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
@@ -81,36 +83,29 @@ def pack_shard(sizes: np.ndarray, capacity: int = CAPACITY, classes: int = CLASS
     order = np.argsort(-sizes, kind="stable")
     queue = {k: list(order[cls[order] == k]) for k in np.unique(cls)}
     made = 0
-    for k in (1, 2, 3):
+    for k in range(1, REFINED + 1):
         if k not in queue:
             continue
-        # Refined bounds, loosest partner class first: the larger the document, the smaller its partner.
-        rest = []
-        mine = queue[k]
-        at = 0
-        while at + k <= len(mine):
+        rest, mine = [], queue[k]
+        for at in range(0, len(mine) // k * k, k):
             group = mine[at : at + k]
-            bound = int(sizes[group[0]])  # the largest; the others are no larger
-            room = capacity - k * bound
-            j = -(-capacity // room) if room > 0 else classes + 1
-            partner = next((c for c in range(max(j, k + 1), classes + 1) if queue.get(c)), None) if j <= classes else None
-            if partner is None:
-                if k == 1:
-                    bins[group[0]] = made
-                    made += 1
-                else:
-                    rest += group
-                at += k
-                continue
-            for i in group:
-                bins[i] = made
-            # As many of the partner class as its upper bound capacity/c admits: a fixed count for the pattern.
-            fixed = max(1, room * partner // capacity)
-            for _ in range(min(fixed, len(queue[partner]))):
-                bins[queue[partner].pop(0)] = made
-            made += 1
-            at += k
-        queue[k] = rest + mine[at:]
+            # The pattern: k documents of this class up to the group's largest, then fixed counts of partner classes.
+            room, partners = capacity - k * int(sizes[group[0]]), []
+            while room > 0 and len(partners) < PARTNERS:
+                c = next((c for c in range(max(-(-capacity // room), k + 1), classes) if queue.get(c)), None)
+                if c is None:
+                    break
+                count = min(room // (capacity // c), len(queue[c]))
+                if not count:
+                    break
+                partners += [queue[c].pop() for _ in range(count)]
+                room -= count * (capacity // c)
+            if partners or k == 1:
+                bins[group + partners] = made
+                made += 1
+            else:
+                rest += group
+        queue[k] = rest + mine[len(mine) // k * k :]
     left = []
     for k, mine in queue.items():
         full = len(mine) // k * k
