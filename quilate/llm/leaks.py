@@ -65,36 +65,45 @@ def words_of(text: str | None) -> list[str]:
 
 
 def suffix_array(s: np.ndarray) -> np.ndarray:
-    """Suffix array by prefix doubling; only suffixes not yet told apart are sorted again."""
+    """Suffix array by prefix doubling; only suffixes not yet told apart are sorted again.
+
+    The first sort takes as many symbols at once as fit 62 bits.
+    """
     n = len(s)
-    sa = np.argsort(s, kind="stable")
-    key = s[sa]
+    base = int(s.max()) + 2
+    h = max(1, min(n, int(62 / np.log2(base))))
+    padded = np.zeros(n + h, dtype=np.int64)
+    padded[:n] = s + 1
+    key = np.zeros(n, dtype=np.int64)
+    for k in range(h):
+        key = key * base + padded[k : k + n]
+    sa = np.argsort(key)
+    key = key[sa]
     new = np.empty(n, dtype=bool)
     new[0] = True
     new[1:] = key[1:] != key[:-1]
     starts = np.flatnonzero(new)
     rank = np.empty(n, dtype=np.int64)
     rank[sa] = np.repeat(starts, np.diff(np.append(starts, n)))
-    h = 1
+    at = np.arange(n)
     while True:
-        size = np.diff(np.append(starts, n))
-        mixed = np.repeat(size > 1, size)
-        if not mixed.any():
+        # Within what was mixed before, groups of one are done.
+        alone = new[at] & np.append(new, True)[at + 1]
+        at = at[~alone]
+        if not len(at):
             return sa
-        at = np.flatnonzero(mixed)
         pos = sa[at]
         follow = np.where(pos + h < n, rank[np.minimum(pos + h, n - 1)] + 1, 0)
-        group = rank[pos]
-        order = np.lexsort((follow, group))
+        key = rank[pos] * (n + 1) + follow
+        order = np.argsort(key)
         sa[at] = pos[order]
-        g, f = group[order], follow[order]
+        key = key[order]
         cut = np.empty(len(at), dtype=bool)
         cut[0] = True
-        cut[1:] = (g[1:] != g[:-1]) | (f[1:] != f[:-1])
+        cut[1:] = key[1:] != key[:-1]
         new[at] = cut
-        starts = np.flatnonzero(new)
-        filled = np.repeat(starts, np.diff(np.append(starts, n)))
-        rank[sa[at]] = filled[at]
+        first = np.flatnonzero(cut)
+        rank[sa[at]] = at[np.repeat(first, np.diff(np.append(first, len(at))))]
         h *= 2
 
 
@@ -252,15 +261,19 @@ def find_in_shard(docs: list[np.ndarray], passages: Passages) -> list[tuple[int,
     fresh[1:] = (doc[1:] != doc[:-1]) | (item[1:] != item[:-1]) | (diagonal[1:] != diagonal[:-1]) | (at[1:] - at[:-1] > 12)
     begin = np.flatnonzero(fresh)
     end = np.append(begin[1:], len(at)) - 1
+    # Only documents whose segments of a passage could together reach the share go on to the words.
+    span = at[end] + passages.phrase - at[begin]
+    pair = np.ones(len(begin), dtype=bool)
+    pair[1:] = (doc[begin[1:]] != doc[begin[:-1]]) | (item[begin[1:]] != item[begin[:-1]])
+    head = np.flatnonzero(pair)
+    total = np.add.reduceat(span + 12, head)
+    need_of = passages.share * np.array([len(w) for w in passages.words])
+    tail = np.append(head[1:], len(begin))
     out: dict[tuple[int, int], tuple[float, int, int]] = {}
-    segments: dict[tuple[int, int], list] = {}
-    for b, e in zip(begin, end):
-        segments.setdefault((int(doc[b]), int(item[b])), []).append((int(at[b]), int(at[e]) + passages.phrase, int(diagonal[b])))
-    for (d, i), parts in segments.items():
-        words = passages.words[i]
-        need = passages.share * len(words)
-        if sum(p[1] - p[0] for p in parts) + 12 * len(parts) < need:
-            continue
+    for g in np.flatnonzero(total >= need_of[item[begin[head]]]):
+        d, i = int(doc[begin[head[g]]]), int(item[begin[head[g]]])
+        parts = [(int(at[begin[k]]), int(at[end[k]]) + passages.phrase, int(diagonal[begin[k]])) for k in range(head[g], tail[g])]
+        words, need = passages.words[i], need_of[i]
         grown = sorted({(*passages.stretch(docs[d], words, g, f, t), g) for f, t, g in parts})
         # A word left out or put in moves the diagonal: neighbouring stretches join.
         best, run = (0.0, 0, 0), None
