@@ -88,7 +88,8 @@ def _typical(counts: np.ndarray, n: int, w: int) -> np.ndarray:
     """For each of n words the middle value of the windows that end at, surround and begin with it."""
     at = np.arange(n)
     last = n - w
-    return np.median([counts[np.clip(at - w + 1, 0, last)], counts[np.clip(at - w // 2, 0, last)], counts[np.clip(at, 0, last)]], axis=0)
+    a, b, c = counts[np.clip(at - w + 1, 0, last)], counts[np.clip(at - w // 2, 0, last)], counts[np.clip(at, 0, last)]
+    return np.maximum(np.minimum(a, b), np.minimum(np.maximum(a, b), c))
 
 
 def _shares(words: list[str]) -> tuple[np.ndarray, np.ndarray, int]:
@@ -97,16 +98,16 @@ def _shares(words: list[str]) -> tuple[np.ndarray, np.ndarray, int]:
     w = min(WINDOW, n)
     cum = np.concatenate(([0], np.cumsum([x in FUNCTION_WORDS for x in words])))
     function = _typical((cum[w:] - cum[:-w]) / w, n, w)
-    codes: dict[str, int] = {}
+    last: dict[str, int] = {}
     previous = np.empty(n, dtype=int)
-    last: dict[int, int] = {}
     for i, x in enumerate(words):
-        k = codes.setdefault(x, len(codes))
-        previous[i] = last.get(k, -1)
-        last[k] = i
+        previous[i] = last.get(x, -1)
+        last[x] = i
     w = min(ECHO_WINDOW, n)
-    seen = np.lib.stride_tricks.sliding_window_view(previous, w)
-    distinct = (seen < np.arange(n - w + 1)[:, None]).sum(axis=1) / w
+    # A word is the first of its kind in the windows that begin after its last occurrence.
+    at = np.arange(n)
+    change = np.bincount(np.maximum(previous + 1, at - w + 1).clip(0, n), minlength=n + 1) - np.bincount(at + 1, minlength=n + 1)
+    distinct = np.cumsum(change)[: n - w + 1] / w
     return function, _typical(distinct, n, w), w
 
 
