@@ -105,3 +105,6 @@ TRACKING_PARAMETERS = ("utm_source", "utm_medium", "utm_campaign", "fbclid", "gc
 
 #: Confidence of each way to match.
 EXACT_CONFIDENCE, PATTERN_CONFIDENCE, FUZZY_THRESHOLD = 1.0, 0.9, 0.8
+
+#: Marks of the signals on a display.
+SIGNAL_MARKS, UNKNOWN_MARK = {"deal": "🟢", "fair": "🟡", "expensive": "🔴"}, "⚪"

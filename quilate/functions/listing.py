@@ -62,6 +62,16 @@ def price_signal(current: Column, median: Column, threshold: float = 10.0) -> Co
     return F.when(median == 0, "fair").when(pct <= -threshold, "deal").when(pct >= threshold, "expensive").otherwise("fair")
 
 
+def signal_mark(signal: Column) -> Column:
+    """Mark of a signal for display; unknown ones get their own."""
+    marks = F.create_map(*(F.lit(x) for kv in V.SIGNAL_MARKS.items() for x in kv))
+    return F.coalesce(F.try_element_at(marks, signal), F.lit(V.UNKNOWN_MARK))
+
+
+def signal_label(signal: Column) -> Column:
+    return F.when(signal.isin(*V.SIGNAL_MARKS), F.upper(signal)).otherwise("UNKNOWN")
+
+
 def safe_float(c: Column) -> Column:
     """A double; NaN and what is no number become NULL."""
     return F.nanvl(c.try_cast("double"), F.lit(None).cast("double"))

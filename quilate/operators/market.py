@@ -66,6 +66,21 @@ def skus_by_brand(catalog: DataFrame, family: str) -> DataFrame:
     return catalog.where(F.upper(F.coalesce("brand_family", F.lit(""))) == family.upper()).select("sku").orderBy("sku")
 
 
+def scan_listings(listings: DataFrame, source: str | None = None, since=None) -> DataFrame:
+    """Listings in order of time; the conditions given reach the scan."""
+    rows = listings if source is None else listings.where(F.col("source") == source)
+    if since is not None:
+        rows = rows.where(F.col("timestamp") >= F.lit(since).cast("timestamp"))
+    return rows.orderBy("timestamp", "id")
+
+
+def least_current_price(snapshots: DataFrame, as_of, hours: int = 720) -> DataFrame:
+    """The least current price of each product against its median over all history, with the signal; none without current prices."""
+    current = current_prices(snapshots, as_of, hours).groupBy("canonical_product_id").agg(F.min("price_usd").alias("least_price"))
+    joined = current.join(historical_medians(snapshots), "canonical_product_id")
+    return joined.withColumn("signal", price_signal(F.col("least_price"), F.col("median_all")))
+
+
 def latest_listings(listings: DataFrame, limit: int, source: str | None = None) -> DataFrame:
     rows = listings if source is None else listings.where(F.col("source") == source)
     return rows.orderBy(F.desc("updated_at"), F.desc("id")).limit(limit)

@@ -67,3 +67,17 @@ def null_counts(df: DataFrame, columns: list[str]) -> DataFrame:
     """(column_name, nulls, rows) in one pass."""
     one = df.agg(F.count("*").alias("_n"), *(F.count_if(F.col(c).isNull()).alias(c) for c in columns))
     return one.select(F.explode(F.array(*(F.struct(F.lit(c).alias("column_name"), F.col(c).alias("nulls"), F.col("_n").alias("rows")) for c in columns))).alias("x")).select("x.*")
+
+
+def describe(df: DataFrame, column: str) -> DataFrame:
+    """Count, mean, deviation, extremes, quartiles and the 99th percentile of a column, in one row."""
+    c = F.col(column)
+    quantiles = F.percentile(c, F.array(*(F.lit(q) for q in (0.25, 0.5, 0.75, 0.99))))
+    one = df.agg(F.count(c).alias("n"), F.round(F.avg(c), 2).alias("mean"), F.round(F.stddev_samp(c), 2).alias("deviation"), F.min(c).alias("least"), F.max(c).alias("most"), quantiles.alias("_q"))
+    return one.select("n", "mean", "deviation", "least", "most", *(F.round(F.col("_q")[i], 2).alias(name) for i, name in enumerate(("q25", "q50", "q75", "q99"))))
+
+
+def overview(listings: DataFrame) -> DataFrame:
+    """Rows, distinct addresses and titles, first and last day, days covered."""
+    day = F.date_format("timestamp", "yyyy-MM-dd")
+    return listings.agg(F.count("*").alias("rows"), F.count_distinct("url").alias("urls"), F.count_distinct("title").alias("titles"), F.min(day).alias("first_day"), F.max(day).alias("last_day"), F.count_distinct(day).alias("days"))

@@ -82,7 +82,56 @@ def best_deals_by_category(spark, d):
 
 def display_rows(spark, d):
     s = market.market_summary(prices(spark, d), AS_OF)
-    return s.select("canonical_product_id", F.format_string("$%.2f", F.col("historical_median")).alias("median_text"), F.date_format("timestamp", "yyyy-MM-dd HH:mm").alias("seen"))
+    return s.select("canonical_product_id", F.format_string("$%.2f", F.col("historical_median")).alias("median_text"), F.format_string("%+.1f%%", F.col("pct_diff")).alias("pct_text"), F.date_format("timestamp", "yyyy-MM-dd HH:mm").alias("seen"))
+
+
+def signal_marks(spark, d):
+    s = deal_signals(spark, d)
+    return s.select("canonical_product_id", listing.signal_mark(F.col("signal")).alias("mark"), listing.signal_label(F.col("signal")).alias("label"))
+
+
+def scan_listings(spark, d):
+    return market.scan_listings(table(spark, d, "raw_listings"), "thot", SINCE).select("id", "title", "price")
+
+
+def least_current_price(spark, d):
+    return rounded(market.least_current_price(prices(spark, d), AS_OF))
+
+
+def price_describe(spark, d):
+    return quality.describe(prices(spark, d), "price_usd")
+
+
+def listing_overview(spark, d):
+    return quality.overview(table(spark, d, "raw_listings"))
+
+
+def top_products(spark, d):
+    return quality.top_products(prices(spark, d), 20)
+
+
+def value_counts_currency(spark, d):
+    return quality.value_counts(table(spark, d, "price_snapshots"), "currency")
+
+
+def component_prices(spark, d):
+    return table(spark, d, "raw_listings").where("currency = 'USD' AND price >= 43").select("id", "price")
+
+
+def model_match_rate(spark, d):
+    """Share of listings that containment resolves, per source."""
+    rows = match.with_exact_match(table(spark, d, "raw_listings"), "title", table(spark, d, "canonical_catalog"))
+    return rows.groupBy("source").agg(F.round(F.avg(F.when(F.col("exact_sku").isNotNull(), 1.0).otherwise(0.0)), 6).alias("match_rate"))
+
+
+def per_source_counts(spark, d):
+    return upsert.fold_outcomes(_arrivals(spark, d), order=["arrival"]).groupBy("source").agg(*(F.count_if(F.col("outcome") == o).alias(o) for o in ("inserted", "updated", "unchanged")))
+
+
+def summary_history(spark, d):
+    """History of the products that have a current price: the semi-join of the summary."""
+    p = prices(spark, d)
+    return p.join(market.market_summary(p, AS_OF).select("canonical_product_id"), "canonical_product_id", "left_semi").select("id", "canonical_product_id", "price_usd")
 
 
 def _titles(spark, d):
@@ -372,6 +421,6 @@ QUERIES = {
         upsert_listings, ingest_counters, validate_listings, fx_normalize, resolve_snapshots, resolve_counters, replace_features, training_frame, min_history_skus, forward_fill, walk_forward_folds,
         naive_cv_metrics, naive_cv_mean, elasticnet_cv, elasticnet_importances, winner_predictions, latest_week_predictions_naive, prediction_bounds, model_winner_counts, skus_by_brand, latest_listings,
         parse_cards_thot, parse_cards_banifox, parse_cards_pccompu, page_urls, pagination_stop, dedup_urls, zero_row_alerts, fx_json, sku_stats, source_pivot, daily_volume, daily_median_top5, rolling_mean_7,
-        hist_vs_current, value_counts_condition, null_counts, outliers, title_keyword_share, precision_recall, daily_head,
+        hist_vs_current, signal_marks, scan_listings, least_current_price, price_describe, listing_overview, top_products, value_counts_currency, component_prices, model_match_rate, per_source_counts, summary_history, value_counts_condition, null_counts, outliers, title_keyword_share, precision_recall, daily_head,
     )
 }

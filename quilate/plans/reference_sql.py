@@ -149,7 +149,7 @@ SQL = {
     "distinct_skus": f"WITH {PRICES} SELECT DISTINCT canonical_product_id FROM prices",
     "deal_signals": f"WITH {SUMMARY} SELECT * FROM signals",
     "best_deals_by_category": f"WITH {SUMMARY} SELECT * FROM signals WHERE signal = 'deal' AND category IN ('GPU', 'CPU')",
-    "display_rows": f"WITH {SUMMARY} SELECT canonical_product_id, printf('$%.2f', historical_median) AS median_text, strftime(ts, '%Y-%m-%d %H:%M') AS seen FROM summary",
+    "display_rows": f"WITH {SUMMARY} SELECT canonical_product_id, printf('$%.2f', historical_median) AS median_text, printf('%+.1f%%', pct_diff) AS pct_text, strftime(ts, '%Y-%m-%d %H:%M') AS seen FROM summary",
     "normalize_title": f"SELECT id, {_normalized('title')} AS normalized FROM raw_listings",
     "normalize_sku": "SELECT sku, lower(trim(regexp_replace(sku, '\\s+', ' ', 'g'))) AS normalized FROM canonical_catalog",
     "extract_brand": f"SELECT id, {_brand('title')} AS brand FROM raw_listings",
@@ -213,6 +213,24 @@ SQL = {
     "rolling_mean_7": f"WITH {TOP5} SELECT canonical_product_id, day, round(avg(median) OVER (PARTITION BY canonical_product_id ORDER BY day ROWS 6 PRECEDING), 6) AS rolling_mean FROM dm",
     "hist_vs_current": f"""WITH {PRICES}, x AS (SELECT canonical_product_id, median(price_usd) FILTER (ts::DATE < (SELECT max(ts)::DATE FROM prices)) AS historical, median(price_usd) FILTER (ts::DATE = (SELECT max(ts)::DATE FROM prices)) AS current FROM prices GROUP BY 1)
         SELECT canonical_product_id, round(historical, 6) AS historical, round(current, 6) AS current, round((current - historical) / historical * 100, 1) + 0.0 AS delta_pct FROM x WHERE historical IS NOT NULL AND current IS NOT NULL""",
+    "signal_marks": f"WITH {SUMMARY} SELECT canonical_product_id, CASE signal WHEN 'deal' THEN '🟢' WHEN 'fair' THEN '🟡' WHEN 'expensive' THEN '🔴' ELSE '⚪' END AS mark, upper(signal) AS label FROM signals",
+    "scan_listings": f"SELECT id, title, price FROM raw_listings WHERE source = 'thot' AND timestamp AT TIME ZONE 'UTC' >= {SINCE}",
+    "least_current_price": f"""WITH {PRICES},
+        newest AS (SELECT *, row_number() OVER (PARTITION BY canonical_product_id ORDER BY timestamp DESC, id DESC) AS rn FROM prices WHERE ts >= {AS_OF} - INTERVAL 720 HOUR),
+        ten AS (SELECT * FROM newest WHERE rn <= 10 QUALIFY row_number() OVER (PARTITION BY canonical_product_id, source ORDER BY rn) = 1),
+        least AS (SELECT canonical_product_id, min(price_usd) AS p FROM ten GROUP BY 1), med AS (SELECT canonical_product_id, median(price_usd) AS m FROM prices GROUP BY 1)
+        SELECT canonical_product_id, round(p, 6) AS least_price, round(m, 6) AS median_all, CASE WHEN m = 0 THEN 'fair' WHEN (p - m) / m * 100 <= -10 THEN 'deal' WHEN (p - m) / m * 100 >= 10 THEN 'expensive' ELSE 'fair' END AS signal
+        FROM least JOIN med USING (canonical_product_id)""",
+    "price_describe": f"""WITH {PRICES} SELECT count(price_usd) AS n, round(avg(price_usd), 2) AS mean, round(stddev_samp(price_usd), 2) AS deviation, min(price_usd) AS least, max(price_usd) AS most,
+        round(quantile_cont(price_usd, 0.25), 2) AS q25, round(quantile_cont(price_usd, 0.5), 2) AS q50, round(quantile_cont(price_usd, 0.75), 2) AS q75, round(quantile_cont(price_usd, 0.99), 2) AS q99 FROM prices""",
+    "listing_overview": """WITH r AS (SELECT *, strftime(timestamp AT TIME ZONE 'UTC', '%Y-%m-%d') AS day FROM raw_listings)
+        SELECT count(*) AS rows, count(DISTINCT url) AS urls, count(DISTINCT title) AS titles, min(day) AS first_day, max(day) AS last_day, count(DISTINCT day) AS days FROM r""",
+    "top_products": f"WITH {PRICES} SELECT canonical_product_id, count(*) AS n FROM prices GROUP BY 1 ORDER BY n DESC, 1 LIMIT 20",
+    "value_counts_currency": "SELECT currency AS value, count(*) AS n FROM price_snapshots GROUP BY 1",
+    "component_prices": "SELECT id, price FROM raw_listings WHERE currency = 'USD' AND price >= 43",
+    "model_match_rate": f"WITH {EXACT} SELECT source, round(avg(CASE WHEN exact_sku IS NOT NULL THEN 1.0 ELSE 0.0 END), 6) AS match_rate FROM raw_listings LEFT JOIN exact USING (id) GROUP BY 1",
+    "per_source_counts": f"WITH {FOLD} SELECT source, count(*) FILTER (outcome = 'inserted') AS inserted, count(*) FILTER (outcome = 'updated') AS updated, count(*) FILTER (outcome = 'unchanged') AS unchanged FROM folded GROUP BY 1",
+    "summary_history": f"WITH {SUMMARY} SELECT id, canonical_product_id, price_usd FROM prices WHERE canonical_product_id IN (SELECT canonical_product_id FROM summary)",
     "value_counts_condition": "SELECT condition AS value, count(*) AS n FROM raw_listings GROUP BY 1",
     "null_counts": " UNION ALL ".join(f"SELECT '{c}' AS column_name, count(*) - count({c}) AS nulls, count(*) AS rows FROM raw_listings" for c in ("item_id", "condition", "available_quantity", "base_price")),
     "outliers": "SELECT id, price FROM price_snapshots WHERE currency = 'USD' AND (price < 10 OR price > 10000)",
