@@ -52,6 +52,11 @@ def week_text(ts: Column) -> Column:
     return F.date_format(F.date_trunc("week", ts), "yyyy-MM-dd")
 
 
+def round_half_up(c: Column, digits: int) -> Column:
+    """Rounded by plain arithmetic, so that every engine gives the same digits."""
+    return F.floor(c * 10.0**digits + 0.5) / 10.0**digits
+
+
 def percent_difference(current: Column, median: Column) -> Column:
     return F.when(median != 0, (current - median) / median * 100).otherwise(0.0)
 

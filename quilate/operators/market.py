@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quilate.functions.listing import percent_difference, price_signal
+from quilate.functions.listing import percent_difference, price_signal, round_half_up
 
 NEWEST_ROWS = 10
 
@@ -52,7 +52,7 @@ def market_summary(snapshots: DataFrame, as_of, hours: int = 720) -> DataFrame:
     joined = current.join(historical_medians(history), "canonical_product_id", "left")
     median = F.coalesce("median_all", F.lit(0.0))
     pct = percent_difference(F.col("current_price"), median)
-    return joined.select("canonical_product_id", "source", "current_price", "timestamp", F.round(median, 2).alias("historical_median"), F.round(pct, 1).alias("pct_diff"))
+    return joined.select("canonical_product_id", "source", "current_price", "timestamp", round_half_up(median, 2).alias("historical_median"), round_half_up(pct, 1).alias("pct_diff"))
 
 
 def with_signals(summary: DataFrame, catalog: DataFrame, threshold: float = 10.0) -> DataFrame:

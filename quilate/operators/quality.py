@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from quilate.functions.listing import round_half_up as rounded
+
 
 def value_counts(df: DataFrame, column: str) -> DataFrame:
     """Counts per value; NULL is a value."""
@@ -13,7 +15,7 @@ def value_counts(df: DataFrame, column: str) -> DataFrame:
 
 def sku_stats(snapshots: DataFrame) -> DataFrame:
     p = F.col("price_usd")
-    return snapshots.groupBy("canonical_product_id").agg(F.count("*").alias("n"), F.round(F.min(p), 2).alias("least"), F.round(F.median(p), 2).alias("median"), F.round(F.max(p), 2).alias("most"), F.round(F.stddev_samp(p), 2).alias("deviation"))
+    return snapshots.groupBy("canonical_product_id").agg(F.count("*").alias("n"), rounded(F.min(p), 2).alias("least"), rounded(F.median(p), 2).alias("median"), rounded(F.max(p), 2).alias("most"), rounded(F.stddev_samp(p), 2).alias("deviation"))
 
 
 def source_pivot(snapshots: DataFrame, sources: list[str]) -> DataFrame:
@@ -45,7 +47,7 @@ def history_against_current(snapshots: DataFrame) -> DataFrame:
     rows = snapshots.join(F.broadcast(last), F.lit(True))
     now = F.to_date("timestamp") == F.col("_last")
     both = rows.groupBy("canonical_product_id").agg(F.median(F.when(~now, F.col("price_usd"))).alias("historical"), F.median(F.when(now, F.col("price_usd"))).alias("current")).na.drop()
-    return both.withColumn("delta_pct", F.round((F.col("current") - F.col("historical")) / F.col("historical") * 100, 1))
+    return both.withColumn("delta_pct", rounded((F.col("current") - F.col("historical")) / F.col("historical") * 100, 1))
 
 
 def precision_recall(df: DataFrame, truth: str, found: str) -> DataFrame:
@@ -73,8 +75,8 @@ def describe(df: DataFrame, column: str) -> DataFrame:
     """Count, mean, deviation, extremes, quartiles and the 99th percentile of a column, in one row."""
     c = F.col(column)
     quantiles = F.percentile(c, F.array(*(F.lit(q) for q in (0.25, 0.5, 0.75, 0.99))))
-    one = df.agg(F.count(c).alias("n"), F.round(F.avg(c), 2).alias("mean"), F.round(F.stddev_samp(c), 2).alias("deviation"), F.min(c).alias("least"), F.max(c).alias("most"), quantiles.alias("_q"))
-    return one.select("n", "mean", "deviation", "least", "most", *(F.round(F.col("_q")[i], 2).alias(name) for i, name in enumerate(("q25", "q50", "q75", "q99"))))
+    one = df.agg(F.count(c).alias("n"), rounded(F.avg(c), 2).alias("mean"), rounded(F.stddev_samp(c), 2).alias("deviation"), F.min(c).alias("least"), F.max(c).alias("most"), quantiles.alias("_q"))
+    return one.select("n", "mean", "deviation", "least", "most", *(rounded(F.col("_q")[i], 2).alias(name) for i, name in enumerate(("q25", "q50", "q75", "q99"))))
 
 
 def overview(listings: DataFrame) -> DataFrame:

@@ -32,7 +32,7 @@ SUMMARY = f"""
     {PRICES},
     cur AS (SELECT * FROM prices WHERE ts >= {AS_OF} - INTERVAL 720 HOUR QUALIFY row_number() OVER (PARTITION BY canonical_product_id ORDER BY timestamp DESC, id DESC) = 1),
     med AS (SELECT canonical_product_id, median(price_usd) AS m FROM prices GROUP BY 1),
-    summary AS (SELECT canonical_product_id, source, ts, price_usd AS current_price, round(m, 2) AS historical_median, round(CASE WHEN m <> 0 THEN (price_usd - m) / m * 100 ELSE 0 END, 1) + 0.0 AS pct_diff
+    summary AS (SELECT canonical_product_id, source, ts, price_usd AS current_price, floor(m * 100 + 0.5) / 100 AS historical_median, floor((CASE WHEN m <> 0 THEN (price_usd - m) / m * 100 ELSE 0 END) * 10 + 0.5) / 10 AS pct_diff
                 FROM cur JOIN med USING (canonical_product_id)),
     signals AS (SELECT canonical_product_id, coalesce(category, 'Unknown') AS category, coalesce(brand_family, 'Unknown') AS brand_family, pct_diff,
                        CASE WHEN historical_median = 0 THEN 'fair' WHEN (current_price - historical_median) / historical_median * 100 <= -10 THEN 'deal'
@@ -206,13 +206,13 @@ SQL = {
         WITH e AS (SELECT DISTINCT source FROM raw_listings UNION SELECT 'mercado')
         SELECT source, 'no rows from ' || source AS alert FROM e WHERE source NOT IN (SELECT source FROM raw_listings WHERE condition IS NOT NULL)""",
     "fx_json": f"WITH {RATES} SELECT week_start, round(usd_uyu_rate, 6) AS usd_uyu_rate FROM rates",
-    "sku_stats": f"WITH {PRICES} SELECT canonical_product_id, count(*) AS n, round(min(price_usd), 2) AS least, round(median(price_usd), 2) AS median, round(max(price_usd), 2) AS most, round(stddev_samp(price_usd), 2) AS deviation FROM prices GROUP BY 1",
+    "sku_stats": f"WITH {PRICES} SELECT canonical_product_id, count(*) AS n, floor(min(price_usd) * 100 + 0.5) / 100 AS least, floor(median(price_usd) * 100 + 0.5) / 100 AS median, floor(max(price_usd) * 100 + 0.5) / 100 AS most, floor(stddev_samp(price_usd) * 100 + 0.5) / 100 AS deviation FROM prices GROUP BY 1",
     "source_pivot": f"WITH {PRICES} SELECT canonical_product_id, " + ", ".join(f"round(median(price_usd) FILTER (source = '{s}'), 6) AS {s}" for s in ("thot", "banifox", "pccompu")) + " FROM prices GROUP BY 1",
     "daily_volume": f"WITH {PRICES} SELECT strftime(ts, '%Y-%m-%d') AS day, count(*) AS n FROM prices GROUP BY 1",
     "daily_median_top5": f"WITH {TOP5} SELECT * FROM dm",
     "rolling_mean_7": f"WITH {TOP5} SELECT canonical_product_id, day, round(avg(median) OVER (PARTITION BY canonical_product_id ORDER BY day ROWS 6 PRECEDING), 6) AS rolling_mean FROM dm",
     "hist_vs_current": f"""WITH {PRICES}, x AS (SELECT canonical_product_id, median(price_usd) FILTER (ts::DATE < (SELECT max(ts)::DATE FROM prices)) AS historical, median(price_usd) FILTER (ts::DATE = (SELECT max(ts)::DATE FROM prices)) AS current FROM prices GROUP BY 1)
-        SELECT canonical_product_id, round(historical, 6) AS historical, round(current, 6) AS current, round((current - historical) / historical * 100, 1) + 0.0 AS delta_pct FROM x WHERE historical IS NOT NULL AND current IS NOT NULL""",
+        SELECT canonical_product_id, round(historical, 6) AS historical, round(current, 6) AS current, floor((current - historical) / historical * 100 * 10 + 0.5) / 10 AS delta_pct FROM x WHERE historical IS NOT NULL AND current IS NOT NULL""",
     "signal_marks": f"WITH {SUMMARY} SELECT canonical_product_id, CASE signal WHEN 'deal' THEN '🟢' WHEN 'fair' THEN '🟡' WHEN 'expensive' THEN '🔴' ELSE '⚪' END AS mark, upper(signal) AS label FROM signals",
     "scan_listings": f"SELECT id, title, price FROM raw_listings WHERE source = 'thot' AND timestamp AT TIME ZONE 'UTC' >= {SINCE}",
     "least_current_price": f"""WITH {PRICES},
@@ -221,8 +221,8 @@ SQL = {
         least AS (SELECT canonical_product_id, min(price_usd) AS p FROM ten GROUP BY 1), med AS (SELECT canonical_product_id, median(price_usd) AS m FROM prices GROUP BY 1)
         SELECT canonical_product_id, round(p, 6) AS least_price, round(m, 6) AS median_all, CASE WHEN m = 0 THEN 'fair' WHEN (p - m) / m * 100 <= -10 THEN 'deal' WHEN (p - m) / m * 100 >= 10 THEN 'expensive' ELSE 'fair' END AS signal
         FROM least JOIN med USING (canonical_product_id)""",
-    "price_describe": f"""WITH {PRICES} SELECT count(price_usd) AS n, round(avg(price_usd), 2) AS mean, round(stddev_samp(price_usd), 2) AS deviation, min(price_usd) AS least, max(price_usd) AS most,
-        round(quantile_cont(price_usd, 0.25), 2) AS q25, round(quantile_cont(price_usd, 0.5), 2) AS q50, round(quantile_cont(price_usd, 0.75), 2) AS q75, round(quantile_cont(price_usd, 0.99), 2) AS q99 FROM prices""",
+    "price_describe": f"""WITH {PRICES} SELECT count(price_usd) AS n, floor(avg(price_usd) * 100 + 0.5) / 100 AS mean, floor(stddev_samp(price_usd) * 100 + 0.5) / 100 AS deviation, min(price_usd) AS least, max(price_usd) AS most,
+        floor(quantile_cont(price_usd, 0.25) * 100 + 0.5) / 100 AS q25, floor(quantile_cont(price_usd, 0.5) * 100 + 0.5) / 100 AS q50, floor(quantile_cont(price_usd, 0.75) * 100 + 0.5) / 100 AS q75, floor(quantile_cont(price_usd, 0.99) * 100 + 0.5) / 100 AS q99 FROM prices""",
     "listing_overview": """WITH r AS (SELECT *, strftime(timestamp AT TIME ZONE 'UTC', '%Y-%m-%d') AS day FROM raw_listings)
         SELECT count(*) AS rows, count(DISTINCT url) AS urls, count(DISTINCT title) AS titles, min(day) AS first_day, max(day) AS last_day, count(DISTINCT day) AS days FROM r""",
     "top_products": f"WITH {PRICES} SELECT canonical_product_id, count(*) AS n FROM prices GROUP BY 1 ORDER BY n DESC, 1 LIMIT 20",
