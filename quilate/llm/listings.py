@@ -109,17 +109,19 @@ def title_tokens(df: DataFrame, id_col: str, title_col: str, seller_col: str, re
     return source.mapInPandas(run, f"id {dict(source.dtypes)['id']}, seller string, hard string, soft array<string>")
 
 
-def spelling_corrections(words: DataFrame, ratio: int = 10) -> DataFrame:
+def spelling_corrections(words: DataFrame, ratio: int = 4, short_ratio: int = 50) -> DataFrame:
     """(word, better): words within one edit of a word that is at least ``ratio`` times as frequent.
 
     Two words within one edit share a form with one letter left out (or the word itself); that
-    equi-join proposes, the metric decides. Words of digits and words under five letters stay.
+    equi-join proposes, the metric decides, and of several the most frequent counts. Words of
+    digits and words under three letters stay; under five letters ``short_ratio`` holds.
     """
-    counts = words.where(F.col("word").rlike("^[a-z]{5,40}$")).groupBy("word").agg(F.count("*").alias("n"))
+    counts = words.where(F.col("word").rlike("^[a-z]{3,40}$")).groupBy("word").agg(F.count("*").alias("n"))
     forms = F.expr("array_union(array(word), transform(sequence(1, length(word)), i -> concat(substr(word, 1, i - 1), substr(word, i + 1))))")
     formed = counts.select("word", "n", F.explode(forms).alias("form"))
     a, b = formed.alias("a"), formed.alias("b")
-    pairs = a.join(b, (F.col("a.form") == F.col("b.form")) & (F.col("a.n") * ratio <= F.col("b.n"))).select(F.col("a.word").alias("word"), F.col("b.word").alias("better"), F.col("b.n").alias("n")).distinct()
+    least = F.when(F.length("a.word") < 5, short_ratio).otherwise(ratio)
+    pairs = a.join(b, (F.col("a.form") == F.col("b.form")) & (F.col("a.n") * least <= F.col("b.n"))).select(F.col("a.word").alias("word"), F.col("b.word").alias("better"), F.col("b.n").alias("n")).distinct()
 
     @F.pandas_udf("int")
     def distance(x: pd.Series, y: pd.Series) -> pd.Series:
@@ -128,9 +130,9 @@ def spelling_corrections(words: DataFrame, ratio: int = 10) -> DataFrame:
     return pairs.where(distance("word", "better") <= 1).groupBy("word").agg(F.max_by("better", F.struct("n", "better")).alias("better"))
 
 
-def correct(tokens: DataFrame, ratio: int = 10) -> DataFrame:
+def correct(tokens: DataFrame) -> DataFrame:
     """The tokens with misspelt soft words replaced; sets whose words are all known do not move."""
-    fixes = spelling_corrections(tokens.select(F.explode("soft").alias("word")), ratio)
+    fixes = spelling_corrections(tokens.select(F.explode("soft").alias("word")))
     words = tokens.select("hard", "soft").distinct().select("hard", "soft", F.explode("soft").alias("word"))
     changed = words.join(fixes, "word").groupBy("hard", "soft").agg(F.map_from_entries(F.collect_list(F.struct("word", "better"))).alias("fix"))
     joined = tokens.join(changed, ["hard", "soft"], "left")
