@@ -33,7 +33,7 @@ SHARD_WORDS = 1_000_000
 #: Every so many positions a suffix position is kept.
 SAMPLE = 8
 
-_MARKUP = re.compile(r"<[^<>]{0,400}>|https?://\S+")
+_MARKUP = re.compile(r"<[^<>]{0,400}>|https?://\S+", re.I)
 _BROKEN = re.compile(r"[ÃÂâ][\x80-\xbf‐-™€‚ƒ„…†‡ˆ‰Š‹ŒŽ‘’“”•–—˜™š›œžŸ¡-¿]")
 _WORDS = re.compile(r"[a-z0-9]+")
 _BREAK = re.compile(r"(?<=[a-záéíóúñü])-\n(?=[a-záéíóúñü])")

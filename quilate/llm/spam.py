@@ -42,7 +42,7 @@ WINDOW, ECHO_WINDOW = 16, 40
 ADDRESS_WORDS = 3
 
 _ANCHOR = re.compile(r"<a\b[^<>]*>(.*?)</a>", re.S | re.I)
-_URL = re.compile(r"https?://[^\s<>\"']+|www\.[^\s<>\"']+")
+_URL = re.compile(r"https?://[^\s<>\"']+|www\.[^\s<>\"']+", re.I)
 _TAGS = re.compile(r"</?(?:p|div|br|li|ul|ol|tr|td|h\d)\b[^<>]*>", re.I)
 _ANYTAG = re.compile(r"<[^<>]{0,400}>")
 _WORD = re.compile(r"[^\W_]+(?:_[^\W_]+)*", re.U)
@@ -118,7 +118,7 @@ def features(text: str | None) -> list[float]:
     lines = _lines(text)
     words, kind, by_line = [], [], []
     for line, k in lines:
-        found = [x.lower() for x in _WORD.findall(line)]
+        found = _WORD.findall(line.lower())
         words += found
         kind += [k] * len(found)
         by_line.append(len(found))
