@@ -179,21 +179,22 @@ class FuzzyIndex:
         return np.maximum(best, (2 * common / (m[:, None] + width)).max(axis=1))
 
     def best(self, text: str, threshold: float) -> tuple[str | None, float]:
-        """The entry of the highest ratio (the first on ties), if that reaches the threshold.
-
-        A window that shares L of m letters in order keeps at least m - 1 - 2 (m - L) neighbouring
-        pairs of the entry, so an entry with too few of its pairs in the text cannot reach it.
-        """
+        """The entry of the highest ratio (the first on ties), if that reaches the threshold."""
         if not self.skus:
             return None, 0.0
         m, edge = self.length, int(self.length.max())
         plain = (len(text) > m) & (m < 64) & (m > 0)
         score = np.zeros(len(m))
-        # Whole windows need more of the pairs than those cut at an end of the text, which lie in its margins.
-        rows = np.flatnonzero(plain & (self._letters(text) >= threshold * m - 1e-9))
+        # A window of w letters that has L of an entry's m in order keeps m - 1 - 2 (m - L) - (w - L) of its
+        # pairs at least. Whole windows (w = m) may lie anywhere, those cut at an end lie in the margins.
+        rows = np.flatnonzero(plain & ((self._shared(text) + 1 + 2 * m) / 3 >= threshold * m - 1e-9))
         if len(rows):
             score[rows] = self.ratios(rows, text)
-        cut = lambda part: plain & (2 * np.minimum(self._letters(part), m - 1) / (m + np.minimum(self._letters(part), m - 1)) >= threshold - 1e-9)
+
+        def cut(part: str) -> np.ndarray:
+            most = np.minimum((self._shared(part) + 1 + m) / 2, m - 1)
+            return plain & (2 * most / (m + most) >= threshold - 1e-9)
+
         head, tail = text[:edge], text[-edge:]
         rows = np.flatnonzero(cut(head))
         if len(rows):
@@ -206,14 +207,14 @@ class FuzzyIndex:
         at = int(score.argmax())
         return (self.skus[at], float(score[at])) if score[at] >= threshold else (None, 0.0)
 
-    def _letters(self, text: str) -> np.ndarray:
-        """Upper bound of the letters in order that each entry shares with a window of the text."""
+    def _shared(self, text: str) -> np.ndarray:
+        """Neighbouring pairs that each entry shares with the text."""
         have = np.zeros(len(self.pair), dtype=np.int16)
         for i in range(len(text) - 1):
             k = self.pair.get(text[i : i + 2])
             if k is not None and have[k] < 32000:
                 have[k] += 1
-        return np.minimum(self.length, (np.minimum(self.counts, have).sum(axis=1) + 1 + self.length) / 2)
+        return np.minimum(self.counts, have).sum(axis=1)
 
 
 def fuzzy_match(titles: DataFrame, title_col: str, catalog: DataFrame, threshold: float = V.FUZZY_THRESHOLD) -> DataFrame:

@@ -39,17 +39,21 @@ def add_lags(spine: DataFrame) -> DataFrame:
     )
 
 
-def weekly_features(snapshots: DataFrame, rates: DataFrame | None = None, since=None) -> DataFrame:
+def weekly_features(snapshots: DataFrame, rates: DataFrame | None = None, since=None, warm_up_weeks: int = 0) -> DataFrame:
     """week_start, product, median, deviation, two lags, rolling median, rate. Empty input, empty output.
 
-    ``since`` cuts the history before lags and rolling values are made.
+    ``since`` cuts the history before lags and rolling values are made; with ``warm_up_weeks`` so many
+    earlier weeks are read for them, but do not come out.
     """
     if since is not None:
-        snapshots = snapshots.where(F.col("timestamp") >= F.lit(since).cast("timestamp"))
+        start = F.lit(since).cast("timestamp")
+        snapshots = snapshots.where(F.col("timestamp") >= start - F.expr(f"INTERVAL {7 * warm_up_weeks} DAYS"))
     weekly = weekly_prices(snapshots)
     full = add_lags(calendar_spine(weekly).join(weekly, ["canonical_product_id", "week"], "left"))
     if rates is not None:
         full = full.join(rates.select(F.to_date("week_start").alias("week"), "usd_uyu_rate"), "week", "left")
     else:
         full = full.withColumn("usd_uyu_rate", F.lit(None).cast("double"))
+    if since is not None and warm_up_weeks:
+        full = full.where(F.col("week") >= week_start(start))
     return full.select(F.date_format("week", "yyyy-MM-dd").alias("week_start"), "canonical_product_id", "mediana_semanal", "dispersion_precios", "precio_lag_1", "precio_lag_2", "mediana_movil", "usd_uyu_rate")

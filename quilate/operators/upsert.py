@@ -62,6 +62,15 @@ def append_snapshots(rows: DataFrame, path: str) -> None:
     checked.withColumn("price_usd", F.coalesce("price_usd", "price")).write.mode("append").parquet(path)
 
 
+def unseen_snapshots(rows: DataFrame, existing: DataFrame, keys: list[str] = ("source", "listing_id", "timestamp")) -> DataFrame:
+    """Rows whose keys no existing snapshot has, each once: appending them twice changes nothing."""
+    match = [rows[k].eqNullSafe(existing[k]) for k in keys]
+    on = match[0]
+    for m in match[1:]:
+        on = on & m
+    return rows.join(existing, on, "left_anti").dropDuplicates(list(keys))
+
+
 def missing_sources(expected: DataFrame, rows: DataFrame) -> DataFrame:
     """Expected sources without any row: (source, alert)."""
     counts = rows.groupBy("source").agg(F.count("*").alias("n"))

@@ -26,6 +26,14 @@ def test_features_gap(spark):
     assert got["b", "2026-04-06"]["mediana_semanal"] == 5 and len(got) == 6
 
 
+def test_features_since(spark):
+    data = [((2026, 4, 6), "a", "s", 100), ((2026, 4, 13), "a", "s", 120), ((2026, 4, 20), "a", "s", 140)]
+    cold = features.weekly_features(snaps(spark, data), since="2026-04-13").orderBy("week_start").collect()
+    warm = features.weekly_features(snaps(spark, data), since="2026-04-13", warm_up_weeks=4).orderBy("week_start").collect()
+    assert [r["precio_lag_1"] for r in cold] == [None, 120] and [r["precio_lag_1"] for r in warm] == [100, 120]
+    assert [r["week_start"] for r in cold] == [r["week_start"] for r in warm] == ["2026-04-13", "2026-04-20"]
+
+
 def test_metrics_and_folds(spark):
     m = models.metrics(spark.createDataFrame([(100.0, 110.0), (200.0, 190.0)], "y double, p double"), "y", "p").first()
     assert (m["mae"], m["rmse"], m["mape"]) == pytest.approx((10, 10, 7.5))

@@ -73,6 +73,11 @@ def test_replace_and_alerts(spark):
     assert [r["source"] for r in upsert.missing_sources(expected, spark.createDataFrame([("x",)], "source string")).collect()] == ["y"]
 
 
+def test_unseen(spark):
+    a = spark.createDataFrame([("s", None, 1), ("s", "x", 1), ("s", "x", 1)], "source string, listing_id string, timestamp int")
+    assert upsert.unseen_snapshots(a, a.limit(0)).count() == 2 and upsert.unseen_snapshots(a, a.where("listing_id IS NULL")).count() == 1
+
+
 def test_append(spark, tmp_path):
     df = spark.createDataFrame([("a", 5.0, None)], "canonical_product_id string, price double, price_usd double")
     upsert.append_snapshots(df, str(tmp_path / "s"))

@@ -1,5 +1,5 @@
 import pytest
-from hypothesis import given, settings
+from hypothesis import example, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
@@ -85,7 +85,9 @@ def test_lcs(a, b):
 
 
 @given(st.text("abcd ", max_size=30))
-@settings(max_examples=150, deadline=None)
+@settings(max_examples=600, deadline=None)
+@example("aaa b ca")
+@example("aaa caa")
 def test_fuzzy_index_is_exact(t):
     skus = ["abcd a", "bcda", "aab dc", "dd ab"]
     scores = [match.partial_ratio(match.plain_sku(s), t) for s in skus]
