@@ -25,9 +25,12 @@ def lag_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p4_filled(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every lag cell with its value, filled from the product's other weeks, else from similar products."""
+    """Every lag cell with its value, filled from the product's other weeks, else from similar products.
+
+    Distance (weeks) and level of the donor are -1 where nothing was filled.
+    """
     filled = impute.hot_deck(lag_cells(spark, sf_dir), [["canonical_product_id"], ["category", "brand_family"], ["category"], []])
-    return filled.select("row_id", "field_name", "canonical_product_id", F.col("obs").alias("observed_value"), "filled_value", "was_filled", "donor_distance", "donor_level")
+    return filled.select("row_id", "field_name", "canonical_product_id", F.col("obs").alias("observed_value"), "filled_value", "was_filled", F.coalesce("donor_distance", F.lit(-1)).alias("donor_distance"), F.coalesce("donor_level", F.lit(-1)).alias("donor_level"))
 
 
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -78,7 +81,41 @@ def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {"p4_found": p4_found, "p4_filled": p4_filled, "p5_found": p5_found, "p5_flags": p5_flags, "p6_found": p6_found, "p6_converted": p6_converted, "p6_rates": p6_rates}
 
+
+def _deck_sql() -> str:
+    """The hot deck level by level: the nearest place before or after, the largest value of the one, the least of the other."""
+    keys = ["p", "coalesce(cat, '~') || '|' || coalesce(fam, '~')", "coalesce(cat, '~')", "''"]
+    ctes, columns, joins = [], [], []
+    for i, k in enumerate(keys):
+        ctes.append(f"d{i} AS (SELECT {k} AS k, place, max(obs) AS mx, min(obs) AS mn FROM cells WHERE obs IS NOT NULL GROUP BY ALL)")
+        ctes.append(
+            f"n{i} AS (SELECT c.row_id, c.field_name, b.place AS b_at, b.mx, a.place AS a_at, a.mn FROM (SELECT *, {k} AS k FROM cells WHERE wanted) c"
+            f" ASOF LEFT JOIN d{i} b ON c.k = b.k AND c.place >= b.place ASOF LEFT JOIN d{i} a ON c.k = a.k AND c.place < a.place)"
+        )
+        back = f"(n{i}.a_at IS NULL OR cells.place - n{i}.b_at <= n{i}.a_at - cells.place)"
+        columns.append((f"CASE WHEN {back} THEN n{i}.mx ELSE n{i}.mn END", f"CASE WHEN {back} THEN cells.place - n{i}.b_at ELSE n{i}.a_at - cells.place END"))
+        joins.append(f"LEFT JOIN n{i} USING (row_id, field_name)")
+    level = " ".join(f"WHEN ({v}) IS NOT NULL THEN {i}" for i, (v, _) in enumerate(columns))
+    value = ", ".join(v for v, _ in columns)
+    distance = " ".join(f"WHEN ({v}) IS NOT NULL THEN {g}" for v, g in columns)
+    return f"""
+        WITH c AS (
+            SELECT id AS row_id, 'precio_lag_1' AS field_name, precio_lag_1 AS v, canonical_product_id AS p, week_start::DATE - 7 AS w FROM feature_snapshots
+            UNION ALL SELECT id, 'precio_lag_2', precio_lag_2, canonical_product_id, week_start::DATE - 14 FROM feature_snapshots),
+        had AS (SELECT DISTINCT canonical_product_id AS p, date_trunc('week', timestamp AT TIME ZONE 'UTC')::DATE AS w FROM price_snapshots),
+        cells AS (
+            SELECT row_id, field_name, c.p, category AS cat, brand_family AS fam, date_diff('day', DATE '1970-01-05', c.w) // 7 AS place, CASE WHEN v > 0 AND NOT isnan(v) THEN v END AS obs,
+                   (CASE WHEN v > 0 AND NOT isnan(v) THEN v END) IS NULL AND had.p IS NOT NULL AS wanted
+            FROM c LEFT JOIN had ON had.p = c.p AND had.w = c.w LEFT JOIN canonical_catalog ON sku = c.p),
+        {', '.join(ctes)}
+        SELECT cells.row_id, cells.field_name, cells.p AS canonical_product_id, obs AS observed_value, coalesce(obs, {value}) AS filled_value,
+               wanted AND coalesce({value}) IS NOT NULL AS was_filled, (CASE {distance} ELSE -1 END)::BIGINT AS donor_distance, (CASE {level} ELSE -1 END)::INT AS donor_level
+        FROM cells {' '.join(joins)}
+    """
+
+
 SQL = {
+    "p4_filled": _deck_sql(),
     "p4_found": """
         WITH c AS (
             SELECT id AS row_id, 'precio_lag_1' AS field_name, precio_lag_1 AS v, canonical_product_id AS p, week_start::DATE - 7 AS w FROM feature_snapshots
