@@ -41,7 +41,7 @@ def p1_bounded_error(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Percentiles per product within 0.5 % of the exact ones, from daily sketches of bounded size."""
     prices = table(spark, sf_dir, "price_snapshots").where("price_usd > 0").withColumn("day", F.to_date("timestamp"))
     daily = percentiles.value_counts(prices, ["canonical_product_id", "day"], "price_usd", 0.005)
-    return percentiles.percentiles(percentiles.combine([daily], ["canonical_product_id"]), ["canonical_product_id"], PS).withColumn("relative_error", F.lit(0.005))
+    return percentiles.percentiles(percentiles.combine([daily], ["canonical_product_id"]), ["canonical_product_id"], PS).withColumn("value", F.round("value", 6)).withColumn("relative_error", F.lit(0.005))
 
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -126,7 +126,9 @@ _WEEKLY = """
     FROM price_snapshots WHERE price_usd > 0 AND price_usd::VARCHAR <> 'nan'
     AND strftime(date_trunc('week', timestamp AT TIME ZONE 'UTC'), '%Y-%m-%d') IN (SELECT week_start FROM feature_snapshots)
 """
+_SKETCH = "SELECT canonical_product_id, pow(1.005 / 0.995, ceil(ln(price_usd) / ln(1.005 / 0.995))) * (2 / (1 + 1.005 / 0.995)) AS price_usd FROM price_snapshots WHERE price_usd > 0 AND price_usd::VARCHAR <> 'nan'"
 SQL = {
+    "p1_bounded_error": f"SELECT canonical_product_id, pct, round(value, 6) AS value, n_values, 0.005::DOUBLE AS relative_error FROM ({_percentile_sql('canonical_product_id', _SKETCH)})",
     "p1_percentiles": _percentile_sql("canonical_product_id", "SELECT canonical_product_id, price_usd FROM price_snapshots WHERE price_usd > 0 AND price_usd::VARCHAR <> 'nan'"),
     "p1_weekly_percentiles": _percentile_sql("canonical_product_id, week_start", _WEEKLY),
     "p1_combined_days": _percentile_sql("canonical_product_id, week_start", _WEEKLY),
