@@ -169,16 +169,17 @@ def rate_units(df: DataFrame, id_col: str, week_col: str, rate_col: str) -> Data
 
 
 def price_levels(prices: DataFrame) -> DataFrame:
-    """(``level_key``, ``level_week``, ``level``): median of price_usd per product and week, steadied over a year.
+    """(``level_key``, ``level_week``, ``level``, ``level_rows``): median of price_usd per product and week, steadied
+    over a year, and the most readings that the product has in a week.
 
     The weekly median is a mergeable sketch (1 % of rank); the steadying window has one row a week.
     It is long, because a seller may record a wrong unit for weeks, and no narrower than price
     changes allow: units lie a factor of 2.5 or more apart.
     """
     v = F.col("price_usd")
-    weekly = prices.where((v > 0) & ~F.isnan(v)).groupBy("level_key", "level_week").agg(F.percentile_approx("price_usd", 0.5, 100).alias("m"))
+    weekly = prices.where((v > 0) & ~F.isnan(v)).groupBy("level_key", "level_week").agg(F.percentile_approx("price_usd", 0.5, 100).alias("m"), F.count("*").alias("n"))
     w = Window.partitionBy("level_key").orderBy("level_week").rowsBetween(-STEADY_WEEKS, STEADY_WEEKS)
-    return weekly.select("level_key", "level_week", F.percentile("m", F.lit(0.5)).over(w).alias("level"))
+    return weekly.select("level_key", "level_week", F.percentile("m", F.lit(0.5)).over(w).alias("level"), F.max("n").over(Window.partitionBy("level_key")).alias("level_rows"))
 
 
 SIGMA, TAIL, STEADY_WEEKS = 0.25, 0.005, 26
@@ -191,7 +192,7 @@ LABEL_OTHER, SHOWN_OTHER = (-3.0, -7.0), (-6.0, -8.0)
 def convert_prices(prices: DataFrame, texts: DataFrame, rates: DataFrame, key: Column | None = None) -> DataFrame:
     """Prices with their unit and their value in dollars.
 
-    Adds ``unit_code``, ``usd_value`` (price in dollars at the week's rate), ``level`` and
+    Adds ``unit_code``, ``usd_value`` (price in dollars at the week's rate), ``level``, ``level_rows`` and
     ``label_unit`` (the unit that the label names, NULL if it is not exactly USD or UYU) to id,
     timestamp, canonical_product_id, source, seller, price, currency, price_usd. A NULL or NaN price
     has no unit. Without any level the label's unit counts. ``key`` names the product (default: the

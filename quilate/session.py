@@ -38,7 +38,7 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         return current
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
-        if not spark.sparkContext.master.startswith("local["):
+        if not (spark.sparkContext.master + "[").startswith("local["):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         folder = Path(tempfile.mkdtemp(prefix="quilate-")).as_uri()
     spark.sparkContext.setCheckpointDir(folder)

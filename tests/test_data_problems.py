@@ -101,9 +101,9 @@ def test_hot_deck_falls_back_and_leaves_what_never_was(spark):
     assert bad == [None] * 5 + [2.0]
 
 
-def series(spark, plan, source="s", start=0):
-    rows = [(start + i, source, f"{source}-q", dt.datetime(2025, 1, 1) + dt.timedelta(days=4 * i), v, v, 100.0, v is None) for i, v in enumerate(plan)]
-    return spark.createDataFrame(rows, "id long, source string, series string, at timestamp, value double, reading double, season double, impossible boolean")
+def series(spark, plan, source="s", start=0, per_week=None):
+    rows = [(start + i, source, f"{source}-q", dt.datetime(2025, 1, 1) + dt.timedelta(days=4 * i), v, v, 100.0, v is None, per_week) for i, v in enumerate(plan)]
+    return spark.createDataFrame(rows, "id long, source string, series string, at timestamp, value double, reading double, season double, impossible boolean, per_week long")
 
 
 def test_readings(spark):
@@ -124,13 +124,13 @@ def test_readings(spark):
     assert anomalies.flag_readings(df.limit(0)).count() == 0
 
 
-def test_blocks_change_nothing(spark, monkeypatch):
+def test_blocks_change_nothing(spark):
     rng = np.random.default_rng(2)
     plan = [float(v) for v in np.round(100 * np.exp(rng.normal(0, 0.02, 200)), 0)]
     wide = {r["id"]: r for r in anomalies.series_features(series(spark, plan)).collect()}
-    monkeypatch.setattr(anomalies, "BLOCK_DAYS", 120)
-    narrow = {r["id"]: r for r in anomalies.series_features(series(spark, plan)).collect()}
-    assert wide == narrow
+    for days in (150, 300):  # margins of 25 days and more hold six readings
+        narrow = {r["id"]: r for r in anomalies.series_features(series(spark, plan, per_week=7 * anomalies.BLOCK_ROWS // days)).collect()}
+        assert wide == narrow
 
 
 def test_forest_isolates_what_is_far():
