@@ -133,6 +133,16 @@ def test_blocks_change_nothing(spark):
         assert wide == narrow
 
 
+@pytest.mark.parametrize("days", [1, 3, 5, 10])
+def test_short_blocks_change_nothing(spark, days):
+    rng = np.random.default_rng(4)
+    plan = [float(v) for v in np.round(100 * np.exp(rng.normal(0, 0.02, 120)), 0)]
+    plan[40:70], plan[80:86], plan[100] = [104.0] * 30, [97.0] * 6, None
+    wide = {r["id"]: r for r in anomalies.series_features(series(spark, plan)).collect()}
+    narrow = {r["id"]: r for r in anomalies.series_features(series(spark, plan, per_week=7 * anomalies.BLOCK_ROWS // days)).collect()}
+    assert wide == narrow and wide[55]["run_length"] >= 30 and len(wide) == 120
+
+
 def test_forest_isolates_what_is_far():
     rng = np.random.default_rng(0)
     x = np.vstack([rng.normal(size=(500, 3)), [[9, 9, 9]]])
