@@ -18,8 +18,8 @@ SOURCES = list(schemas.SOURCES)
 
 
 def prices(spark: SparkSession, d: str) -> DataFrame:
-    """Snapshots with a usable price, so that sums of all engines agree to many digits."""
-    return table(spark, d, "price_snapshots").where("price_usd BETWEEN 1 AND 20000")
+    """Snapshots with a price, whatever it is; only NULL and NaN are left out."""
+    return table(spark, d, "price_snapshots").where("price_usd IS NOT NULL AND NOT isnan(price_usd)")
 
 
 def rates(spark: SparkSession, d: str) -> DataFrame:
