@@ -224,7 +224,7 @@ def resolve_counters(spark, d):
 
 def replace_features(spark, d):
     old = models.numbers(table(spark, d, "feature_snapshots"), ["mediana_movil"]).select("week_start", "canonical_product_id", "mediana_movil")
-    new = features.weekly_features(prices(spark, d)).where("week_start >= '2026-05-01' AND mediana_movil IS NOT NULL").select("week_start", "canonical_product_id", "mediana_movil")
+    new = features.weekly_features(prices(spark, d)).select("week_start", "canonical_product_id", "mediana_movil")
     return rounded(upsert.replace_rows(old, new, models.KEYS))
 
 

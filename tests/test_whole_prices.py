@@ -18,3 +18,11 @@ def test_extremes_are_those_of_the_table(spark, duck):  # noqa: F811
     least, most, n = duck.execute("SELECT min(price_usd), max(price_usd), count(*) FROM price_snapshots WHERE NOT isnan(price_usd)").fetchone()
     got = entry.queries()["price_describe"](spark, str(DATA)).first()
     assert (got["least"], got["most"], got["n"]) == (least, most, n)
+
+
+def test_all_features_are_replaced(spark):
+    rows = lambda name: {(r["week_start"], r["canonical_product_id"]): r["mediana_movil"] for r in entry.queries()[name](spark, str(DATA)).select("week_start", "canonical_product_id", "mediana_movil").collect()}
+    new, got = rows("weekly_features"), rows("replace_features")
+    assert {k: got[k] for k in new} == new and None in new.values()
+    stored = {(r[0], r[1]) for r in spark.read.parquet(str(DATA / "feature_snapshots.parquet")).select("week_start", "canonical_product_id").collect()}
+    assert set(got) == set(new) | stored
