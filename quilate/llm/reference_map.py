@@ -114,11 +114,11 @@ class ReferenceMatcher:
         self.by_name: dict[str, set] = {}
         self.rests: dict[tuple, frozenset] = {}
         self.exact: dict[str, tuple[int, str]] = {}
-        self.squeezed: dict[str, tuple[int, str]] = {}
+        self.squeezed: dict[str, list[tuple[int, str]]] = {}
         self.cache: dict[str, list] = {}
         for pos, entry in self.entries:
             self.exact.setdefault(entry, (pos, entry))
-            self.squeezed.setdefault(squeeze(entry), (pos, entry))
+            self.squeezed.setdefault(squeeze(entry), []).append((pos, entry))
             read = T.read_entry(entry)
             if not read:
                 continue
@@ -128,13 +128,15 @@ class ReferenceMatcher:
             self.rests[name, category] = self.rests.get((name, category), frozenset()) | {rest}
         self.names = BKTree(list(self.by_name))
         self.whole = BKTree(list(self.squeezed))
+        self.longest = max(map(len, self.squeezed), default=0)
 
     def near(self, word: str) -> list[tuple[int, str]]:
         found = self.cache.get(word)
         if found is None:
             if len(self.cache) >= CACHE_WORDS:
                 self.cache.clear()
-            found = self.cache[word] = self.names.within(word, self.max_distance) if len(word) > 3 else []
+            # An edit of a short word is another word: it counts only as it is.
+            found = self.cache[word] = self.names.within(word, self.max_distance) if len(word) > 3 else [(0, word)] if word in self.by_name else []
         return found
 
     def mentions(self, text: str) -> Iterator[tuple[int, str, str, tuple, tuple[int, int]]]:
@@ -166,14 +168,14 @@ class ReferenceMatcher:
             read_any = True
             for pos, entry in self.by_key.get((name, category, rest), ()):
                 found.add((distance, pos, entry))
-        if not found and not read_any and len(text) <= 64:
-            tight = squeeze(value)
-            for distance, key in self.whole.within(tight, self.max_distance) if tight else ():
-                pos, entry = self.squeezed[key]
-                name = T.read_entry(entry)
-                tail = key[len(name[1]) :] if name else key
-                if tight.endswith(tail) and re.sub(r"\D", "", tight) == re.sub(r"\D", "", key):
-                    found.add((distance, pos, entry))
+        tight = "" if found or read_any else squeeze(value)
+        if tight and len(tight) <= self.longest + self.max_distance:
+            for distance, key in self.whole.within(tight, self.max_distance):
+                for pos, entry in self.squeezed[key]:
+                    name = T.read_entry(entry)
+                    tail = key[len(name[1]) :] if name else key
+                    if tight.endswith(tail) and re.sub(r"\D", "", tight) == re.sub(r"\D", "", key):
+                        found.add((distance, pos, entry))
         if not found:
             return None
         first = min(found)

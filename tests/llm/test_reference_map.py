@@ -70,6 +70,14 @@ def test_empty_reference_and_table_and_ties(spark):
     assert R.ReferenceMatcher([(0, "Abcdef 1000"), (1, "Abcdeg 1000")]).match("abcdef 1000") == ("Abcdef 1000", 0)
 
 
+def test_short_names_long_values_and_equal_squeezed_forms():
+    m = R.ReferenceMatcher([(0, "Ryx 4000"), (1, "Ignivar 4000 Ti"), (2, "Kolibri" * 12 + " 4000")])
+    assert m.match("VGA Ryx 4000 OC") == ("Ryx 4000", 0) and m.match("VGA Ryz 4000 OC") == (None, None)
+    assert m.match("_".join("ignivar4000ti") + "_" * 60) == ("Ignivar 4000 Ti", 0)
+    assert m.match("kolibri" * 12 + "4000")[0] == "Kolibri" * 12 + " 4000"
+    assert R.ReferenceMatcher([(0, "Zorzal Duna"), (1, "Zor-zal Duna")]).match("zorzalduna") == (None, None)
+
+
 def test_entries_read_to_themselves():
     keys = [T.read_entry(e) for e in ENTRIES]
     assert None not in keys and len(set(keys)) == len(ENTRIES)
