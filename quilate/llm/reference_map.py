@@ -7,8 +7,8 @@ agree exactly with the entry (one character there is another product). A second
 squeezed entries (letters and digits only) for values typed without any spaces.
 
 Up to ``shard_entries`` entries one tree is broadcast to all tasks. A longer list is cut into
-shards of that size; the values pass each shard in turn and the winners of the shards are merged
-by (distance, position).
+shards of that size; the values pass each shard in turn. A shard gives all its nearest entries and
+whether it read a mention; ties and the fallback to whole strings are decided after the merge.
 """
 
 from __future__ import annotations
@@ -23,6 +23,8 @@ from pyspark.sql import functions as F
 from quilate.llm import titles as T
 
 UNMATCHED = "UNMATCHED"
+#: How entries were found; of all shards the first of these counts. A mention that no entry fits rules out whole strings.
+EXACT, MENTION, NO_ENTRY, WHOLE = range(4)
 #: Entries of one shard: some 100 MB of Python objects in a task, whatever the number of values.
 SHARD_ENTRIES = 200_000
 #: Values remembered per task, so that repeated words do not search the tree again.
@@ -96,14 +98,17 @@ def squeeze(text: str) -> str:
 
 
 class ReferenceMatcher:
-    """The reference list (or one shard of it) with its trees; picklable through its entries."""
+    """The reference list (or one shard of it) with its trees; picklable through its entries.
 
-    def __init__(self, entries: list[tuple[int, str]], max_distance: int = 1):
-        self.entries, self.max_distance = entries, max_distance
+    ``known``: the rests by (name, category) of the whole list, where the entries are a shard of it.
+    """
+
+    def __init__(self, entries: list[tuple[int, str]], max_distance: int = 1, known: dict[tuple, frozenset] | None = None):
+        self.entries, self.max_distance, self.known = entries, max_distance, known
         self._build()
 
     def __getstate__(self):
-        return {"entries": self.entries, "max_distance": self.max_distance}
+        return {"entries": self.entries, "max_distance": self.max_distance, "known": self.known}
 
     def __setstate__(self, state):
         self.__dict__.update(state)
@@ -112,7 +117,7 @@ class ReferenceMatcher:
     def _build(self) -> None:
         self.by_key: dict[tuple, list] = {}
         self.by_name: dict[str, set] = {}
-        self.rests: dict[tuple, frozenset] = {}
+        rests: dict[tuple, set] = {}
         self.exact: dict[str, tuple[int, str]] = {}
         self.squeezed: dict[str, list[tuple[int, str]]] = {}
         self.cache: dict[str, list] = {}
@@ -125,7 +130,8 @@ class ReferenceMatcher:
             category, name, rest = read
             self.by_key.setdefault((name, category, rest), []).append((pos, entry))
             self.by_name.setdefault(name, set()).add(category)
-            self.rests[name, category] = self.rests.get((name, category), frozenset()) | {rest}
+            rests.setdefault((name, category), set()).add(rest)
+        self.rests = {k: frozenset(v) for k, v in rests.items()} | (self.known or {})
         self.names = BKTree(list(self.by_name))
         self.whole = BKTree(list(self.squeezed))
         self.longest = max(map(len, self.squeezed), default=0)
@@ -157,10 +163,15 @@ class ReferenceMatcher:
         return (best[2], best[0]) if best else (None, None)
 
     def winner(self, value: str | None) -> tuple[int, int, str] | None:
+        _, nearest = self.candidates(value)
+        return nearest[0] if len(nearest) == 1 else None
+
+    def candidates(self, value: str | None) -> tuple[int, list[tuple[int, int, str]]]:
+        """How entries were found, and all (distance, position, entry) at the least distance."""
         if value is None or not value.strip():
-            return None
+            return WHOLE, []
         if value in self.exact:
-            return (0, *self.exact[value])
+            return EXACT, [(0, *self.exact[value])]
         text = T.plain(value)
         found = set()
         read_any = False
@@ -176,12 +187,19 @@ class ReferenceMatcher:
                     tail = key[len(name[1]) :] if name else key
                     if tight.endswith(tail) and re.sub(r"\D", "", tight) == re.sub(r"\D", "", key):
                         found.add((distance, pos, entry))
-        if not found:
-            return None
-        first = min(found)
-        if len({e for d, _, e in found if d == first[0]}) > 1:
-            return None
-        return first
+        kind = WHOLE if not read_any else MENTION if found else NO_ENTRY
+        least = min(found)[0] if found else 0
+        return kind, sorted(f for f in found if f[0] == least)
+
+
+def known_rests(entries: list[tuple[int, str]], shards: list[list[tuple[int, str]]]) -> list[dict[tuple, frozenset]]:
+    """For each shard the rests, in the whole list, of the names that it has."""
+    read = {entry: T.read_entry(entry) for _, entry in entries}
+    rests: dict[tuple, set] = {}
+    for category, name, rest in filter(None, read.values()):
+        rests.setdefault((name, category), set()).add(rest)
+    frozen = {k: frozenset(v) for k, v in rests.items()}
+    return [{k: frozen[k] for k in {(r[1], r[0]) for r in (read[entry] for _, entry in shard) if r}} for shard in shards]
 
 
 def map_to_reference(df: DataFrame, value_col: str, reference: DataFrame, entry_col: str, key_cols: list[str] = (), max_distance: int = 1, shard_entries: int = SHARD_ENTRIES, shards_bound: int = 64) -> DataFrame:
@@ -204,8 +222,8 @@ def map_to_reference(df: DataFrame, value_col: str, reference: DataFrame, entry_
     source = df.select(*key_cols, F.col(value_col).cast("string").alias("value"))
     schema = ", ".join([*(f"`{c}` {t}" for c, t in source.dtypes), "entry string", "distance int"])
 
-    def run(entries: list[tuple[int, str]], rows: DataFrame, out: str) -> DataFrame:
-        shared = rows.sparkSession.sparkContext.broadcast((entries, max_distance))
+    if len(shards) == 1:
+        shared = df.sparkSession.sparkContext.broadcast((shards[0], max_distance))
 
         def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             matcher = ReferenceMatcher(*shared.value)
@@ -213,17 +231,30 @@ def map_to_reference(df: DataFrame, value_col: str, reference: DataFrame, entry_
                 hits = [matcher.match(v) for v in batch["value"]]
                 yield batch.assign(entry=pd.array([h[0] for h in hits], dtype=object), distance=pd.array([h[1] for h in hits], dtype="Int32"))
 
-        return rows.mapInPandas(search, out)
-
-    if len(shards) == 1:
-        return run(shards[0], source, schema)
-    # Winners of the shards, merged per distinct value; each value's own rows join them again.
+        return source.mapInPandas(search, schema)
+    # Candidates of the shards, merged per distinct value; each value's own rows join them again.
     values = source.select("value").distinct()
-    parts = [run(s, values, "value string, entry string, distance int") for s in shards]
+
+    def run(entries: list[tuple[int, str]], known: dict[tuple, frozenset]) -> DataFrame:
+        shared = df.sparkSession.sparkContext.broadcast((entries, max_distance, known))
+
+        def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            matcher = ReferenceMatcher(*shared.value)
+            for batch in batches:
+                rows = []
+                for v in batch["value"]:
+                    kind, nearest = matcher.candidates(v)
+                    rows += [(v, kind, d, e) for d, _, e in nearest] or ([(v, kind, None, None)] if kind == NO_ENTRY else [])
+                out = pd.DataFrame(rows, columns=["value", "kind", "distance", "entry"], dtype=object)
+                yield out.astype({"kind": "int32", "distance": "Int32"})
+
+        return values.mapInPandas(search, "value string, kind int, distance int, entry string")
+
+    parts = [run(s, k) for s, k in zip(shards, known_rests(listed, shards))]
     merged = parts[0]
     for p in parts[1:]:
         merged = merged.unionByName(p)
-    merged = merged.where("entry IS NOT NULL").groupBy("value").agg(F.min("distance").alias("distance"), F.collect_set(F.struct("distance", "entry")).alias("all"))
-    best = F.expr("transform(filter(all, x -> x.distance = distance), x -> x.entry)")
-    merged = merged.select("value", F.when(F.size(best) == 1, best[0]).alias("entry"), "distance").where("entry IS NOT NULL")
+    merged = merged.groupBy("value").agg(F.min(F.struct("kind", "distance")).alias("best"), F.collect_set(F.struct("kind", "distance", "entry")).alias("all"))
+    nearest = F.expr("transform(filter(all, x -> x.kind = best.kind AND x.distance = best.distance), x -> x.entry)")
+    merged = merged.select("value", F.when(F.size(nearest) == 1, nearest[0]).alias("entry"), F.col("best.distance").alias("distance")).where("entry IS NOT NULL")
     return source.join(merged, "value", "left").select(*source.columns, "entry", "distance")

@@ -70,6 +70,14 @@ def test_empty_reference_and_table_and_ties(spark):
     assert R.ReferenceMatcher([(0, "Abcdef 1000"), (1, "Abcdeg 1000")]).match("abcdef 1000") == ("Abcdef 1000", 0)
 
 
+def test_shards_decide_as_one_tree(spark):
+    ref = spark.createDataFrame([(e,) for e in ("Abcdef 1000", "Abcdeg 1000", "Abcdeh 1000", "Abcdei 2000", "Ignivar 4000", "Ignivarx 5000", "abcdeg1000 x", "Zorzal Duna", "Zor-zal Duna")], "sku string")
+    df = spark.createDataFrame([(v,) for v in ("abcdez 1000", "abcdef 1000", "Abcdeg 1000", "abcdei 1000", "abcdez 2000", "ignivar 5000", "ignivarx 4000", "ignivar 6000", "zorzalduna", "abcdeg1000x", None)], "v string")
+    got = [{r["value"]: (r["entry"], r["distance"]) for r in R.map_to_reference(df, "v", ref, "sku", shard_entries=size).collect()} for size in (200_000, 4, 2, 1)]
+    assert got[0]["abcdez 1000"] == (None, None) and got[0]["abcdef 1000"] == ("Abcdef 1000", 0)
+    assert got[1:] == got[:1] * 3
+
+
 def test_short_names_long_values_and_equal_squeezed_forms():
     m = R.ReferenceMatcher([(0, "Ryx 4000"), (1, "Ignivar 4000 Ti"), (2, "Kolibri" * 12 + " 4000")])
     assert m.match("VGA Ryx 4000 OC") == ("Ryx 4000", 0) and m.match("VGA Ryz 4000 OC") == (None, None)
