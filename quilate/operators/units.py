@@ -68,6 +68,14 @@ EXPONENTS = {"c/u": [1], "xunidad": [1], "/u": [1], "^2": [2], "^3": [3], "^-1":
 FILLERS = ("precio final", "precio en", "precio", "iva inc", "iva", "contado", "en")
 
 
+#: Whole steps keep sums of logs exact.
+LOG_STEPS = 10**9
+
+
+def _steps(scale: float) -> int:
+    return round(math.log10(scale) * LOG_STEPS)
+
+
 class UnitGrammar:
     """Segmentation of unit strings; ``priors`` weigh the roots of an ambiguous entry (field dimension)."""
 
@@ -82,31 +90,39 @@ class UnitGrammar:
             return []
         text = unicodedata.normalize("NFKC", unit).lower()
         text = "".join(c for c in unicodedata.normalize("NFKD", text) if not unicodedata.combining(c))
-        text = re.sub(r"[\s():.,_]+", "", text)[:200]
-        # best[i]: states (root, scale, power) -> least cost of a cut of text[:i]
+        text = re.sub(r"[\s():.,_]+", "", text)
+        most = 8.0 + 0.5 * len(text)
+        # best[i]: states (root, scale as a whole number of LOG_STEPS to a factor of ten, power) -> least cost of a cut of text[:i]
         best: list[dict] = [{} for _ in range(len(text) + 1)]
-        best[0][(None, 1.0, 1)] = 0.0
+        best[0][(None, 0, 1)] = 0.0
 
         def put(i: int, state: tuple, cost: float) -> None:
-            if cost < best[i].get(state, math.inf):
+            if cost < min(most, best[i].get(state, math.inf)):
                 best[i][state] = cost
 
+        def open_states(i: int) -> list:
+            """Without those that cannot win: what follows adds the same to all states of a root and leaves them apart, so ``keep`` cheaper ones stay cheaper."""
+            states, costs = sorted(best[i].items(), key=lambda x: x[1]), {}
+            for (root, *_), cost in states:
+                costs.setdefault(root, []).append(cost)
+            return [(state, cost) for state, cost in states if cost <= costs[state[0]][min(keep, len(costs[state[0]])) - 1]]
+
         for i in range(len(text)):
-            for (root, scale, power), cost in sorted(best[i].items(), key=lambda x: x[1])[:32]:
+            for (root, scale, power), cost in open_states(i):
                 for end, found in self.roots.ends(text, i):
                     for r in found:
                         name, _, own = r.partition(":")
                         if root in (None, name):
                             share = self.priors.get(name, 0.05)
-                            put(end, (name, scale * float(own or 1), power), cost + 1.0 - (math.log(share) if len(found) > 1 else 0.0))
+                            put(end, (name, scale + _steps(float(own or 1)), power), cost + 1.0 - (math.log(share) if len(found) > 1 else 0.0))
                 for end, found in self.prefixes.ends(text, i):
-                    put(end, (root, scale * found[0], power), cost + 1.2)
+                    put(end, (root, scale + _steps(found[0]), power), cost + 1.2)
                 for end, found in self.exponents.ends(text, i):
                     put(end, (root, scale, power * found[0]), cost + 1.0)
                 for end, _ in self.fillers.ends(text, i):
                     put(end, (root, scale, power), cost + 0.8)
                 put(i + 1, (root, scale, power), cost + 4.0)
-        out = [Reading(r, s, p, -c) for (r, s, p), c in best[-1].items() if r and c < 8.0 + 0.5 * len(text)]
+        out = [Reading(r, 10.0 ** max(-300.0, min(300.0, s / LOG_STEPS)), p, -c) for (r, s, p), c in best[-1].items() if r]
         return sorted(out, key=lambda x: -x.score)[:keep]
 
 

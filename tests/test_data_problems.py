@@ -36,6 +36,20 @@ def test_ambiguous_and_unreadable_units():
     assert G.readings("x" * 100_000) == [] and G.readings("usd^2")[0].power == 2
 
 
+def test_long_unit_strings():
+    assert [r.root for r in G.readings("precio final contado " * 40 + "USD")] == ["usd"]
+    assert G.readings("contado " * 60 + "k pesos")[0].scale == pytest.approx(1000)
+    assert units.UnitGrammar({}).readings("centi" * 400 + "usd")[0].root == "usd"
+
+
+@pytest.mark.parametrize("text", ["k$u^2^3centi$", "x100x1000k$milesmil$", "centsk^2^3^-1c/u$ ucentavos$", "kkkcenticentimilli^2^2^3^-1$ iva en", "x1000mega^3^2k$/u"])
+def test_states_that_are_left_out_could_not_win(text):
+    everything = G.readings(text, keep=10**6)
+    kept = G.readings(text, keep=4)
+    assert [r.score for r in kept] == pytest.approx([r.score for r in everything[:4]])
+    assert {(r.root, r.scale, r.power) for r in kept} <= {(r.root, r.scale, r.power) for r in everything if r.score >= kept[-1].score - 1e-9} and kept
+
+
 def price_rows(spark, rows):
     data = [(i, dt.datetime(2026, 3, 3, 12), "Ignivar 4000", "s", "q", p, c, u, "x") for i, (p, c, u) in enumerate(rows)]
     return spark.createDataFrame(data, "id long, timestamp timestamp, canonical_product_id string, source string, seller string, price double, currency string, price_usd double, rate string").drop("rate")
