@@ -33,7 +33,9 @@ SHARD_WORDS = 1_000_000
 #: Every so many positions a suffix position is kept.
 SAMPLE = 8
 
-_MARKUP = re.compile(r"<[^<>]{0,400}>|https?://\S+", re.I)
+#: A tag of any length; what stands after a lone "<" of a text, as in "a < b", is none unless it ends soon.
+TAG = r"<(?:[^<>]{0,400}|[a-z/!?][^<>]*)>"
+_MARKUP = re.compile(TAG + r"|https?://\S+", re.I)
 _BROKEN = re.compile(r"[ÃÂâ][\x80-\xbf‐-™€‚ƒ„…†‡ˆ‰Š‹ŒŽ‘’“”•–—˜™š›œžŸ¡-¿]")
 _WORDS = re.compile(r"[a-z0-9]+")
 _BREAK = re.compile(r"(?<=[a-záéíóúñü])-\n(?=[a-záéíóúñü])")

@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quilate.llm.leaks import repair
+from quilate.llm.leaks import TAG, repair
 from quilate.session import ensure_checkpoint_dir
 
 #: Function words of Spanish, English and Portuguese. Fixed values.
@@ -44,7 +44,7 @@ ADDRESS_WORDS = 3
 _ANCHOR = re.compile(r"<a\b[^<>]*>(.*?)</a>", re.S | re.I)
 _URL = re.compile(r"https?://[^\s<>\"']+|www\.[^\s<>\"']+", re.I)
 _TAGS = re.compile(r"</?(?:p|div|br|li|ul|ol|tr|td|h\d)\b[^<>]*>", re.I)
-_ANYTAG = re.compile(r"<[^<>]{0,400}>")
+_ANYTAG = re.compile(TAG, re.I)
 _WORD = re.compile(r"[^\W_]+(?:_[^\W_]+)*", re.U)
 _PRICE = re.compile(r"(?:u\$s|us\$|usd|uyu|\$u|r\$|\$|€)\s?\d|\d\s?(?:pesos|d[oó]lares|dollars|usd|uyu)\b", re.I)
 _SPEC = re.compile(r"^\W{0,6}(?:[^\W\d_]+ ?){1,4}:\s*\S")

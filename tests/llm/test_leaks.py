@@ -51,3 +51,11 @@ def test_found_spans(spark):
 def test_words():
     assert L.words_of("Láctea&nbsp;<b>AÑO</b> https://x.example/q resumi&oacute; cafÃ© fin-\nal") == ["lactea", "ano", "resumio", "cafe", "final"]
     assert L.words_of(None) == [] and L.words_of("<>") == []
+
+
+def test_tags_of_any_length_and_text_that_is_no_tag():
+    tag = '<SPAN style="' + "color: red; " * 200 + '">'
+    assert L.words_of(f"uno {tag}dos</span> tres") == ["uno", "dos", "tres"]
+    prose = "si a < b " + "entonces " * 100 + "c > d"
+    assert L.words_of(prose) == prose.replace("<", " ").replace(">", " ").split()
+    assert len(L.words_of("<a " * 100_000)) == 100_000

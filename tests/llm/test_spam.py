@@ -38,3 +38,8 @@ def test_trees_on_held_out_rows():
     trees = S.bagged_trees(x[:500], y[:500])
     p = np.mean([t.predict(x[500:]) for t in trees], axis=0)
     assert ((p > 0.5) == y[500:]).mean() > 0.93
+
+
+def test_long_tags_are_no_page_text():
+    tag = '<img src="data:' + "abc, def; " * 200 + '">'
+    assert [(line.split(), kind) for line, kind in S._lines(f"uno {tag} dos")] == [(["uno", "dos"], S.PLAIN)]
