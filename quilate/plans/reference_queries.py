@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from quilate import schemas
 from quilate.functions import fixed_values as V
 from quilate.functions import listing, match, text
-from quilate.operators import features, market, models, quality, upsert
+from quilate.operators import features, market, models, quality, units, upsert
 from quilate.session import table
 from quilate.sources import config, html
 
@@ -23,8 +23,10 @@ def prices(spark: SparkSession, d: str) -> DataFrame:
 
 
 def rates(spark: SparkSession, d: str) -> DataFrame:
+    """Every week of the features with its rate in pesos per dollar, whatever unit the records are in; NULL without any."""
     f = table(spark, d, "feature_snapshots")
-    return f.groupBy("week_start").agg(F.max(F.when(F.col("usd_uyu_rate").between(10, 100), F.col("usd_uyu_rate"))).alias("usd_uyu_rate"))
+    votes = units.weekly_rate(f, "week_start", "usd_uyu_rate").select(F.date_format("rate_week", "yyyy-MM-dd").alias("week_start"), F.col("rate").alias("usd_uyu_rate"))
+    return f.select("week_start").distinct().join(votes, "week_start", "left")
 
 
 def rounded(df: DataFrame, digits: int = 6) -> DataFrame:

@@ -6,8 +6,14 @@ from quilate.functions import fixed_values as V
 
 AS_OF, SINCE = "TIMESTAMP '2026-06-01 00:00:00'", "TIMESTAMP '2026-02-02 00:00:00'"
 
-PRICES = "prices AS (SELECT *, timestamp AT TIME ZONE 'UTC' AS ts FROM price_snapshots WHERE price_usd BETWEEN 1 AND 20000)"
-RATES = "rates AS (SELECT week_start, max(CASE WHEN usd_uyu_rate BETWEEN 10 AND 100 THEN usd_uyu_rate END) AS usd_uyu_rate FROM feature_snapshots GROUP BY 1)"
+PRICES = "prices AS (SELECT *, timestamp AT TIME ZONE 'UTC' AS ts FROM price_snapshots WHERE price_usd IS NOT NULL AND price_usd::VARCHAR <> 'nan')"
+#: Per week the rate most records agree on, records in dollars per peso or pesos per 100 dollars brought to pesos per dollar.
+RATES = """
+    straight AS (SELECT week_start, round(CASE WHEN usd_uyu_rate BETWEEN 5 AND 500 THEN usd_uyu_rate WHEN usd_uyu_rate BETWEEN 1/500.0 AND 1/5.0 THEN 1/usd_uyu_rate
+                        WHEN usd_uyu_rate BETWEEN 500 AND 50000 THEN usd_uyu_rate/100 END, 4) AS r FROM feature_snapshots WHERE usd_uyu_rate::VARCHAR <> 'nan'),
+    votes AS (SELECT week_start, r, count(*) AS k FROM straight WHERE r IS NOT NULL GROUP BY ALL),
+    elected AS (SELECT week_start, r FROM votes QUALIFY row_number() OVER (PARTITION BY week_start ORDER BY k DESC, r) = 1),
+    rates AS (SELECT week_start, r AS usd_uyu_rate FROM (SELECT DISTINCT week_start FROM feature_snapshots) LEFT JOIN elected USING (week_start))"""
 
 
 def _weekly(where: str = "true") -> str:
@@ -170,7 +176,7 @@ SQL = {
         FROM raw_listings l LEFT JOIN rates ON rates.week_start = strftime(date_trunc('week', timestamp AT TIME ZONE 'UTC'), '%Y-%m-%d') WHERE currency IN ('USD', 'UYU')""",
     "resolve_snapshots": f"WITH {OUTCOMES} SELECT id, canonical_product_id, source, seller, price, currency, round(price_usd, 6) AS price_usd FROM outcomes WHERE outcome = 'resolved'",
     "resolve_counters": f"WITH {OUTCOMES} SELECT outcome, count(*) AS n FROM outcomes GROUP BY 1",
-    "replace_features": f"""WITH {_weekly()}, new AS (SELECT week_start, canonical_product_id, r AS mediana_movil FROM f WHERE week_start >= '2026-05-01' AND r IS NOT NULL)
+    "replace_features": f"""WITH {_weekly()}, new AS (SELECT week_start, canonical_product_id, r AS mediana_movil FROM f)
         SELECT week_start, canonical_product_id, round(CASE WHEN isnan(mediana_movil) THEN NULL ELSE mediana_movil END, 6) AS mediana_movil FROM feature_snapshots o
         WHERE NOT EXISTS (SELECT 1 FROM new n WHERE n.week_start = o.week_start AND n.canonical_product_id = o.canonical_product_id)
         UNION ALL SELECT week_start, canonical_product_id, round(mediana_movil, 6) FROM new""",
