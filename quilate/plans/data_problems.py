@@ -52,7 +52,7 @@ def p5_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
     tracked = table(spark, sf_dir, "feature_snapshots").select(F.col("canonical_product_id").alias("entry")).distinct()
     converted = _converted(spark, sf_dir).join(tracked, "entry", "left_semi")
     bad = units.impossible(F.col("price_usd"), F.col("usd_value"))
-    readings = converted.select("id", "source", F.concat_ws("\x01", "entry", "source", "seller").alias("series"), F.col("timestamp").alias("at"), F.when(~bad, F.col("usd_value")).alias("value"), F.col("price_usd").alias("reading"), F.col("level").alias("season"), F.coalesce(bad, F.lit(True)).alias("impossible"), F.col("level_rows").alias("per_week"))
+    readings = converted.select("id", "source", F.concat_ws("\x01", "entry", "source", "seller").alias("series"), F.col("timestamp").alias("at"), F.when(~bad, F.col("usd_value")).alias("value"), F.col("price_usd").alias("reading"), F.coalesce(bad, F.lit(True)).alias("impossible"), F.col("level_rows").alias("per_week"))
     flags = anomalies.flag_readings(readings)
     reason = F.when(F.col("is_impossible"), "impossible").when(F.col("is_spike"), "spike").when(F.col("is_stuck"), "stuck")
     return flags.select("id", "source", "score", reason.alias("reason")).where("reason IS NOT NULL")

@@ -138,6 +138,30 @@ def test_readings(spark):
     assert anomalies.flag_readings(df.limit(0)).count() == 0
 
 
+def test_the_score_decides(spark, monkeypatch):
+    """A source that often moves by a third has spikes only far beyond that; without the forest its usual moves would be flagged."""
+    rng = np.random.default_rng(8)
+    usual = [float(100 * math.exp(rng.normal(0, 0.02) - (0.3 if rng.random() < 0.08 else 0))) for _ in range(600)]
+    for i in (100, 300, 500):
+        usual[i] *= 4
+    df = series(spark, usual)
+    assert {r["id"] for r in anomalies.flag_readings(df).where("is_spike").collect()} == {100, 300, 500}
+    monkeypatch.setattr(anomalies, "score_sources", lambda f: f.withColumn("score", F.lit(0.9)))
+    assert len(anomalies.flag_readings(df).where("is_spike").collect()) > 10
+
+
+def test_sources_in_several_broadcasts(spark, monkeypatch):
+    rng = np.random.default_rng(9)
+    df = None
+    for k, name in enumerate(("a", "b", None, "c", "d")):
+        part = series(spark, [float(100 * math.exp(rng.normal(0, 0.01 * (k + 1)))) for _ in range(60)], name, 1000 * k)
+        df = part if df is None else df.unionByName(part)
+    df = df.checkpoint()
+    once = {r["id"]: r["score"] for r in anomalies.flag_readings(df).collect()}
+    monkeypatch.setattr(anomalies, "SOURCES_A_BROADCAST", 2)
+    assert {r["id"]: r["score"] for r in anomalies.flag_readings(df).collect()} == once and len(once) == 300
+
+
 def test_blocks_change_nothing(spark):
     rng = np.random.default_rng(2)
     plan = [float(v) for v in np.round(100 * np.exp(rng.normal(0, 0.02, 200)), 0)]
