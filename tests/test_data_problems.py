@@ -146,7 +146,7 @@ def test_the_score_decides(spark, monkeypatch):
         usual[i] *= 4
     df = series(spark, usual)
     assert {r["id"] for r in anomalies.flag_readings(df).where("is_spike").collect()} == {100, 300, 500}
-    monkeypatch.setattr(anomalies, "score_sources", lambda f: f.withColumn("score", F.lit(0.9)))
+    monkeypatch.setattr(anomalies, "score_sources", lambda f, n: f.withColumn("score", F.lit(0.9)))
     assert len(anomalies.flag_readings(df).where("is_spike").collect()) > 10
 
 
@@ -159,6 +159,7 @@ def test_sources_in_several_broadcasts(spark, monkeypatch):
     df = df.checkpoint()
     once = {r["id"]: r["score"] for r in anomalies.flag_readings(df).collect()}
     monkeypatch.setattr(anomalies, "SOURCES_A_BROADCAST", 2)
+    monkeypatch.setattr(anomalies, "SOURCES_TO_BROADCAST", 1)
     assert {r["id"]: r["score"] for r in anomalies.flag_readings(df).collect()} == once and len(once) == 300
 
 
