@@ -94,6 +94,11 @@ def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spam.spam_pages(table(spark, sf_dir, "documents")).where("is_spam").select("doc_id")
 
 
+def p9_stages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the trees, and then the hosts, find among the labelled pages held out from training."""
+    return spam.stage_report(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "p1_percentiles": p1_percentiles,
     "p1_weekly_percentiles": p1_weekly_percentiles,
@@ -107,6 +112,7 @@ QUERIES = {
     "p8_found": p8_found,
     "p8_spans": p8_spans,
     "p9_found": p9_found,
+    "p9_stages": p9_stages,
 }
 
 

@@ -40,6 +40,30 @@ def test_trees_on_held_out_rows():
     assert ((p > 0.5) == y[500:]).mean() > 0.93
 
 
+def varied(n):
+    """Prose that hardly repeats itself."""
+    rng = random.Random(6)
+    word = lambda: "".join(rng.choice("bcdfglmnprstv") + rng.choice("aeiou") for _ in range(rng.randint(2, 4)))
+    small = "el la los de que no con para por se su un una en y pero como más sin sobre".split()
+    sentence = lambda: " ".join(rng.choice(small) if k % 2 else word() for k in range(rng.randint(8, 15))).capitalize() + ". "
+    return [(5000 + i, "".join(sentence() for _ in range(rng.randint(4, 9))), "https://c.example/x") for i in range(n)]
+
+
+def test_the_two_views_share_nothing_and_the_trees_decide(spark, monkeypatch):
+    assert not set(S.FEATURES) & set(S.LABEL_VIEW)
+    df = spark.createDataFrame([*corpus(), *varied(80)], "doc_id long, text string, url string")
+    report = {r["stage"]: r for r in S.stage_report(df, train_spam=20, train_sound=40).collect()}
+    assert set(report) == {"trees", "hosts"} and report["trees"]["spam"] >= 5 and report["trees"]["held_out"] >= report["trees"]["spam"] + 8
+    assert all(r["both"] >= 0.95 * r["spam"] and r["found"] <= r["both"] + 2 for r in report.values())
+    assert S.stage_report(df.limit(0)).count() == 0
+
+
+def test_label_view():
+    prose, keys = S.label_view(PROSE * 3), S.label_view("placa barata oferta; " * 60)
+    assert keys[0] < 0.1 < prose[0] and keys[1] == 0 < prose[1] and S.label_view(None) == S.label_view("  ") == [1.0, 0, 0, 0, 0, 0]
+    assert S.label_view("#a #b")[3] == 1 and S.label_view("https://a.example/x")[2] == 1
+
+
 def test_long_tags_are_no_page_text():
     tag = '<img src="data:' + "abc, def; " * 200 + '">'
     assert [(line.split(), kind) for line, kind in S._lines(f"uno {tag} dos")] == [(["uno", "dos"], S.PLAIN)]
