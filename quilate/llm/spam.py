@@ -66,6 +66,7 @@ def _lines(text: str) -> list[tuple[str, int]]:
         text = _ANYTAG.sub(" ", _TAGS.sub("\n", text))
     if "&" in text:
         text = html.unescape(text)
+    addresses = _URL.search(text) is not None
     out = []
     for line in text.split("\n"):
         if not line or line.isspace():
@@ -73,7 +74,7 @@ def _lines(text: str) -> list[tuple[str, int]]:
         if line.startswith("\x01"):
             out.append((line[1:], LINK))
             continue
-        urls = _URL.findall(line)
+        urls = _URL.findall(line) if addresses else ()
         if urls:
             rest = _URL.sub(" ", line)
             n = len(_WORD.findall(rest))
@@ -84,10 +85,9 @@ def _lines(text: str) -> list[tuple[str, int]]:
             out += [(rest, PLAIN), *((" u" * ADDRESS_WORDS, LINK) for _ in urls)]
             continue
         tags = line.count("#")
-        n = line.count(" ") + 1
         if tags >= 2 and tags >= 0.6 * len(line.split()):
             out.append((line, TAGGED))
-        elif n <= 40 and len(line.split()) <= 16 and (_PRICE.search(line) or _SPEC.match(line)) and line.count("/") < 3 and line.count(",") < 5:
+        elif line.count(" ") < 40 and len(line.split()) <= 16 and (_PRICE.search(line) or _SPEC.match(line)) and line.count("/") < 3 and line.count(",") < 5:
             out.append((line, LISTED))
         else:
             out.append((line, PLAIN))
@@ -143,13 +143,14 @@ def features(text: str | None) -> list[float]:
         echo[plain] = (distinct < (0.5 if width >= 32 else 0.45)) | ((distinct < 0.62) & (near < 0.25))
     # Lists of goods and specifications have no sentences by nature: the words beside them tell what the page is.
     beside = kind != LISTED
-    words_beside = (function[beside].mean(), len(np.unique(ids[beside])) / beside.sum()) if beside.any() else (1.0, 1.0)
-    return [float(x) for x in (bare.mean(), echo.mean(), (kind == LINK).mean(), (kind == TAGGED).mean(), (kind == LISTED).mean(), *words_beside)]
+    own = np.count_nonzero(beside)
+    words_beside = (np.count_nonzero(function[beside]) / own, (len(number) if own == n else len(np.unique(ids[beside]))) / own) if own else (1.0, 1.0)
+    each = np.bincount(kind, minlength=4) / n
+    return [float(x) for x in (np.count_nonzero(bare) / n, np.count_nonzero(echo) / n, each[LINK], each[TAGGED], each[LISTED], *words_beside)]
 
 
 #: Bytes compressed together, so that a text's length plays no part, and what zlib adds to each piece.
 PIECE_BYTES, PIECE_OVERHEAD = 1200, 11
-_DIGIT = re.compile("[0-9]")
 _END = re.compile(r"[.!?…](?:\s|<|$)")
 
 
@@ -163,7 +164,7 @@ def label_view(text: str | None) -> list[float]:
     cut = [raw[i : i + step] for i in range(0, len(raw), step)]
     compressed = sum((len(zlib.compress(c, 6)) - PIECE_OVERHEAD) / len(c) for c in cut) / len(cut)
     words = len(text.split())
-    return [compressed, len(_END.findall(text)) / words, (text.count("http") + text.count("www.")) / words, text.count("#") / words, len(_DIGIT.findall(text)) / len(text), float(len(text))]
+    return [compressed, len(_END.findall(text)) / words, (text.count("http") + text.count("www.")) / words, text.count("#") / words, sum(map(text.count, "0123456789")) / len(text), float(len(text))]
 
 
 #: Weak labels. A page is spam if it compresses below the one share with few sentences, or below the third with hardly
