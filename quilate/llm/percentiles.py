@@ -2,10 +2,11 @@
 
 1. ``value_counts`` reduces rows to (group, value, count); Spark combines them before the shuffle.
    These counts are the mergeable state: those of days, files or partitions add up (``combine``).
-2. ``percentiles`` range-sorts them. A range is a block of the value axis, computed from the value
-   itself, so a task that runs again gets the same blocks; one group's values spread over as many
-   tasks as it has blocks. Within a block a window makes running sums, and the offset of a block is
-   the sum of the block totals before it, from a table of one row per (group, block).
+2. ``percentiles`` range-sorts them by (group, value). The ends of the ranges come from the counts
+   themselves, so ranges are alike in size however the values lie, and a hot group spreads over as
+   many as it fills. The ranges are cut from their lineage by a checkpoint: a task that runs again
+   reads the same ranges. Within a range a window makes running sums, and the offset of a range is
+   the sum of the group's totals in the ranges before it, from a table of one row per (group, range).
 3. The first value whose cumulative count reaches ``ceil(p * n)`` is the percentile.
 
 Error: with ``relative_error = 0`` the result is exact (an observed value). Otherwise values are
@@ -22,9 +23,9 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quilate.session import ensure_checkpoint_dir
+
 DEFAULT_PERCENTILES = (0.05, 0.25, 0.5, 0.75, 0.95, 0.99)
-#: Blocks per factor e of the value axis.
-BLOCKS = 16
 
 
 def _bucketed(value: Column, e: float) -> Column:
@@ -55,16 +56,23 @@ def combine(parts: list[DataFrame], group_cols: list[str]) -> DataFrame:
     return whole.groupBy(*keys).agg(F.sum("pct_count").alias("pct_count"))
 
 
-def percentiles(counts: DataFrame, group_cols: list[str], ps: tuple[float, ...] = DEFAULT_PERCENTILES) -> DataFrame:
+def range_sorted(counts: DataFrame, group_cols: list[str], ranges: int | None = None) -> DataFrame:
+    """``counts`` in ranges of (group, value), with the number of the range, ``pct_block``; of ``ranges`` or as many as the session's shuffles have."""
+    ensure_checkpoint_dir(counts.sparkSession)
+    by = [*(F.col(c) for c in group_cols), F.col("pct_value")]
+    spread = counts.repartitionByRange(*by) if ranges is None else counts.repartitionByRange(ranges, *by)
+    return spread.withColumn("pct_block", F.spark_partition_id()).checkpoint()
+
+
+def percentiles(counts: DataFrame, group_cols: list[str], ps: tuple[float, ...] = DEFAULT_PERCENTILES, ranges: int | None = None) -> DataFrame:
     """One row per group and percentile: group columns, ``pct``, ``value``, ``n_values``.
 
-    Repeated values and ties need no rule (they share one count). Empty counts give no rows.
+    The number of ``ranges`` changes no result. Repeated values and ties need no rule (they share one count). Empty counts give no rows.
     """
     if any(not 0 <= p <= 1 for p in ps):
         raise ValueError("percentiles lie between 0 and 1")
     v = F.col("pct_value")
-    at = F.floor(F.log(F.abs(v)) * BLOCKS).cast("int") + 100_000
-    counts = counts.withColumn("pct_block", F.when(v > 0, at).when(v < 0, -at).otherwise(F.lit(0)))
+    counts = range_sorted(counts, group_cols, ranges)
     blocks = counts.groupBy(*group_cols, "pct_block").agg(F.sum("pct_count").alias("pct_in_block"))
     by_group = Window.partitionBy(*group_cols) if group_cols else Window.partitionBy(F.lit(1))
     ends = F.sum("pct_in_block").over(by_group.orderBy("pct_block").rowsBetween(Window.unboundedPreceding, Window.currentRow))

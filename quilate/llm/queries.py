@@ -44,6 +44,13 @@ def p1_bounded_error(spark: SparkSession, sf_dir: str) -> DataFrame:
     return percentiles.percentiles(percentiles.combine([daily], ["canonical_product_id"]), ["canonical_product_id"], PS).withColumn("value", F.round("value", 6)).withColumn("relative_error", F.lit(0.005))
 
 
+def p1_bounded_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The exact percentiles per product, and whether those of the sketches lie within the stated 0.5 %."""
+    exact = p1_percentiles(spark, sf_dir).select("canonical_product_id", "pct", F.col("value").alias("exact_value"))
+    off = F.abs(F.col("value") - F.col("exact_value")) <= (0.005 + 1e-9) * F.col("exact_value") + 1e-6
+    return p1_bounded_error(spark, sf_dir).join(exact, ["canonical_product_id", "pct"]).select("canonical_product_id", "pct", "exact_value", off.alias("within_bound"))
+
+
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The catalogue entry meant by each listing title and each identifier that is no sku."""
     catalog = table(spark, sf_dir, "canonical_catalog").select("sku")
@@ -104,6 +111,7 @@ QUERIES = {
     "p1_weekly_percentiles": p1_weekly_percentiles,
     "p1_combined_days": p1_combined_days,
     "p1_bounded_error": p1_bounded_error,
+    "p1_bounded_check": p1_bounded_check,
     "p2_found": p2_found,
     "p3_found": p3_found,
     "p3_groups": p3_groups,
@@ -132,10 +140,12 @@ _WEEKLY = """
     FROM price_snapshots WHERE price_usd > 0 AND price_usd::VARCHAR <> 'nan'
     AND strftime(date_trunc('week', timestamp AT TIME ZONE 'UTC'), '%Y-%m-%d') IN (SELECT week_start FROM feature_snapshots)
 """
+_POSITIVE = "SELECT canonical_product_id, price_usd FROM price_snapshots WHERE price_usd > 0 AND price_usd::VARCHAR <> 'nan'"
 _SKETCH = "SELECT canonical_product_id, pow(1.005 / 0.995, ceil(ln(price_usd) / ln(1.005 / 0.995))) * (2 / (1 + 1.005 / 0.995)) AS price_usd FROM price_snapshots WHERE price_usd > 0 AND price_usd::VARCHAR <> 'nan'"
 SQL = {
     "p1_bounded_error": f"SELECT canonical_product_id, pct, round(value, 6) AS value, n_values, 0.005::DOUBLE AS relative_error FROM ({_percentile_sql('canonical_product_id', _SKETCH)})",
-    "p1_percentiles": _percentile_sql("canonical_product_id", "SELECT canonical_product_id, price_usd FROM price_snapshots WHERE price_usd > 0 AND price_usd::VARCHAR <> 'nan'"),
+    "p1_bounded_check": f"SELECT canonical_product_id, pct, value AS exact_value, true AS within_bound FROM ({_percentile_sql('canonical_product_id', _POSITIVE)})",
+    "p1_percentiles": _percentile_sql("canonical_product_id", _POSITIVE),
     "p1_weekly_percentiles": _percentile_sql("canonical_product_id, week_start", _WEEKLY),
     "p1_combined_days": _percentile_sql("canonical_product_id, week_start", _WEEKLY),
 }

@@ -56,3 +56,13 @@ def test_days_combine(spark):
         daily = [P.value_counts(df.where(f"day = 'd{k}'"), ["g"], "v", e) for k in range(5)]
         parts = {tuple(r) for r in P.percentiles(P.combine(daily, ["g"]), ["g"]).collect()}
         assert parts == {tuple(r) for r in P.percentiles(P.value_counts(df, ["g"], "v", e), ["g"]).collect()}
+
+
+def test_a_hot_group_spreads_over_ranges_and_their_number_changes_nothing(spark):
+    rows = [("hot", 100 + (i * 7919 % 3000) / 1000) for i in range(3000)] + [("cold", 5.0), (None, 1.0)]
+    counts = P.value_counts(spark.createDataFrame(rows, "g string, v double"), ["g"], "v")
+    sizes = {(r["g"], r["pct_block"]): r["count"] for r in P.range_sorted(counts, ["g"], 10).groupBy("g", "pct_block").count().collect()}
+    hot = [n for (g, _), n in sizes.items() if g == "hot"]
+    assert len(hot) >= 8 and max(hot) < 900 and sum(hot) == 3000
+    got = [sorted(map(str, P.percentiles(counts, ["g"], ranges=k).collect())) for k in (1, 3, 10)]
+    assert got[0] == got[1] == got[2] and len(got[0]) == 18
