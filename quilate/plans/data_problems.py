@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from quilate.operators import anomalies, identifiers, impute, units
 from quilate.session import table
 
+#: Groups of similar records, the closest first.
+DECKS = [["canonical_product_id"], ["category", "brand_family"], ["category"], []]
 LAGS = {"precio_lag_1": 1, "precio_lag_2": 2}
 
 
@@ -29,7 +31,7 @@ def p4_filled(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     Distance (weeks) and level of the donor are -1 where nothing was filled.
     """
-    filled = impute.hot_deck(lag_cells(spark, sf_dir), [["canonical_product_id"], ["category", "brand_family"], ["category"], []])
+    filled = impute.hot_deck(lag_cells(spark, sf_dir), DECKS)
     return filled.select("row_id", "field_name", "canonical_product_id", F.col("obs").alias("observed_value"), "filled_value", "was_filled", F.coalesce("donor_distance", F.lit(-1)).alias("donor_distance"), F.coalesce("donor_level", F.lit(-1)).alias("donor_level"))
 
 
@@ -38,6 +40,11 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p4_filled(spark, sf_dir).where("was_filled").select("row_id", "field_name")
 
 
+def p4_masked_error(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each level of the deck errs by on observed cells that were hidden from it."""
+    return impute.masked_error(lag_cells(spark, sf_dir), DECKS)
+
+
 def _converted(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Price snapshots in dollars, with the catalogue entry their identifier means."""
     prices = table(spark, sf_dir, "price_snapshots").select("id", "timestamp", "canonical_product_id", "source", "seller", "price", "currency", "price_usd")
@@ -79,7 +86,7 @@ def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prices.unionByName(rates.select(F.lit("feature_snapshots").alias("origin"), "row_id", "unit_code"))
 
 
-QUERIES = {"p4_found": p4_found, "p4_filled": p4_filled, "p5_found": p5_found, "p5_flags": p5_flags, "p6_found": p6_found, "p6_converted": p6_converted, "p6_rates": p6_rates}
+QUERIES = {"p4_found": p4_found, "p4_filled": p4_filled, "p4_masked_error": p4_masked_error, "p5_found": p5_found, "p5_flags": p5_flags, "p6_found": p6_found, "p6_converted": p6_converted, "p6_rates": p6_rates}
 
 
 def _deck_sql() -> str:

@@ -115,6 +115,29 @@ def test_hot_deck_falls_back_and_leaves_what_never_was(spark):
     assert bad == [None] * 5 + [2.0]
 
 
+def test_wide_groups_get_only_open_cells_and_blocks_change_nothing(spark):
+    rng = np.random.default_rng(5)
+    cells = [(i, f"g{i % 40}" if i % 7 else None, ["u", "v", None][i % 3], int(rng.integers(0, 60)), float(rng.integers(1, 99)) if i % 40 > 8 and rng.random() < 0.5 else None, [True, False, None][int(rng.integers(0, 3))]) for i in range(900)]
+    df = spark.createDataFrame(cells, "row_id int, g string, k string, at long, obs double, wanted boolean")
+    got = [sorted(map(str, impute.hot_deck(df, [["g"], ["k"], []], span).collect())) for span in (1, 7, 500)]
+    assert got[0] == got[1] == got[2] and len(got[0]) == 900
+    levels = {r["donor_level"]: r["count"] for r in impute.hot_deck(df, [["g"], ["k"], []]).groupBy("donor_level").count().collect()}
+    assert levels[0] > 50 and levels[1] > 20 and 2 not in levels
+    by = {c[0]: c for c in cells}
+    for r in impute.hot_deck(df, [["k"]]).where("was_filled").collect():
+        donors = [(c[3], c[4]) for c in cells if c[2] == by[r["row_id"]][2] and c[4] is not None]
+        assert r["donor_distance"] == min(abs(at - r["at"]) for at, _ in donors) and r["wanted"] is True
+
+
+def test_masked_error(spark):
+    rows = [(i, f"p{i % 4}", i // 4, 100.0 + (i // 4), False) for i in range(800)]
+    df = spark.createDataFrame(rows, "row_id int, p string, at long, obs double, wanted boolean")
+    got = {r["donor_level"]: r for r in impute.masked_error(df, [["p"], []], one_in=10).collect()}
+    assert set(got) == {0, 1} and got[0]["cells"] == got[1]["cells"] > 40
+    # The nearest week of the product is one off in a hundred or more; of all products the same week is seldom hidden everywhere.
+    assert 0 < got[0]["median_error"] <= 0.01 and got[1]["median_error"] == 0
+
+
 def series(spark, plan, source="s", start=0, per_week=None):
     rows = [(start + i, source, f"{source}-q", dt.datetime(2025, 1, 1) + dt.timedelta(days=4 * i), v, v, 100.0, v is None, per_week) for i, v in enumerate(plan)]
     return spark.createDataFrame(rows, "id long, source string, series string, at timestamp, value double, reading double, season double, impossible boolean, per_week long")
