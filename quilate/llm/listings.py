@@ -5,8 +5,8 @@ hard parts are two items) and a set of *soft* tokens (maker, edition, edition nu
 (hard, soft) sets collapse to one class before anything is joined. Between classes of different
 size runs a prefix-filtered join for weighted containment: tokens are scoped by the hard part and
 ordered by rarity; a class probes with the prefix that a containment of ``containment`` leaves, the
-containing side is indexed by all its tokens, the length filter admits larger sets only, and the
-positional filter needs enough tokens after the shared one. Survivors are verified exactly, and a
+containing side is indexed by all its tokens, the length filter admits heavier sets only, and the
+positional filter needs enough weight from the shared token on. Survivors are verified exactly, and a
 star clustering puts each smaller set under the one largest set (centre) that contains it. A set
 that several centres contain identifies no single item and stays a group of its own.
 """
@@ -140,27 +140,45 @@ def correct(tokens: DataFrame) -> DataFrame:
     return joined.select("id", "seller", "hard", fixed.alias("soft"))
 
 
-def containment_stars(classes: DataFrame, containment: float = 1.0) -> DataFrame:
-    """(class_key, centre) of classes (class_key, hard, soft): the star clustering of the module text."""
-    tokens = classes.where(F.size("soft") > 0).select("class_key", "hard", F.size("soft").alias("size"), F.explode("soft").alias("token"))
+def containment_links(classes: DataFrame, containment: float = 1.0) -> DataFrame:
+    """(``class_key``, ``in_key``): sets of which ``containment`` of the weight lies in another set of the same hard part.
+
+    The other set weighs more (of equal weights the later key), so no pair comes out twice. Weights
+    grow with rarity among the sets of the hard part; with ``containment`` 1 these are the proper
+    supersets. NULL and empty sets link to nothing. Keys of many sets are split by the adaptive
+    skew join: both joins on tokens are inner ones.
+    """
+    if not 0 < containment <= 1:
+        raise ValueError("containment lies above 0 and at most at 1")
+    tokens = classes.where(F.size("soft") > 0).select("class_key", "hard", F.explode("soft").alias("token"))
     seen = tokens.groupBy("hard", "token").agg(F.count("*").alias("df"))
     total = classes.groupBy("hard").agg(F.count("*").alias("classes"))
     weight = F.log(1 + F.col("classes") / F.col("df")) + 0.1
-    weighed = tokens.join(seen, ["hard", "token"]).join(total, "hard").select("class_key", "hard", "size", F.struct(F.col("df"), "token", weight.alias("w")).alias("t"))
-    ordered = weighed.groupBy("class_key", "hard", "size").agg(F.sort_array(F.collect_list("t")).alias("ts"))
+    weighed = tokens.join(seen, ["hard", "token"]).join(total, "hard").select("class_key", "hard", F.struct(F.col("df"), "token", weight.alias("w")).alias("t"))
+    ordered = weighed.groupBy("class_key", "hard").agg(F.sort_array(F.collect_list("t")).alias("ts"))
     # Both sides of the join read the ordered sets: the cut keeps the plan, and the driver's memory, small.
-    ordered = ordered.withColumn("mass", F.aggregate("ts", F.lit(0.0), lambda a, t: a + t["w"])).checkpoint()
-    # Prefix: leading tokens whose loss a containment of this size would not survive.
-    slack = F.col("mass") * (1 - containment) + 1e-9
-    prefix = F.expr("sequence(1, size(ts))")
-    lost = F.filter(prefix, lambda i: (i == 1) | (F.aggregate(F.slice("ts", 1, i - 1), F.lit(0.0), lambda a, t: a + t["w"]) <= slack))
-    probe = ordered.select("class_key", "hard", "size", "ts", "mass", F.explode(lost).alias("i")).withColumn("token", F.expr("ts[i - 1].token"))
-    index = ordered.select(F.col("class_key").alias("in_key"), "hard", F.col("size").alias("in_size"), F.col("ts").alias("in_ts"), F.posexplode("ts").alias("in_pos", "x")).withColumn("token", F.col("x.token")).drop("x")
-    pairs = probe.join(index, ["hard", "token"]).where(
-        (F.col("in_size") > F.col("size")) & (F.col("in_size") - F.col("in_pos") >= (F.col("size") - F.col("i") + 1) * F.lit(containment) - F.lit(1e-9))
-    )
-    shared = F.aggregate(F.filter("ts", lambda t: F.exists("in_ts", lambda u: u["token"] == t["token"])), F.lit(0.0), lambda a, t: a + t["w"])
-    links = pairs.where(shared >= F.col("mass") * containment - 1e-9).select("class_key", "in_key").distinct().checkpoint()
+    sum_of = lambda ts: F.aggregate(ts, F.lit(0.0), lambda a, t: a + t["w"])
+    ordered = ordered.withColumn("mass", sum_of("ts")).checkpoint()
+    placed = ordered.select("class_key", "hard", "ts", "mass", F.posexplode("ts").alias("at", "x")).select("class_key", "hard", "ts", "mass", F.col("x.token").alias("token"), sum_of(F.slice("ts", 1, F.col("at"))).alias("before"))
+    need = F.col("mass") * containment - 1e-9
+    # Prefix filter: the first shared token of a pair has no more weight before it than the pair may lack.
+    probe = placed.where(F.col("before") <= F.col("mass") - need)
+    index = placed.select("hard", "token", F.col("class_key").alias("in_key"), F.col("ts").alias("in_ts"), F.col("mass").alias("in_mass"), F.col("before").alias("in_before"))
+    # Length filter by weight, and positional filter: what follows the first shared token on either side bounds the shared weight.
+    heavier = F.struct("in_mass", "in_key") > F.struct("mass", "class_key")
+    room = F.least(F.col("mass") - F.col("before"), F.col("in_mass") - F.col("in_before")) >= need
+    pairs = probe.join(index, ["hard", "token"]).where(heavier & room)
+    shared = sum_of(F.filter("ts", lambda t: F.exists("in_ts", lambda u: u["token"] == t["token"])))
+    return pairs.where(shared >= need).select("class_key", "in_key").distinct()
+
+
+def containment_stars(classes: DataFrame, containment: float = 1.0) -> DataFrame:
+    """(class_key, centre) of classes (class_key, hard, soft): the star clustering of the module text.
+
+    Centres are the sets that lie in no other. A set that lies in exactly one centre joins it; one
+    that lies in several, or (below containment 1) only in sets that are no centres, stays alone.
+    """
+    links = containment_links(classes, containment).checkpoint()
     # Only centres (sets that no other set contains) gather; exactly one may.
     inner = links.select(F.col("class_key").alias("in_key")).distinct()
     stars = links.join(inner, "in_key", "left_anti").groupBy("class_key").agg(F.min("in_key").alias("centre"), F.count("*").alias("centres"))
@@ -193,6 +211,8 @@ def same_item_pairs(groups: DataFrame) -> DataFrame:
     small = blocked.groupBy("group_id").agg(F.count("*").alias("size"), F.collect_set("part").alias("parts")).where("size > 1")
     joined = blocked.join(small, "group_id")
     one = joined.select("group_id", "id", "seller", F.when(F.col("size") <= block, F.lit("")).otherwise(F.col("part")).alias("a"), F.when(F.col("size") <= block, F.array(F.lit(""))).otherwise(F.col("parts")).alias("parts"))
-    left = one.select("group_id", F.col("id").alias("id_a"), F.col("seller").alias("seller_a"), "a", F.explode("parts").alias("b"))
-    right = one.select("group_id", F.col("id").alias("id_b"), F.col("seller").alias("seller_b"), F.explode("parts").alias("a"), F.col("a").alias("b"))
-    return left.join(right, ["group_id", "a", "b"]).where((F.col("id_a") < F.col("id_b")) & (F.col("seller_a") != F.col("seller_b"))).select("id_a", "id_b")
+    # A pair of blocks meets once, the lower block on the left.
+    left = one.select("group_id", "id", "seller", "a", F.explode(F.filter("parts", lambda p: p >= F.col("a"))).alias("b"))
+    right = one.select("group_id", F.col("id").alias("id_2"), F.col("seller").alias("seller_2"), F.explode(F.filter("parts", lambda p: p <= F.col("a"))).alias("a"), F.col("a").alias("b"))
+    pairs = left.join(right, ["group_id", "a", "b"]).where(((F.col("a") < F.col("b")) | (F.col("id") < F.col("id_2"))) & (F.col("id") != F.col("id_2")) & (F.col("seller") != F.col("seller_2")))
+    return pairs.select(F.least("id", "id_2").alias("id_a"), F.greatest("id", "id_2").alias("id_b"))

@@ -1,4 +1,8 @@
 import itertools
+import math
+import random
+
+import pytest
 
 from pyspark.sql import functions as F
 
@@ -56,6 +60,32 @@ def test_containment_join_against_brute_force(spark):
         assert got[key] == (top[0] if len(top) == 1 else key)
 
 
+@pytest.mark.parametrize("containment", [0.5, 0.7, 0.8, 0.9, 1.0])
+def test_links_against_brute_force(spark, containment):
+    rng = random.Random(int(containment * 10))
+    sets = sorted({("xy"[rng.random() < 0.3], tuple(sorted(rng.sample("abcdefghij", rng.randint(1, 7))))) for _ in range(90)})
+    rows = [(h + "|" + "|".join(s), h, list(s)) for h, s in sets]
+    got = {tuple(r) for r in L.containment_links(spark.createDataFrame(rows, "class_key string, hard string, soft array<string>"), containment).collect()}
+    n = {h: sum(x == h for _, x, _ in rows) for h in "xy"}
+    w = {(h, t): math.log(1 + n[h] / sum(x == h and t in s for _, x, s in rows)) + 0.1 for _, h, s in rows for t in s}
+    mass = lambda h, s: sum(w[h, t] for t in sorted(s))
+    want = set()
+    for ka, h, a in rows:
+        for kb, hb, b in rows:
+            if h == hb and ka != kb:
+                ma, mb = mass(h, a), mass(h, b)
+                if (mb > ma + 1e-7 or (abs(mb - ma) <= 1e-7 and kb > ka)) and mass(h, set(a) & set(b)) >= containment * ma - 1e-9:
+                    want.add((ka, kb))
+    close = {(a, b) for a, b in got ^ want if abs(mass(a[0], a.split("|")[1:]) - mass(b[0], b.split("|")[1:])) <= 1e-7}
+    assert got - close == want - close and len(want) > 20
+
+
+def test_a_shared_weight_of_four_fifths_is_linked_at_seven_tenths(spark):
+    rows = [("one", "m", ["a", "b", "c", "d", "e"]), ("two", "m", ["b", "c", "d", "e", "f"]), ("far", "m", ["x", "y"])]
+    got = {tuple(r) for r in L.containment_links(spark.createDataFrame(rows, "class_key string, hard string, soft array<string>"), 0.7).collect()}
+    assert got == {("one", "two")}
+
+
 def test_pairs_of_a_large_group_come_whole(spark):
     df = spark.range(700).select("id", F.lit("g").alias("group_id"), F.concat(F.lit("s"), (F.col("id") % 3).cast("string")).alias("seller"))
     assert L.same_item_pairs(df).count() == sum(1 for a, b in itertools.combinations(range(700), 2) if a % 3 != b % 3)
