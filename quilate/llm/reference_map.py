@@ -1,20 +1,27 @@
 """Mapping freely entered values to a reference list with BK-trees.
 
-The names of the reference entries form a BK-tree under the unrestricted Damerau-Levenshtein
-distance. That distance is a metric, so the triangle inequality prunes subtrees and a search
-returns *every* name within the threshold. The digits, suffixes and capacities of a mention must
-agree exactly with the entry (one character there is another product). A second BK-tree holds the
-squeezed entries (letters and digits only) for values typed without any spaces.
-
-Up to ``shard_entries`` entries one tree is broadcast to all tasks. A longer list is cut into
-shards of that size; the values pass each shard in turn. A shard gives all its nearest entries and
-whether it read a mention; ties and the fallback to whole strings are decided after the merge.
+One metric throughout: the unrestricted Damerau-Levenshtein distance in which an edit of a letter
+costs 1 and one that touches a digit 2. The triangle inequality holds, so it prunes subtrees and a
+search returns *every* word within the threshold. Digits thus agree exactly wherever one edit is
+allowed: one digit makes another product.
+
+The whole entries, their tokens joined, form one BK-tree; every run of neighbouring tokens of a
+value whose digits are those of some entry is searched in it, with a threshold by length, and the
+longest runs count. So entries and values of any shape are mapped. A second BK-tree holds the names
+of entries whose shape ``titles`` reads (name, number, suffix, capacity, speed). It maps values that
+give these parts in another order or in other units; a mention it reads that no entry fits is a
+product outside the list, and rules out whole entries.
+
+Up to ``shard_entries`` entries one pair of trees is broadcast to all tasks. A longer list is cut
+into shards of that size; the values pass each shard in turn. A shard gives all its nearest entries
+and how it found them; ties and the fallback to whole entries are decided after the merge.
 """
 
 from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -31,28 +38,55 @@ SHARD_ENTRIES = 200_000
 CACHE_WORDS = 200_000
 
 
+#: What an edit costs that touches a digit; of two letters it costs 1.
+DIGIT_COST = 2
+
+
+def _costs(s: str) -> list[int]:
+    return [DIGIT_COST if c.isdigit() else 1 for c in s]
+
+
 def edit_distance(a: str, b: str, limit: int | None = None) -> int:
-    """Unrestricted Damerau-Levenshtein distance (a true metric); above ``limit`` any larger number."""
+    """Unrestricted Damerau-Levenshtein distance, digits at ``DIGIT_COST`` (a true metric); above ``limit`` any larger number.
+
+    To put in or leave out a character costs its own cost, to replace or swap two the higher one.
+    """
     if a == b:
         return 0
     la, lb = len(a), len(b)
     if limit is not None and abs(la - lb) > limit:
         return limit + 1
-    top = la + lb
-    rows = [[top] * (lb + 2), [top, *range(lb + 1)]]
+    wa, wb = _costs(a), _costs(b)
+    pa, pb = [0, *accumulate(wa)], [0, *accumulate(wb)]
+    top = pa[la] + pb[lb] + DIGIT_COST
+    rows = [[top] * (lb + 2), [top, *pb]]
     last: dict[str, int] = {}
     for i in range(1, la + 1):
-        row = [top, i] + [0] * lb
+        ca, wi = a[i - 1], wa[i - 1]
+        row = [top, pa[i]] + [0] * lb
+        above = rows[i]
         rows.append(row)
         seen = 0
         for j in range(1, lb + 1):
-            k, m = last.get(b[j - 1], 0), seen
-            if a[i - 1] == b[j - 1]:
+            cb, wj = b[j - 1], wb[j - 1]
+            k, m = last.get(cb, 0), seen
+            if ca == cb:
                 cost, seen = 0, j
             else:
-                cost = 1
-            row[j + 1] = min(rows[i][j] + cost, row[j] + 1, rows[i][j + 1] + 1, rows[k][m] + (i - k - 1) + 1 + (j - m - 1))
-        last[a[i - 1]] = i
+                cost = wi if wi > wj else wj
+            best = above[j] + cost
+            x = row[j] + wj
+            if x < best:
+                best = x
+            x = above[j + 1] + wi
+            if x < best:
+                best = x
+            if k and m:
+                x = rows[k][m] + (pa[i - 1] - pa[k]) + (wi if wi > wj else wj) + (pb[j - 1] - pb[m])
+                if x < best:
+                    best = x
+            row[j + 1] = best
+        last[ca] = i
     return rows[la + 1][lb + 1]
 
 
@@ -119,12 +153,13 @@ class ReferenceMatcher:
         self.by_name: dict[str, set] = {}
         rests: dict[tuple, set] = {}
         self.exact: dict[str, tuple[int, str]] = {}
-        self.squeezed: dict[str, list[tuple[int, str]]] = {}
+        self.squeezed: dict[str, list[tuple[int, str, str]]] = {}
         self.cache: dict[str, list] = {}
         for pos, entry in self.entries:
             self.exact.setdefault(entry, (pos, entry))
-            self.squeezed.setdefault(squeeze(entry), []).append((pos, entry))
-            read = T.read_entry(entry)
+            read, key = T.read_entry(entry), squeeze(entry)
+            # What follows a name that was read has to agree exactly.
+            self.squeezed.setdefault(key, []).append((pos, entry, key[len(read[1]) :] if read and key.startswith(read[1]) else ""))
             if not read:
                 continue
             category, name, rest = read
@@ -134,6 +169,7 @@ class ReferenceMatcher:
         self.rests = {k: frozenset(v) for k, v in rests.items()} | (self.known or {})
         self.names = BKTree(list(self.by_name))
         self.whole = BKTree(list(self.squeezed))
+        self.digits = {digits_of(key) for key in self.squeezed}
         self.longest = max(map(len, self.squeezed), default=0)
 
     def near(self, word: str) -> list[tuple[int, str]]:
@@ -159,19 +195,15 @@ class ReferenceMatcher:
 
     def match(self, value: str | None) -> tuple[str | None, int | None]:
         """(entry, distance), or (None, None) if no entry is meant or two are equally near."""
-        best = self.winner(value)
-        return (best[2], best[0]) if best else (None, None)
+        nearest = self.candidates(value)[2]
+        return (nearest[0][2], nearest[0][0]) if len(nearest) == 1 else (None, None)
 
-    def winner(self, value: str | None) -> tuple[int, int, str] | None:
-        _, nearest = self.candidates(value)
-        return nearest[0] if len(nearest) == 1 else None
-
-    def candidates(self, value: str | None) -> tuple[int, list[tuple[int, int, str]]]:
-        """How entries were found, and all (distance, position, entry) at the least distance."""
+    def candidates(self, value: str | None) -> tuple[int, int, list[tuple[int, int, str]]]:
+        """How entries were found, the length they agree over (whole entries only), and all (distance, position, entry) at the least distance."""
         if value is None or not value.strip():
-            return WHOLE, []
+            return WHOLE, 0, []
         if value in self.exact:
-            return EXACT, [(0, *self.exact[value])]
+            return EXACT, 0, [(0, *self.exact[value])]
         text = T.plain(value)
         found = set()
         read_any = False
@@ -179,17 +211,58 @@ class ReferenceMatcher:
             read_any = True
             for pos, entry in self.by_key.get((name, category, rest), ()):
                 found.add((distance, pos, entry))
-        tight = "" if found or read_any else squeeze(value)
-        if tight and len(tight) <= self.longest + self.max_distance:
-            for distance, key in self.whole.within(tight, self.max_distance):
-                for pos, entry in self.squeezed[key]:
-                    name = T.read_entry(entry)
-                    tail = key[len(name[1]) :] if name else key
-                    if tight.endswith(tail) and re.sub(r"\D", "", tight) == re.sub(r"\D", "", key):
-                        found.add((distance, pos, entry))
-        kind = WHOLE if not read_any else MENTION if found else NO_ENTRY
-        least = min(found)[0] if found else 0
-        return kind, sorted(f for f in found if f[0] == least)
+        if read_any:
+            return (MENTION if found else NO_ENTRY), 0, least(found)
+        most, found = self.runs(text)
+        return WHOLE, most, least(found)
+
+    def runs(self, text: str) -> tuple[int, set[tuple[int, int, str]]]:
+        """Entries that a run of neighbouring tokens means as a whole: the most letters and digits of an entry, and those entries."""
+        tokens = [m[0] for m in _RUN.finditer(text)]
+        found: list[tuple[int, int, int, str]] = []
+        for i in range(len(tokens)):
+            run = ""
+            for j in range(i, len(tokens)):
+                run += tokens[j]
+                if len(run) > self.longest + self.max_distance:
+                    break
+                if digits_of(run) not in self.digits or (j + 1 < len(tokens) and _goes_on(tokens[j], tokens[j + 1])) or (i and tokens[i][0].isdigit() and tokens[i - 1].isdigit()):
+                    continue
+                for distance, key in self.within(run):
+                    if distance <= edits_allowed(key, self.max_distance):
+                        found += [(len(key), distance, pos, entry) for pos, entry, tail in self.squeezed[key] if run.endswith(tail)]
+        most = max((f[0] for f in found), default=0)
+        return most, {f[1:] for f in found if f[0] == most}
+
+    def within(self, run: str) -> list[tuple[int, str]]:
+        found = self.cache.get("=" + run)
+        if found is None:
+            if len(self.cache) >= CACHE_WORDS:
+                self.cache.clear()
+            found = self.cache["=" + run] = self.whole.within(run, self.max_distance)
+        return found
+
+
+_RUN = re.compile(r"[a-z]+|\d+")
+
+
+def digits_of(text: str) -> str:
+    return re.sub(r"\D", "", text)
+
+
+def least(found: set[tuple[int, int, str]]) -> list[tuple[int, int, str]]:
+    return sorted(f for f in found if f[0] == min(found)[0])
+
+
+def edits_allowed(key: str, most: int) -> int:
+    """By length: none in fewer than four letters, one in fewer than twelve, else ``most``."""
+    letters = sum(c.isalpha() for c in key)
+    return 0 if letters < 4 else min(most, 1) if letters < 12 else most
+
+
+def _goes_on(token: str, after: str) -> bool:
+    """Whether ``after`` makes the number another model: a variant, or more digits."""
+    return token.isdigit() and (after in T.VARIANT_WORDS or after in T.VARIANT_LETTERS) or token.isdigit() and after.isdigit()
 
 
 def known_rests(entries: list[tuple[int, str]], shards: list[list[tuple[int, str]]]) -> list[dict[tuple, frozenset]]:
@@ -202,6 +275,11 @@ def known_rests(entries: list[tuple[int, str]], shards: list[list[tuple[int, str
     return [{k: frozen[k] for k in {(r[1], r[0]) for r in (read[entry] for _, entry in shard) if r}} for shard in shards]
 
 
+def spread(values: DataFrame) -> DataFrame:
+    """Distinct values over as many tasks as the session's shuffles have: few bytes of them are much work, so size alone must not merge them."""
+    return values.repartition(int(values.sparkSession.conf.get("spark.sql.shuffle.partitions")), *values.columns)
+
+
 def map_to_reference(df: DataFrame, value_col: str, reference: DataFrame, entry_col: str, key_cols: list[str] = (), max_distance: int = 1, shard_entries: int = SHARD_ENTRIES, shards_bound: int = 64) -> DataFrame:
     """Each row's value with the reference entry it means.
 
@@ -233,7 +311,7 @@ def map_to_reference(df: DataFrame, value_col: str, reference: DataFrame, entry_
 
         return source.mapInPandas(search, schema)
     # Candidates of the shards, merged per distinct value; each value's own rows join them again.
-    values = source.select("value").distinct()
+    values = spread(source.select("value").distinct())
 
     def run(entries: list[tuple[int, str]], known: dict[tuple, frozenset]) -> DataFrame:
         shared = df.sparkSession.sparkContext.broadcast((entries, max_distance, known))
@@ -243,18 +321,18 @@ def map_to_reference(df: DataFrame, value_col: str, reference: DataFrame, entry_
             for batch in batches:
                 rows = []
                 for v in batch["value"]:
-                    kind, nearest = matcher.candidates(v)
-                    rows += [(v, kind, d, e) for d, _, e in nearest] or ([(v, kind, None, None)] if kind == NO_ENTRY else [])
-                out = pd.DataFrame(rows, columns=["value", "kind", "distance", "entry"], dtype=object)
-                yield out.astype({"kind": "int32", "distance": "Int32"})
+                    kind, length, nearest = matcher.candidates(v)
+                    rows += [(v, kind, -length, d, e) for d, _, e in nearest] or ([(v, kind, 0, None, None)] if kind == NO_ENTRY else [])
+                out = pd.DataFrame(rows, columns=["value", "kind", "shorter", "distance", "entry"], dtype=object)
+                yield out.astype({"kind": "int32", "shorter": "int32", "distance": "Int32"})
 
-        return values.mapInPandas(search, "value string, kind int, distance int, entry string")
+        return values.mapInPandas(search, "value string, kind int, shorter int, distance int, entry string")
 
     parts = [run(s, k) for s, k in zip(shards, known_rests(listed, shards))]
     merged = parts[0]
     for p in parts[1:]:
         merged = merged.unionByName(p)
-    merged = merged.groupBy("value").agg(F.min(F.struct("kind", "distance")).alias("best"), F.collect_set(F.struct("kind", "distance", "entry")).alias("all"))
-    nearest = F.expr("transform(filter(all, x -> x.kind = best.kind AND x.distance = best.distance), x -> x.entry)")
+    merged = merged.groupBy("value").agg(F.min(F.struct("kind", "shorter", "distance")).alias("best"), F.collect_set(F.struct("kind", "shorter", "distance", "entry")).alias("all"))
+    nearest = F.expr("transform(filter(all, x -> x.kind = best.kind AND x.shorter = best.shorter AND x.distance = best.distance), x -> x.entry)")
     merged = merged.select("value", F.when(F.size(nearest) == 1, nearest[0]).alias("entry"), F.col("best.distance").alias("distance")).where("entry IS NOT NULL")
     return source.join(merged, "value", "left").select(*source.columns, "entry", "distance")

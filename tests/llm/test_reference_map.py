@@ -41,6 +41,35 @@ def test_metric(a, b, c):
     assert R.edit_distance(a, c) <= R.edit_distance(a, b) + R.edit_distance(b, c)
 
 
+def weighted(a, b):
+    """Brute force with digits at their cost, by the recurrence over all transpositions."""
+    w = lambda c: R.DIGIT_COST if c.isdigit() else 1
+    d = {(0, 0): 0}
+    for i in range(len(a) + 1):
+        for j in range(len(b) + 1):
+            if i or j:
+                ways = []
+                if i:
+                    ways.append(d[i - 1, j] + w(a[i - 1]))
+                if j:
+                    ways.append(d[i, j - 1] + w(b[j - 1]))
+                if i and j:
+                    ways.append(d[i - 1, j - 1] + (0 if a[i - 1] == b[j - 1] else max(w(a[i - 1]), w(b[j - 1]))))
+                for k in range(1, i):
+                    for m in range(1, j):
+                        if a[k - 1] == b[j - 1] and b[m - 1] == a[i - 1]:
+                            ways.append(d[k - 1, m - 1] + sum(map(w, a[k : i - 1])) + max(w(a[i - 1]), w(b[j - 1])) + sum(map(w, b[m : j - 1])))
+                d[i, j] = min(ways)
+    return d[len(a), len(b)]
+
+
+@given(st.text("a1b", max_size=6), st.text("ab12", max_size=6), st.text("b21", max_size=6))
+@settings(max_examples=300, deadline=None)
+def test_digits_cost_more_in_the_same_metric(a, b, c):
+    assert R.edit_distance(a, b) == weighted(a, b) == R.edit_distance(b, a)
+    assert R.edit_distance(a, c) <= R.edit_distance(a, b) + R.edit_distance(b, c)
+
+
 def test_tree_returns_every_entry_within_threshold():
     rng = random.Random(3)
     words = ["".join(rng.choices("abcd", k=rng.randint(3, 7))) for _ in range(300)]
@@ -86,6 +115,41 @@ def test_short_names_long_values_and_equal_squeezed_forms():
     assert R.ReferenceMatcher([(0, "Zorzal Duna"), (1, "Zor-zal Duna")]).match("zorzalduna") == (None, None)
 
 
+#: Entries of other shapes than those of the test tables, and titles as shops write them.
+SHOP_ENTRIES = ["RTX 4060", "RTX 4060 Ti", "RX 7800 XT", "RX 7800", "Arc A750", "DDR5 32GB 5200", "DDR4 8GB 2666", "Kingston NV2 500GB", "SSD 500GB", "Ryzen 5 5600G", "Intel Core i5 12400", "Athlon 3000G"]
+SHOP_CASES = [
+    ("Placa MSI GeForce RTX 4060 Ventus 2X OC 8GB", "RTX 4060"), ("Zotac RTX 4060 Ti Twin Edge", "RTX 4060 Ti"), ("RTX4060 StormX", "RTX 4060"), ("RTX4060Ti Dual", "RTX 4060 Ti"), ("Sapphire RX 7800 XT Pulse", "RX 7800 XT"),
+    ("XFX RX7800XT Speedster", "RX 7800 XT"), ("Placa de video ASRock Intel ARC A750 Challenger", "Arc A750"), ("ArcA750 OC", "Arc A750"), ("Memoria Kingston Fury DDR5 32GB 5200MHz", "DDR5 32GB 5200"), ("Kingston 8GB DDR4 2666 MHz", "DDR4 8GB 2666"),
+    ("Disco Kingston NV2 500GB M.2 NVMe", "Kingston NV2 500GB"), ("SSD 500GB PCIe", "SSD 500GB"), ("Micro AMD Ryzen 5 5600G AM4", "Ryzen 5 5600G"), ("AMD Athlon 3000G", "Athlon 3000G"), ("Intel Core i5 12400 LGA1700", "Intel Core i5 12400"),
+    ("Pasta térmica 3 g", None), ("Riser PCIE4-RTX40", None), ("RX 7900 XT", None), ("DDR4 8GB 9999MHz", None), ("Memoria 4GB RAM", None), ("RTX 4060 Super", None), ("Arc A770", None), ("Kingston NV2 2TB", None),
+]
+
+
+def test_entries_of_any_shape(spark):
+    df = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(SHOP_CASES)], "id int, t string")
+    ref = spark.createDataFrame([(e,) for e in SHOP_ENTRIES], "sku string")
+    for size in (200_000, 5, 1):
+        got = {r["id"]: r["entry"] for r in R.map_to_reference(df, "t", ref, "sku", ["id"], shard_entries=size).collect()}
+        assert {SHOP_CASES[i][0]: e for i, e in got.items()} == dict(SHOP_CASES)
+
+
+@given(st.lists(st.sampled_from(SHOP_ENTRIES + ENTRIES + ["Zorzal Duna", "Zor-zal Duna", "Abcdef 1000", "Abcdeg 1000", "Nvx 3 500"]), min_size=1, max_size=9, unique=True), st.integers(1, 4), st.data())
+@settings(max_examples=60, deadline=None)
+def test_any_shards_decide_as_one_tree(entries, size, data):
+    """The merge of map_to_reference over the shards' candidates, for values near entries."""
+    listed = list(enumerate(sorted(entries)))
+    word = data.draw(st.sampled_from(entries)).lower()
+    at = data.draw(st.integers(0, len(word)))
+    value = data.draw(st.sampled_from(["", "vga ", "ssd 500gb "])) + word[:at] + data.draw(st.sampled_from(["", "x", " ", "-"])) + word[at + data.draw(st.integers(0, 1)) :]
+    shards = [listed[k : k + size] for k in range(0, len(listed), size)]
+    ranked = []
+    for shard, known in zip(shards, R.known_rests(listed, shards)):
+        kind, length, nearest = R.ReferenceMatcher(shard, 1, known).candidates(value)
+        ranked += [((kind, -length, d), e) for d, _, e in nearest] or ([((kind, 0, -1), None)] if kind == R.NO_ENTRY else [])
+    best = [e for rank, e in ranked if rank == min(r for r, _ in ranked)]
+    assert (best[0] if len(best) == 1 else None) == R.ReferenceMatcher(listed).match(value)[0]
+
+
 def test_entries_read_to_themselves():
     keys = [T.read_entry(e) for e in ENTRIES]
     assert None not in keys and len(set(keys)) == len(ENTRIES)
