@@ -277,7 +277,8 @@ def known_rests(entries: list[tuple[int, str]], shards: list[list[tuple[int, str
 
 def spread(values: DataFrame) -> DataFrame:
     """Distinct values over as many tasks as the session's shuffles have: few bytes of them are much work, so size alone must not merge them."""
-    return values.repartition(int(values.sparkSession.conf.get("spark.sql.shuffle.partitions")), *values.columns)
+    # By a hash of its own: a repartition by the columns themselves is dropped as the one that made the values distinct.
+    return values.repartition(int(values.sparkSession.conf.get("spark.sql.shuffle.partitions")), F.xxhash64(*values.columns))
 
 
 def map_to_reference(df: DataFrame, value_col: str, reference: DataFrame, entry_col: str, key_cols: list[str] = (), max_distance: int = 1, shard_entries: int = SHARD_ENTRIES, shards_bound: int = 64) -> DataFrame:
