@@ -14,6 +14,7 @@ shards need nothing from each other: no shuffle except to group each document's
 
 from __future__ import annotations
 
+import functools
 import html
 import re
 import unicodedata
@@ -30,6 +31,8 @@ PHRASE = 4
 SHARE = 0.4
 #: Words of one shard's index (about 60 bytes each while it is built).
 SHARD_WORDS = 1_000_000
+#: Evaluation items (some 1 kB each) that one pass over the documents searches; a longer list takes several.
+ITEMS_A_PART = 20_000
 #: Every so many positions a suffix position is kept.
 SAMPLE = 8
 
@@ -57,12 +60,39 @@ def repair(text: str) -> str:
     return re.sub(r"[^\x00-\x7f]{2,}", back, text)
 
 
+@functools.cache
+def _marks() -> re.Pattern:
+    """The combining marks of the basic plane, as ranges."""
+    points = [c for c in range(0x300, 0x10000) if unicodedata.combining(chr(c))]
+    first = [c for c in points if not unicodedata.combining(chr(c - 1))]
+    ends = [next(e for e in range(c, 0x10001) if e == 0x10000 or not unicodedata.combining(chr(e))) - 1 for c in first]
+    return re.compile("[" + "".join(f"{re.escape(chr(c))}-{re.escape(chr(e))}" for c, e in zip(first, ends)) + "]+")
+
+
+_BEYOND = re.compile("[\U00010000-\U0010ffff]")
+
+
+def without_marks(text: str) -> str:
+    """Compatibility decomposition without combining marks."""
+    text = unicodedata.normalize("NFKD", text)
+    if _BEYOND.search(text):
+        return "".join(c for c in text if not unicodedata.combining(c))
+    return _marks().sub("", text)
+
+
 def words_of(text: str | None) -> list[str]:
     if not text:
         return []
-    text = html.unescape(_MARKUP.sub(" ", repair(_BREAK.sub("", text))))
+    if "-\n" in text:
+        text = _BREAK.sub("", text)
+    if not text.isascii():
+        text = repair(text)
+    if "<" in text or "://" in text:
+        text = _MARKUP.sub(" ", text)
+    if "&" in text:
+        text = html.unescape(text)
     if not text.isascii():
-        text = "".join(c for c in unicodedata.normalize("NFKD", text) if not unicodedata.combining(c))
+        text = without_marks(text)
     return _WORDS.findall(text.lower())
 
 
@@ -199,6 +229,9 @@ class Passages:
         self.vocabulary = {w: k for k, w in enumerate(sorted({w for t in texts for w in t}), 2)}
         self.words = [np.array([self.vocabulary[w] for w in t], dtype=np.int64) for t in texts]
         self.symbols = len(self.vocabulary) + 1
+        self.lengths = np.array([len(w) for w in self.words], dtype=np.int64)
+        self.starts = np.cumsum(self.lengths) - self.lengths
+        self.flat = np.concatenate([*self.words, np.zeros(0, dtype=np.int64)])
         rows = [(t[k : k + phrase], i, k) for i, t in enumerate(self.words) for k in range(len(t) - phrase + 1)]
         grams = np.array([r[0] for r in rows], dtype=np.int64).reshape(-1, phrase)
         self.grams, back = np.unique(grams, axis=0, return_inverse=True) if len(grams) else (grams, np.zeros(0, int))
@@ -211,24 +244,44 @@ class Passages:
         get = self.vocabulary.get
         return np.array([get(w, 1) for w in words_of(text)], dtype=np.int64)
 
-    def stretch(self, doc: np.ndarray, item: np.ndarray, diagonal: int, first: int, last: int) -> tuple[int, int, int]:
-        """Extend agreement [first, last) of item words along a diagonal; (first, last, agreeing)."""
-        low, high = max(0, -diagonal), min(len(item), len(doc) - diagonal)
-        same = item[low:high] == doc[low + diagonal : high + diagonal]
 
-        def grow(flags: np.ndarray) -> int:
-            score = best = reach = 0
-            for k, f in enumerate(flags, 1):
-                score += 1 if f else -2
-                if f and score >= best:
-                    best, reach = score, k
-                if score < best - 6:
-                    break
-            return reach
+#: A stretch grows over agreeing (+1) and changed words (-2) until its score falls this far below its best.
+GIVE_UP = 6
+
 
-        last += grow(same[last - low :])
-        first -= grow(same[: first - low][::-1])
-        return first, last, int(same[first - low : last - low].sum())
+def _grown(agrees, start: np.ndarray, step: int) -> np.ndarray:
+    """How far each of many stretches grows from ``start`` on; ``agrees(which, at)`` gives 1, 0, or -1 beyond an end."""
+    score, best, reach = (np.zeros(len(start), dtype=np.int64) for _ in range(3))
+    alive, k = np.arange(len(start)), 0
+    while len(alive):
+        flag = agrees(alive, start[alive] + step * k)
+        alive, flag = alive[flag >= 0], flag[flag >= 0]
+        k += 1
+        score[alive] += np.where(flag == 1, 1, -2)
+        better = alive[(flag == 1) & (score[alive] >= best[alive])]
+        best[better], reach[better] = score[better], k
+        alive = alive[score[alive] >= best[alive] - GIVE_UP]
+    return reach
+
+
+def grow_stretches(s: np.ndarray, doc_start: np.ndarray, doc_length: np.ndarray, words: np.ndarray, item_start: np.ndarray, item_length: np.ndarray, diagonal: np.ndarray, first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Stretches [first, last) of item words along their diagonals, all at once, grown over changed words: (first, last, agreeing words)."""
+    low, high = np.maximum(0, -diagonal), np.minimum(item_length, doc_length - diagonal)
+
+    def agrees(which: np.ndarray, at: np.ndarray) -> np.ndarray:
+        inside = (at >= low[which]) & (at < high[which])
+        out = np.full(len(which), -1)
+        w, k = which[inside], at[inside]
+        out[inside] = words[item_start[w] + k] == s[doc_start[w] + diagonal[w] + k]
+        return out
+
+    last = last + _grown(agrees, last, 1)
+    first = first - _grown(agrees, first - 1, -1)
+    length = last - first
+    which = np.repeat(np.arange(len(first)), length)
+    at = first[which] + np.arange(len(which)) - np.repeat(np.cumsum(length) - length, length)
+    same = np.bincount(which, weights=agrees(which, at), minlength=len(first)).astype(np.int64)
+    return first, last, same
 
 
 def find_in_shard(docs: list[np.ndarray], passages: Passages) -> list[tuple[int, int, int, int, float]]:
@@ -264,43 +317,78 @@ def find_in_shard(docs: list[np.ndarray], passages: Passages) -> list[tuple[int,
     begin = np.flatnonzero(fresh)
     end = np.append(begin[1:], len(at)) - 1
     # Only documents whose segments of a passage could together reach the share go on to the words.
-    span = at[end] + passages.phrase - at[begin]
-    pair = np.ones(len(begin), dtype=bool)
-    pair[1:] = (doc[begin[1:]] != doc[begin[:-1]]) | (item[begin[1:]] != item[begin[:-1]])
-    head = np.flatnonzero(pair)
-    total = np.add.reduceat(span + 12, head)
-    need_of = passages.share * np.array([len(w) for w in passages.words])
-    tail = np.append(head[1:], len(begin))
-    out: dict[tuple[int, int], tuple[float, int, int]] = {}
-    for g in np.flatnonzero(total >= need_of[item[begin[head]]]):
-        d, i = int(doc[begin[head[g]]]), int(item[begin[head[g]]])
-        parts = [(int(at[begin[k]]), int(at[end[k]]) + passages.phrase, int(diagonal[begin[k]])) for k in range(head[g], tail[g])]
-        words, need = passages.words[i], need_of[i]
-        grown = sorted({(*passages.stretch(docs[d], words, g, f, t), g) for f, t, g in parts})
+    d, i = doc[begin], item[begin]
+    first, last, diag = at[begin], at[end] + passages.phrase, diagonal[begin]
+    need_of = passages.share * passages.lengths
+    keep = _enough(d, i, last - first + 12, need_of[i])
+    d, i, first, last, diag = d[keep], i[keep], first[keep], last[keep], diag[keep]
+    first, last, same = grow_stretches(s, starts[d], lengths[d], passages.flat, passages.starts[i], passages.lengths[i], diag, first, last)
+    # A run needs three agreeing words in four, so all stretches of a pair together need as many.
+    keep = _enough(d, i, same, AGREE * need_of[i])
+    d, i, first, last, diag, same = d[keep], i[keep], first[keep], last[keep], diag[keep], same[keep]
+    out: list[tuple[int, int, int, int, float]] = []
+    head = np.flatnonzero(_fresh_pairs(d, i))
+    for a, b in zip(head, np.append(head[1:], len(d))):
+        need, size = need_of[i[a]], int(passages.lengths[i[a]])
+        grown = sorted(set(zip(first[a:b].tolist(), last[a:b].tolist(), same[a:b].tolist(), diag[a:b].tolist())))
         # A word left out or put in moves the diagonal: neighbouring stretches join.
         best, run = (0.0, 0, 0), None
-        for f, t, same, g in grown:
+        for f, t, agreeing, g in grown:
             if run and abs(g - run[3]) <= 6 and f >= run[0] and f - run[1] <= 12 and t > run[1]:
-                run = (run[0], t, run[2] + same - max(0, run[1] - f), g)
+                run = (run[0], t, run[2] + agreeing - max(0, run[1] - f), g)
             else:
-                run = (f, t, same, g)
-            if run[1] - run[0] > best[0] * len(words) and run[2] >= 0.75 * (run[1] - run[0]):
-                best = ((run[1] - run[0]) / len(words), run[0], run[1])
-        if best[0] * len(words) >= need - 1e-9:
-            out[d, i] = best
-    return [(d, i, b[1], b[2], b[0]) for (d, i), b in out.items()]
+                run = (f, t, agreeing, g)
+            if run[1] - run[0] > best[0] * size and run[2] >= AGREE * (run[1] - run[0]):
+                best = ((run[1] - run[0]) / size, run[0], run[1])
+        if best[0] * size >= need - 1e-9:
+            out.append((int(d[a]), int(i[a]), best[1], best[2], best[0]))
+    return out
+
+
+#: Share of the words of a run that have to agree.
+AGREE = 0.75
+
+
+def _fresh_pairs(doc: np.ndarray, item: np.ndarray) -> np.ndarray:
+    fresh = np.ones(len(doc), dtype=bool)
+    fresh[1:] = (doc[1:] != doc[:-1]) | (item[1:] != item[:-1])
+    return fresh
+
+
+def _enough(doc: np.ndarray, item: np.ndarray, size: np.ndarray, need: np.ndarray) -> np.ndarray:
+    """Which rows, sorted by document and item, belong to a pair whose sizes add up to what it needs."""
+    if not len(doc):
+        return np.zeros(0, dtype=bool)
+    fresh = _fresh_pairs(doc, item)
+    head = np.flatnonzero(fresh)
+    return (np.add.reduceat(size, head) >= need[head] - 1e-9)[np.cumsum(fresh) - 1]
 
 
-def find_leaks(df: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", passage: str = "passage", phrase: int = PHRASE, share: float = SHARE, shard_words: int = SHARD_WORDS, items_bound: int = 20_000) -> DataFrame:
+def find_leaks(df: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", passage: str = "passage", phrase: int = PHRASE, share: float = SHARE, shard_words: int = SHARD_WORDS, items_a_part: int = ITEMS_A_PART) -> DataFrame:
     """``doc_id``, ``item_id``, ``first_word``, ``last_word`` (of the passage) and ``share`` of each held passage.
 
     NULL and empty texts hold nothing; an empty item list finds nothing; passages under ``phrase``
     words cannot be found. Repeated rows each come out. Only the named columns are read. Texts are
-    indexed whole; one text longer than a shard makes a shard of its own.
+    indexed whole; one text longer than a shard makes a shard of its own. Any number of items is
+    searched, ``items_a_part`` a pass.
     """
-    listed = [(r[0], r[1]) for r in bounded_rows(items.where(F.col(passage).isNotNull()).select(item_id, passage), items_bound, "the list of evaluation items")]
-    shared = df.sparkSession.sparkContext.broadcast((listed, phrase, share))
+    known = items.where(F.col(passage).isNotNull()).select(item_id, passage)
     source = df.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")).where("text IS NOT NULL")
+    schema = f"doc_id {dict(source.dtypes)['doc_id']}, item_id {dict(items.dtypes)[item_id]}, first_word int, last_word int, share double"
+    n = known.count()
+    # A longer list goes part by part, each item in one of them; half full, so that chance overfills none.
+    parts = 1 if n <= items_a_part else -(-2 * n // items_a_part)
+    out = None
+    for k in range(parts):
+        own = known if parts == 1 else known.where(F.pmod(F.xxhash64(item_id), F.lit(parts)) == k)
+        listed = [(r[0], r[1]) for r in bounded_rows(own, max(n, 1) if parts == 1 else items_a_part, "a part of the evaluation items")]
+        found = source.mapInPandas(_searcher(df.sparkSession.sparkContext.broadcast((listed, phrase, share)), shard_words), schema)
+        out = found if out is None else out.unionByName(found)
+    return out
+
+
+def _searcher(shared, shard_words: int):
+    """The search of one part of the items in the shards of a partition's documents."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         passages = Passages(*shared.value)
@@ -322,5 +410,4 @@ def find_leaks(df: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col
         if docs:
             yield flush()
 
-    kinds = dict(source.dtypes)
-    return source.mapInPandas(run, f"doc_id {kinds['doc_id']}, item_id {dict(items.dtypes)[item_id]}, first_word int, last_word int, share double")
+    return run
