@@ -22,7 +22,7 @@ def canonical_url(url: str | None) -> str | None:
 
 
 def normalize_url(url: Column) -> Column:
-    """``canonical_url``; URLs without a query, parameters or escapes never reach Python's result."""
+    """``canonical_url``; URLs without a query, parameters or escapes need no Python and go to it as NULL."""
 
     @F.pandas_udf(T.StringType())
     def full(s: pd.Series) -> pd.Series:
@@ -30,7 +30,8 @@ def normalize_url(url: Column) -> Column:
 
     low = F.rtrim(F.lower(url), F.lit("/"))
     plain = F.regexp_replace(low, "#.*$", "")
-    return F.when(~low.rlike(r"[?;%\s]") & low.rlike("^https?://[^/]"), plain).otherwise(full(url))
+    is_plain = ~low.rlike(r"[?;%\s]") & low.rlike("^https?://[^/]")
+    return F.when(is_plain, plain).otherwise(full(F.when(~is_plain, url)))
 
 
 def listing_key(source: Column, item_id: Column, url: Column) -> Column:
@@ -39,7 +40,7 @@ def listing_key(source: Column, item_id: Column, url: Column) -> Column:
 
 
 def to_usd(price: Column, currency: Column, rate: Column) -> Column:
-    """Dollars: USD as it is, UYU by the rate (NULL without one, or at rate 0); any other currency is an error."""
+    """Dollars: USD as it is, UYU by the rate (NULL without one, or at rate 0); any other currency, NULL too, is an error."""
     return F.when(currency == "USD", price).when(currency == "UYU", F.try_divide(price, rate)).otherwise(F.raise_error(F.concat(F.lit("currency not supported: "), F.coalesce(currency, F.lit("NULL")))).cast("double"))
 
 

@@ -16,7 +16,7 @@ from pyspark.sql import types as T
 
 from quilate.functions import fixed_values as V
 from quilate.functions.text import java, normalize_sku, normalize_title
-from quilate.session import bounded_rows
+from quilate.session import bounded_rows, spread
 
 CATALOG_BOUND = 20_000
 
@@ -31,29 +31,50 @@ def catalog_entries(catalog: DataFrame) -> list[str]:
     return list(dict.fromkeys(r["sku"] for r in sorted(rows, key=lambda r: (r["pos"] is None, r["pos"], r["sku"]))))
 
 
-def with_exact_match(df: DataFrame, title_col: str, catalog: DataFrame, out: str = "exact_sku") -> DataFrame:
-    """``df`` with the longest entry contained in the normalised title (file order on ties); NULL if none.
+def _containment(skus: list[str]):
+    """An Arrow UDF: the longest entry that a normalised title contains (file order on ties).
 
-    A literal array of hundreds of entries makes code too large to compile; in an Arrow UDF the
-    entries are grouped by their first word, and only groups whose word the title holds are tried.
+    A literal array of hundreds of entries makes code too large to compile. Here entries are grouped
+    by their first word, and only groups whose word the title holds are tried, longest entries first.
     """
-    skus = catalog_entries(catalog)
     ordered = sorted(skus, key=len, reverse=True)
-    groups: dict[str, list[tuple[int, str, str]]] = {}
+    groups: dict[str, list[tuple[int, str]]] = {}
     for i, s in enumerate(ordered):
-        groups.setdefault(plain_sku(s).split(" ")[0], []).append((i, plain_sku(s), s))
+        groups.setdefault(plain_sku(s).split(" ")[0], []).append((i, plain_sku(s)))
 
     @F.pandas_udf(T.StringType())
     def search(titles: pd.Series) -> pd.Series:
         def one(t):
             if t is None:
                 return None
-            hits = [h for first, entries in groups.items() if first in t for h in entries if h[1] in t]
-            return min(hits)[2] if hits else None
+            best = len(ordered)
+            for first, entries in groups.items():
+                if first in t:
+                    for i, text in entries:
+                        if i >= best:
+                            break
+                        if text in t:
+                            best = i
+            return ordered[best] if best < len(ordered) else None
 
         return titles.map(one)
 
-    return df.withColumn(out, search(normalize_title(F.col(title_col))))
+    return search
+
+
+def exact_titles(df: DataFrame, title_col: str, catalog: DataFrame) -> DataFrame:
+    """(``_title``, ``_exact``) of each distinct title, NULL left out; the titles are spread over the session's tasks."""
+    titles = spread(df.select(F.col(title_col).alias("_title")).where("_title IS NOT NULL").distinct())
+    return titles.withColumn("_exact", _containment(catalog_entries(catalog))(normalize_title(F.col("_title"))))
+
+
+def with_exact_match(df: DataFrame, title_col: str, catalog: DataFrame, out: str = "exact_sku") -> DataFrame:
+    """``df`` with the longest entry contained in the normalised title (file order on ties); NULL if none.
+
+    Distinct titles are searched once.
+    """
+    found = exact_titles(df, title_col, catalog)
+    return df.join(found, F.col(title_col) == F.col("_title"), "left").withColumn(out, F.col("_exact")).drop("_title", "_exact")
 
 
 def pattern_match(title: Column, skus: list[str]) -> Column:
@@ -220,7 +241,7 @@ class FuzzyIndex:
 def fuzzy_match(titles: DataFrame, title_col: str, catalog: DataFrame, threshold: float = V.FUZZY_THRESHOLD) -> DataFrame:
     """(title, ``fuzzy_sku``, ``fuzzy_score``) of each distinct title that some entry resembles."""
     skus = catalog_entries(catalog)
-    distinct = titles.select(F.col(title_col)).distinct().withColumn("_n", normalize_title(F.col(title_col)))
+    distinct = spread(titles.select(F.col(title_col)).distinct()).withColumn("_n", normalize_title(F.col(title_col)))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         index = FuzzyIndex(skus)
@@ -238,8 +259,7 @@ def resolve_titles(df: DataFrame, catalog: DataFrame, title_col: str = "title")
     Distinct titles are resolved once; similarity runs only on those that containment and patterns leave open.
     """
     skus = catalog_entries(catalog)
-    titles = df.select(F.col(title_col).alias("_title")).where("_title IS NOT NULL").distinct()
-    first = with_exact_match(titles, "_title", catalog, "_exact").withColumn("_pattern", pattern_match(F.col("_title"), skus))
+    first = exact_titles(df, title_col, catalog).withColumn("_pattern", pattern_match(F.col("_title"), skus))
     open_titles = first.where("_exact IS NULL AND _pattern IS NULL")
     fuzzy = fuzzy_match(open_titles, "_title", catalog)
     done = first.where("_exact IS NOT NULL OR _pattern IS NOT NULL").select(

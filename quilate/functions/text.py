@@ -25,13 +25,14 @@ def decomposed(t: str | None) -> str | None:
 
 
 def without_accents(c: Column) -> Column:
-    """NFKD without combining marks."""
+    """NFKD without combining marks; ASCII values stay as they are and go to Python as NULL."""
 
     @F.pandas_udf(T.StringType())
     def run(s: pd.Series) -> pd.Series:
         return s.map(decomposed)
 
-    return run(c)
+    other = c.rlike(r"[^\x00-\x7F]")
+    return F.when(other, run(F.when(other, c))).otherwise(c)
 
 
 def collapse(c: Column) -> Column:

@@ -120,10 +120,10 @@ def component_prices(spark, d):
     return table(spark, d, "raw_listings").where("currency = 'USD' AND price >= 43").select("id", "price")
 
 
-def model_match_rate(spark, d):
-    """Share of listings that containment resolves, per source."""
-    rows = match.with_exact_match(table(spark, d, "raw_listings"), "title", table(spark, d, "canonical_catalog"))
-    return rows.groupBy("source").agg(F.round(F.avg(F.when(F.col("exact_sku").isNotNull(), 1.0).otherwise(0.0)), 6).alias("match_rate"))
+def source_match_rate(spark, d):
+    """Share of listings that the resolver resolves, per source."""
+    rows = match.resolve_titles(table(spark, d, "raw_listings"), table(spark, d, "canonical_catalog"))
+    return rows.groupBy("source").agg(F.round(F.avg(F.when(F.col("resolved_sku").isNotNull(), 1.0).otherwise(0.0)), 6).alias("match_rate"))
 
 
 def per_source_counts(spark, d):
@@ -165,11 +165,11 @@ def regex_match(spark, d):
 
 
 def fuzzy_match(spark, d):
-    return match.fuzzy_match(_titles(spark, d), "title", table(spark, d, "canonical_catalog"))
+    return rounded(match.fuzzy_match(_titles(spark, d), "title", table(spark, d, "canonical_catalog")))
 
 
 def resolve_priority(spark, d):
-    return match.resolve_titles(_titles(spark, d), table(spark, d, "canonical_catalog")).select("id", "resolved_sku", "confidence", "matched_by")
+    return rounded(match.resolve_titles(_titles(spark, d), table(spark, d, "canonical_catalog")).select("id", "resolved_sku", "confidence", "matched_by"))
 
 
 def match_rate(spark, d):
@@ -201,27 +201,35 @@ def validate_listings(spark, d):
     return schemas.validate_listings(table(spark, d, "raw_listings")).groupBy("reject_reason").agg(F.count("*").alias("n"))
 
 
+def _usd(rows: DataFrame):
+    """Listings with their week, and the expression of their price in dollars; another currency than USD and UYU has none."""
+    rows = rows.withColumn("week_start", listing.week_text(F.col("timestamp")))
+    return rows, F.when(F.col("currency").isin(*schemas.CURRENCIES), listing.to_usd(F.col("price"), F.col("currency"), F.col("usd_uyu_rate")))
+
+
 def fx_normalize(spark, d):
-    rows = table(spark, d, "raw_listings").where("currency IN ('USD', 'UYU')").withColumn("week_start", listing.week_text(F.col("timestamp")))
-    joined = rows.join(rates(spark, d), "week_start", "left")
-    return joined.select("id", F.round(listing.to_usd(F.col("price"), F.col("currency"), F.col("usd_uyu_rate")), 6).alias("price_usd"))
+    rows, usd = _usd(table(spark, d, "raw_listings"))
+    return rows.join(rates(spark, d), "week_start", "left").select("id", F.round(usd, 6).alias("price_usd"))
 
 
 def _resolved_outcomes(spark, d):
-    """Listings with what becomes of them: unmatched, without condition new, without a rate, or a snapshot."""
-    rows = match.with_exact_match(table(spark, d, "raw_listings").where("currency IN ('USD', 'UYU')"), "title", table(spark, d, "canonical_catalog"), "canonical_product_id")
-    rows = rows.withColumn("week_start", listing.week_text(F.col("timestamp"))).join(rates(spark, d), "week_start", "left")
-    usd = listing.to_usd(F.col("price"), F.col("currency"), F.col("usd_uyu_rate"))
-    outcome = F.when(F.col("canonical_product_id").isNull(), "unmatched").when(F.coalesce("condition", F.lit("")) != "new", "not_new").when(usd.isNull(), "no_rate").otherwise("resolved")
-    return rows.withColumn("price_usd", usd).withColumn("outcome", outcome)
+    """All listings with what becomes of them: an error (no valid listing), unmatched, without condition new, without a rate, or a snapshot."""
+    checked = schemas.validate_listings(schemas.rebuilt_listings(table(spark, d, "raw_listings")))
+    rows, usd = _usd(match.resolve_titles(checked, table(spark, d, "canonical_catalog")).withColumnRenamed("resolved_sku", "canonical_product_id"))
+    outcome = (
+        F.when(F.col("reject_reason").isNotNull(), "error").when(F.col("canonical_product_id").isNull(), "unmatched").when(F.coalesce("condition", F.lit("")) != "new", "not_new").when(F.col("price_usd").isNull(), "no_rate").otherwise("resolved")
+    )
+    return rows.join(rates(spark, d), "week_start", "left").withColumn("price_usd", usd).withColumn("outcome", outcome)
 
 
 def resolve_snapshots(spark, d):
-    return _resolved_outcomes(spark, d).where("outcome = 'resolved'").select("id", "canonical_product_id", "source", "seller", "price", "currency", F.round("price_usd", 6).alias("price_usd"))
+    """The snapshots of the whole resolver: exact, by pattern, by similarity."""
+    return _resolved_outcomes(spark, d).where("outcome = 'resolved'").select("id", "canonical_product_id", "source", "seller", "price", "currency", F.round("price_usd", 6).alias("price_usd"), "matched_by", F.round("confidence", 6).alias("confidence"))
 
 
 def resolve_counters(spark, d):
-    return _resolved_outcomes(spark, d).groupBy("outcome").agg(F.count("*").alias("n"))
+    """Listings processed, and what became of them, errors too."""
+    return _resolved_outcomes(spark, d).groupBy("outcome", "matched_by").agg(F.count("*").alias("n"))
 
 
 def replace_features(spark, d):
@@ -403,11 +411,11 @@ def title_keyword_share(spark, d):
 
 
 def precision_recall(spark, d):
-    """Containment against the sku of the listing's snapshots, where they agree on one."""
+    """The resolver against the sku of the listing's snapshots, where they agree on one."""
     snaps = table(spark, d, "price_snapshots").join(table(spark, d, "canonical_catalog").select(F.col("sku").alias("canonical_product_id")), "canonical_product_id", "left_semi")
     truth = snaps.where("listing_id IS NOT NULL").groupBy("listing_id").agg(F.min("canonical_product_id").alias("truth"), F.count_distinct("canonical_product_id").alias("k")).where("k = 1")
     rows = table(spark, d, "raw_listings").join(truth, F.col("listing_key") == F.col("listing_id"))
-    return quality.precision_recall(match.with_exact_match(rows, "title", table(spark, d, "canonical_catalog")), "truth", "exact_sku")
+    return quality.precision_recall(match.resolve_titles(rows, table(spark, d, "canonical_catalog")), "truth", "resolved_sku")
 
 
 def daily_head(spark, d):
@@ -423,6 +431,6 @@ QUERIES = {
         upsert_listings, ingest_counters, validate_listings, fx_normalize, resolve_snapshots, resolve_counters, replace_features, training_frame, min_history_skus, forward_fill, walk_forward_folds,
         naive_cv_metrics, naive_cv_mean, elasticnet_cv, elasticnet_importances, winner_predictions, latest_week_predictions_naive, prediction_bounds, model_winner_counts, skus_by_brand, latest_listings,
         parse_cards_thot, parse_cards_banifox, parse_cards_pccompu, page_urls, pagination_stop, dedup_urls, zero_row_alerts, fx_json, sku_stats, source_pivot, daily_volume, daily_median_top5, rolling_mean_7,
-        hist_vs_current, signal_marks, scan_listings, least_current_price, price_describe, listing_overview, top_products, value_counts_currency, component_prices, model_match_rate, per_source_counts, summary_history, value_counts_condition, null_counts, outliers, title_keyword_share, precision_recall, daily_head,
+        hist_vs_current, signal_marks, scan_listings, least_current_price, price_describe, listing_overview, top_products, value_counts_currency, component_prices, source_match_rate, per_source_counts, summary_history, value_counts_condition, null_counts, outliers, title_keyword_share, precision_recall, daily_head,
     )
 }

@@ -91,6 +91,31 @@ def _pattern_match() -> str:
     return f"coalesce({', '.join(tries)})"
 
 
+def _resolved(opened: str = "WHERE title IN (SELECT title FROM read WHERE sku IS NULL)") -> str:
+    """Each title with its entry by containment, else by pattern, else by similarity (``V.FUZZY_THRESHOLD`` at least).
+
+    Similarity of the shorter string a with stretches of the longer b: twice the longest common
+    subsequence over both lengths, bit-parallel. An a shares at least a third of its pairs, less one,
+    with any b that it resembles that much; the rest is not compared.
+    """
+    return f"""
+    cat AS (SELECT sku, min(pos) AS pos, any_value(lower(trim(regexp_replace(sku, '\\s+', ' ', 'g')))) AS p FROM canonical_catalog WHERE sku IS NOT NULL GROUP BY sku),
+    titles AS (SELECT title, {_normalized('title')} AS n FROM (SELECT DISTINCT title FROM raw_listings WHERE title IS NOT NULL)),
+    held AS (SELECT title, sku FROM titles JOIN cat ON contains(n, p) QUALIFY row_number() OVER (PARTITION BY title ORDER BY length(sku) DESC, pos) = 1),
+    read AS (SELECT title, {_pattern_match()} AS sku FROM (SELECT title FROM titles WHERE title NOT IN (SELECT title FROM held))),
+    opened AS (SELECT title, n FROM titles {opened}),
+    sides AS (SELECT title, sku, pos, CASE WHEN length(p) <= length(n) THEN p ELSE n END AS a, CASE WHEN length(p) <= length(n) THEN n ELSE p END AS b FROM opened, cat WHERE n <> ''),
+    near AS (SELECT * FROM sides WHERE len(list_filter(range(1, length(a)), lambda i: contains(b, substr(a, i, 2)))) >= length(a) / 3.0 - 1),
+    both_ways AS (SELECT * FROM near UNION ALL SELECT title, sku, pos, b, a FROM near WHERE length(a) = length(b)),
+    masks AS (SELECT title, sku, pos, length(a) AS m, length(b) AS n, list_transform(range(1, length(b) + 1), lambda k: list_sum(list_transform(range(1, length(a) + 1), lambda j: CASE WHEN substr(a, j, 1) = substr(b, k, 1) THEN 1::BIGINT << (j - 1) ELSE 0 END))::BIGINT) AS x FROM both_ways),
+    cuts AS (SELECT *, unnest(list_transform(range(1, n - m + 2), lambda i: [i, i + m - 1]) || list_transform(range(1, m), lambda k: [1, k]) || list_transform(range(1, m), lambda k: [n - k + 1, n])) AS cut FROM masks),
+    common AS (SELECT title, sku, pos, m, cut, bit_count(list_reduce(list_slice(x, cut[1], cut[2]), lambda v, y: ((v + (v & y)) | (v - (v & y))) & ((1::BIGINT << m) - 1), (1::BIGINT << m) - 1)) AS open_bits FROM cuts),
+    scored AS (SELECT title, sku, pos, max(2 * (m - open_bits)::DOUBLE / (m + cut[2] - cut[1] + 1)) AS score FROM common GROUP BY ALL),
+    alike AS (SELECT title, sku, score FROM scored WHERE score >= {V.FUZZY_THRESHOLD} QUALIFY row_number() OVER (PARTITION BY title ORDER BY score DESC, pos) = 1),
+    resolved AS (SELECT title, sku, {V.EXACT_CONFIDENCE}::DOUBLE AS confidence, 'exact' AS matched_by FROM held UNION ALL SELECT title, sku, {V.PATTERN_CONFIDENCE}::DOUBLE, 'regex' FROM read WHERE sku IS NOT NULL UNION ALL SELECT title, sku, score, 'fuzzy' FROM alike)
+    """
+
+
 URL = """
     u AS (SELECT id, source, item_id, regexp_replace(rtrim(lower(url), '/'), '#.*$', '') AS full_url FROM raw_listings),
     parts AS (SELECT *, string_split(full_url, '?')[1] AS base,
@@ -103,11 +128,15 @@ FOLD = """
     folded AS (SELECT *, CASE WHEN row_number() OVER w = 1 THEN 'inserted' WHEN lag(price) OVER w <> price THEN 'updated' ELSE 'unchanged' END AS outcome FROM raw_listings WINDOW w AS (PARTITION BY listing_key ORDER BY id))
 """
 
+REJECT = """CASE WHEN trim(replace(title, chr(160), ' ')) = '' OR title IS NULL THEN 'title' WHEN source NOT IN ('thot', 'banifox', 'pccompu') THEN 'source' WHEN currency IS NULL OR currency NOT IN ('UYU', 'USD') THEN 'currency'
+            WHEN condition NOT IN ('new', 'used') THEN 'condition' WHEN price IS NULL OR isnan(price) OR price <= 0 THEN 'price' WHEN base_price <= 0 THEN 'base_price' END"""
+
 OUTCOMES = f"""
-    {RATES}, {EXACT},
-    j AS (SELECT l.*, exact_sku AS canonical_product_id, CASE currency WHEN 'USD' THEN price ELSE price / nullif(usd_uyu_rate, 0) END AS price_usd
-          FROM raw_listings l LEFT JOIN exact USING (id) LEFT JOIN rates ON rates.week_start = strftime(date_trunc('week', timestamp AT TIME ZONE 'UTC'), '%Y-%m-%d') WHERE currency IN ('USD', 'UYU')),
-    outcomes AS (SELECT *, CASE WHEN canonical_product_id IS NULL THEN 'unmatched' WHEN coalesce(condition, '') <> 'new' THEN 'not_new' WHEN price_usd IS NULL THEN 'no_rate' ELSE 'resolved' END AS outcome FROM j)
+    {RATES}, {_resolved()},
+    rebuilt AS (SELECT * REPLACE (nullif(condition, '') AS condition, nullif(base_price, 0) AS base_price) FROM raw_listings),
+    j AS (SELECT l.*, {REJECT} AS reject_reason, r.sku AS canonical_product_id, r.matched_by, coalesce(r.confidence, 0) AS confidence, CASE currency WHEN 'USD' THEN price WHEN 'UYU' THEN price / nullif(usd_uyu_rate, 0) END AS price_usd
+          FROM rebuilt l LEFT JOIN resolved r USING (title) LEFT JOIN rates ON rates.week_start = strftime(date_trunc('week', timestamp AT TIME ZONE 'UTC'), '%Y-%m-%d')),
+    outcomes AS (SELECT *, CASE WHEN reject_reason IS NOT NULL THEN 'error' WHEN canonical_product_id IS NULL THEN 'unmatched' WHEN coalesce(condition, '') <> 'new' THEN 'not_new' WHEN price_usd IS NULL THEN 'no_rate' ELSE 'resolved' END AS outcome FROM j)
 """
 
 TARGETS = f"{PRICES}, targets AS (SELECT strftime(date_trunc('week', ts), '%Y-%m-%d') AS week_start, canonical_product_id, median(price_usd) AS target FROM prices GROUP BY ALL)"
@@ -172,10 +201,13 @@ SQL = {
         WITH r AS (SELECT CASE WHEN trim(replace(title, chr(160), ' ')) = '' THEN 'title' WHEN source NOT IN ('thot', 'banifox', 'pccompu') THEN 'source' WHEN currency NOT IN ('UYU', 'USD') THEN 'currency'
             WHEN condition NOT IN ('new', 'used') THEN 'condition' WHEN isnan(price) OR price <= 0 THEN 'price' WHEN base_price <= 0 THEN 'base_price' END AS reject_reason FROM raw_listings)
         SELECT reject_reason, count(*) AS n FROM r GROUP BY 1""",
-    "fx_normalize": f"""WITH {RATES} SELECT l.id, round(CASE currency WHEN 'USD' THEN price ELSE price / nullif(usd_uyu_rate, 0) END, 6) AS price_usd
-        FROM raw_listings l LEFT JOIN rates ON rates.week_start = strftime(date_trunc('week', timestamp AT TIME ZONE 'UTC'), '%Y-%m-%d') WHERE currency IN ('USD', 'UYU')""",
-    "resolve_snapshots": f"WITH {OUTCOMES} SELECT id, canonical_product_id, source, seller, price, currency, round(price_usd, 6) AS price_usd FROM outcomes WHERE outcome = 'resolved'",
-    "resolve_counters": f"WITH {OUTCOMES} SELECT outcome, count(*) AS n FROM outcomes GROUP BY 1",
+    "fx_normalize": f"""WITH {RATES} SELECT l.id, round(CASE currency WHEN 'USD' THEN price WHEN 'UYU' THEN price / nullif(usd_uyu_rate, 0) END, 6) AS price_usd
+        FROM raw_listings l LEFT JOIN rates ON rates.week_start = strftime(date_trunc('week', timestamp AT TIME ZONE 'UTC'), '%Y-%m-%d')""",
+    "fuzzy_match": f"WITH {_resolved('')} SELECT title, sku AS fuzzy_sku, round(score, 6) AS fuzzy_score FROM alike",
+    "resolve_priority": f"WITH {_resolved()} SELECT id, sku AS resolved_sku, round(coalesce(confidence, 0), 6) AS confidence, matched_by FROM raw_listings LEFT JOIN resolved USING (title)",
+    "match_rate": f"WITH {_resolved()} SELECT matched_by, count(*) AS n FROM raw_listings LEFT JOIN resolved USING (title) GROUP BY 1",
+    "resolve_snapshots": f"WITH {OUTCOMES} SELECT id, canonical_product_id, source, seller, price, currency, round(price_usd, 6) AS price_usd, matched_by, round(confidence, 6) AS confidence FROM outcomes WHERE outcome = 'resolved'",
+    "resolve_counters": f"WITH {OUTCOMES} SELECT outcome, matched_by, count(*) AS n FROM outcomes GROUP BY ALL",
     "replace_features": f"""WITH {_weekly()}, new AS (SELECT week_start, canonical_product_id, r AS mediana_movil FROM f)
         SELECT week_start, canonical_product_id, round(CASE WHEN isnan(mediana_movil) THEN NULL ELSE mediana_movil END, 6) AS mediana_movil FROM feature_snapshots o
         WHERE NOT EXISTS (SELECT 1 FROM new n WHERE n.week_start = o.week_start AND n.canonical_product_id = o.canonical_product_id)
@@ -234,17 +266,17 @@ SQL = {
     "top_products": f"WITH {PRICES} SELECT canonical_product_id, count(*) AS n FROM prices GROUP BY 1 ORDER BY n DESC, 1 LIMIT 20",
     "value_counts_currency": "SELECT currency AS value, count(*) AS n FROM price_snapshots GROUP BY 1",
     "component_prices": "SELECT id, price FROM raw_listings WHERE currency = 'USD' AND price >= 43",
-    "model_match_rate": f"WITH {EXACT} SELECT source, round(avg(CASE WHEN exact_sku IS NOT NULL THEN 1.0 ELSE 0.0 END), 6) AS match_rate FROM raw_listings LEFT JOIN exact USING (id) GROUP BY 1",
+    "source_match_rate": f"WITH {_resolved()} SELECT source, round(avg(CASE WHEN sku IS NOT NULL THEN 1.0 ELSE 0.0 END), 6) AS match_rate FROM raw_listings LEFT JOIN resolved USING (title) GROUP BY 1",
     "per_source_counts": f"WITH {FOLD} SELECT source, count(*) FILTER (outcome = 'inserted') AS inserted, count(*) FILTER (outcome = 'updated') AS updated, count(*) FILTER (outcome = 'unchanged') AS unchanged FROM folded GROUP BY 1",
     "summary_history": f"WITH {SUMMARY} SELECT id, canonical_product_id, price_usd FROM prices WHERE canonical_product_id IN (SELECT canonical_product_id FROM summary)",
     "value_counts_condition": "SELECT condition AS value, count(*) AS n FROM raw_listings GROUP BY 1",
     "null_counts": " UNION ALL ".join(f"SELECT '{c}' AS column_name, count(*) - count({c}) AS nulls, count(*) AS rows FROM raw_listings" for c in ("item_id", "condition", "available_quantity", "base_price")),
     "outliers": "SELECT id, price FROM price_snapshots WHERE currency = 'USD' AND (price < 10 OR price > 10000)",
     "title_keyword_share": "SELECT source, count(*) AS n, count(*) FILTER (regexp_matches(title, '(?i)placa de video|tarjeta|vga|gpu|graphics')) AS gpu_words FROM raw_listings GROUP BY 1",
-    "precision_recall": f"""WITH {EXACT},
+    "precision_recall": f"""WITH {_resolved()},
         truth AS (SELECT listing_id, min(canonical_product_id) AS truth FROM price_snapshots WHERE listing_id IS NOT NULL AND canonical_product_id IN (SELECT sku FROM canonical_catalog) GROUP BY 1 HAVING count(DISTINCT canonical_product_id) = 1),
-        r AS (SELECT truth, exact_sku FROM raw_listings JOIN truth ON listing_key = listing_id LEFT JOIN exact USING (id)),
-        c AS (SELECT count(*) FILTER (truth = exact_sku) AS tp, count(*) FILTER (exact_sku IS NOT NULL AND truth <> exact_sku) AS fp, count(*) FILTER (exact_sku IS NULL OR truth <> exact_sku) AS fn FROM r)
+        r AS (SELECT truth, sku FROM raw_listings JOIN truth ON listing_key = listing_id LEFT JOIN resolved USING (title)),
+        c AS (SELECT count(*) FILTER (truth = sku) AS tp, count(*) FILTER (sku IS NOT NULL AND truth <> sku) AS fp, count(*) FILTER (sku IS NULL OR truth <> sku) AS fn FROM r)
         SELECT *, round(tp / nullif(tp + fp, 0), 6) AS precision, round(tp / nullif(tp + fn, 0), 6) AS recall FROM c""",
     "daily_head": "SELECT source, id FROM raw_listings QUALIFY row_number() OVER (PARTITION BY source ORDER BY id) <= 3",
 }

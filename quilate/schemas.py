@@ -29,6 +29,11 @@ def create_missing(spark, folder: str) -> None:
         spark.createDataFrame([], schema).write.mode("ignore").parquet(f"{folder}/{name}")
 
 
+def rebuilt_listings(df: DataFrame) -> DataFrame:
+    """Stored rows as listings again: an empty condition and a base price of 0 are none."""
+    return df.withColumns({"condition": F.when(F.col("condition") != "", F.col("condition")), "base_price": F.when(F.col("base_price") != 0, F.col("base_price"))})
+
+
 def validate_listings(df: DataFrame) -> DataFrame:
     """``df`` with the title stripped and ``reject_reason`` (NULL for a valid row)."""
     title = F.regexp_replace("title", r"(?U)^\s+|\s+$", "")
