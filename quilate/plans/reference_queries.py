@@ -9,6 +9,7 @@ from quilate import schemas
 from quilate.functions import fixed_values as V
 from quilate.functions import listing, match, text
 from quilate.operators import features, market, models, quality, units, upsert
+from quilate.plans import title_cases as cases
 from quilate.session import table
 from quilate.sources import config, html
 
@@ -172,6 +173,21 @@ def resolve_priority(spark, d):
     return rounded(match.resolve_titles(_titles(spark, d), table(spark, d, "canonical_catalog")).select("id", "resolved_sku", "confidence", "matched_by"))
 
 
+def title_cases(spark, d):
+    """Each step of reading a title, over titles that hold every pattern."""
+    titles, catalog = cases.frames(spark)
+    rows = match.with_exact_match(titles, "title", catalog)
+    brand = text.extract_brand(F.col("title"))
+    pattern = match.pattern_match(F.col("title"), match.catalog_entries(catalog))
+    return rows.select("id", text.normalize_title(F.col("title")).alias("normalized"), brand.alias("brand"), text.extract_variant(F.col("title"), brand).alias("variant"), "exact_sku", pattern.alias("pattern_sku"))
+
+
+def resolver_cases(spark, d):
+    """The resolver over the same titles."""
+    titles, catalog = cases.frames(spark)
+    return rounded(match.resolve_titles(titles, catalog).select("id", "resolved_sku", "confidence", "matched_by"))
+
+
 def match_rate(spark, d):
     return resolve_priority(spark, d).groupBy("matched_by").agg(F.count("*").alias("n"))
 
@@ -427,7 +443,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         weekly_features, weekly_features_since, calendar_spine, lag_features, rolling_median_4w, weekly_dispersion, market_summary, current_prices_limit10, price_history, distinct_skus, deal_signals,
-        best_deals_by_category, display_rows, normalize_title, normalize_sku, extract_brand, extract_variant, exact_match, regex_match, fuzzy_match, resolve_priority, match_rate, normalize_url, listing_key,
+        best_deals_by_category, display_rows, normalize_title, normalize_sku, extract_brand, extract_variant, exact_match, regex_match, fuzzy_match, resolve_priority, title_cases, resolver_cases, match_rate, normalize_url, listing_key,
         upsert_listings, ingest_counters, validate_listings, fx_normalize, resolve_snapshots, resolve_counters, replace_features, training_frame, min_history_skus, forward_fill, walk_forward_folds,
         naive_cv_metrics, naive_cv_mean, elasticnet_cv, elasticnet_importances, winner_predictions, latest_week_predictions_naive, prediction_bounds, model_winner_counts, skus_by_brand, latest_listings,
         parse_cards_thot, parse_cards_banifox, parse_cards_pccompu, page_urls, pagination_stop, dedup_urls, zero_row_alerts, fx_json, sku_stats, source_pivot, daily_volume, daily_median_top5, rolling_mean_7,

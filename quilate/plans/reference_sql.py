@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from quilate.functions import fixed_values as V
+from quilate.plans.title_cases import SQL_TABLES
 
 AS_OF, SINCE = "TIMESTAMP '2026-06-01 00:00:00'", "TIMESTAMP '2026-02-02 00:00:00'"
 
@@ -203,6 +204,8 @@ SQL = {
         SELECT reject_reason, count(*) AS n FROM r GROUP BY 1""",
     "fx_normalize": f"""WITH {RATES} SELECT l.id, round(CASE currency WHEN 'USD' THEN price WHEN 'UYU' THEN price / nullif(usd_uyu_rate, 0) END, 6) AS price_usd
         FROM raw_listings l LEFT JOIN rates ON rates.week_start = strftime(date_trunc('week', timestamp AT TIME ZONE 'UTC'), '%Y-%m-%d')""",
+    "title_cases": f"""WITH {SQL_TABLES}, {EXACT} SELECT id, {_normalized('title')} AS normalized, {_brand('title')} AS brand, {_variant('title')} AS variant, exact_sku, {_pattern_match()} AS pattern_sku FROM raw_listings LEFT JOIN exact USING (id)""",
+    "resolver_cases": f"WITH {SQL_TABLES}, {_resolved()} SELECT id, sku AS resolved_sku, round(coalesce(confidence, 0), 6) AS confidence, matched_by FROM raw_listings LEFT JOIN resolved USING (title)",
     "fuzzy_match": f"WITH {_resolved('')} SELECT title, sku AS fuzzy_sku, round(score, 6) AS fuzzy_score FROM alike",
     "resolve_priority": f"WITH {_resolved()} SELECT id, sku AS resolved_sku, round(coalesce(confidence, 0), 6) AS confidence, matched_by FROM raw_listings LEFT JOIN resolved USING (title)",
     "match_rate": f"WITH {_resolved()} SELECT matched_by, count(*) AS n FROM raw_listings LEFT JOIN resolved USING (title) GROUP BY 1",
