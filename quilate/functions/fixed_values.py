@@ -108,3 +108,6 @@ EXACT_CONFIDENCE, PATTERN_CONFIDENCE, FUZZY_THRESHOLD = 1.0, 0.9, 0.8
 
 #: Marks of the signals on a display.
 SIGNAL_MARKS, UNKNOWN_MARK = {"deal": "🟢", "fair": "🟡", "expensive": "🔴"}, "⚪"
+
+#: Words of the common graphics models in a title.
+GRAPHICS_WORDS = r"(?i)RTX|RX\s?\d|Arc\s?[AB]|Radeon|GeForce|GTX"

@@ -99,6 +99,16 @@ def page_url(site: str, base: Column, page: Column) -> Column:
     raise ValueError(f"unknown site: {site}")
 
 
+def page_address(site: str, base: str, page: int) -> str:
+    """The same for one address."""
+    trimmed = base.rstrip("/")
+    if site in ("thot", "banifox"):
+        return f"{trimmed}/" if page == 1 else f"{trimmed}/{'page' if site == 'thot' else 'pag'}/{page}/"
+    if site == "pccompu":
+        return _query_page(base, page)
+    raise ValueError(f"unknown site: {site}")
+
+
 def _query_page(base: str, page: int) -> str:
     parts = urlparse(base)
     query = {k: v[0] for k, v in parse_qs(parts.query).items()} | {"pagina": str(page)}

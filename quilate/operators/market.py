@@ -55,6 +55,12 @@ def market_summary(snapshots: DataFrame, as_of, hours: int = 720) -> DataFrame:
     return joined.select("canonical_product_id", "source", "current_price", "timestamp", round_half_up(median, 2).alias("historical_median"), round_half_up(pct, 1).alias("pct_diff"))
 
 
+def by_deviation(summary: DataFrame) -> DataFrame:
+    """The summary with the lowest deviation from the median first, and its place."""
+    w = Window.orderBy("pct_diff", "canonical_product_id")  # one row a product
+    return summary.withColumn("place", F.row_number().over(w)).orderBy("place")
+
+
 def with_signals(summary: DataFrame, catalog: DataFrame, threshold: float = 10.0) -> DataFrame:
     """The summary with category and family (Unknown without an entry) and the signal of the rounded median."""
     meta = catalog.select(F.col("sku").alias("canonical_product_id"), "category", "brand_family")

@@ -1,13 +1,16 @@
 """Training frames, walk-forward folds, a persistence and an elastic-net forecaster.
 
 The elastic net needs the data only through its moments (counts, sums, cross products), which one
-aggregation gives; coordinate descent then runs on a matrix of the number of features.
+aggregation gives; coordinate descent then runs on a matrix of the number of features. Moments per
+bucket give those of every fold at once: the training rows of a fold are the buckets before it.
 """
 
 from __future__ import annotations
 
 import json
 from dataclasses import dataclass, field
+from functools import reduce
+from typing import Protocol, runtime_checkable
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window
@@ -81,6 +84,21 @@ def mean_of_folds(per_fold: DataFrame) -> DataFrame:
     return per_fold.agg(F.avg("mae").alias("mae"), F.avg("rmse").alias("rmse"), F.avg("mape").alias("mape"))
 
 
+@runtime_checkable
+class PriceModel(Protocol):
+    """What every forecaster can do."""
+
+    kind: str
+
+    def fit(self, df: DataFrame, target: str = "target") -> PriceModel: ...
+
+    def predict_column(self, columns: list[str]) -> Column: ...
+
+    def predict(self, df: DataFrame, out: str = "prediction") -> DataFrame: ...
+
+    def to_json(self) -> str: ...
+
+
 @dataclass
 class Naive:
     """Persistence: the price of the week before."""
@@ -98,6 +116,9 @@ class Naive:
     def predict(self, df: DataFrame, out: str = "prediction") -> DataFrame:
         return df.withColumn(out, self.predict_column(df.columns))
 
+    def to_json(self) -> str:
+        return json.dumps({"kind": self.kind})
+
 
 @dataclass
 class ElasticNet:
@@ -116,17 +137,14 @@ class ElasticNet:
     kind: str = "elastic_net"
 
     def fit(self, df: DataFrame, target: str = "target") -> ElasticNet:
-        names = [*self.columns, target]
-        shift = df.agg(*(F.avg(c).alias(f"s{i}") for i, c in enumerate(names))).first()
-        if shift[0] is None:
+        return self.from_moments(*total_moments(bucket_moments(df.withColumn("bucket", F.lit(0)), [*self.columns, target]).values()))
+
+    def from_moments(self, n: int, sums: np.ndarray, cross: np.ndarray, shift: np.ndarray) -> ElasticNet:
+        """From the number of rows, and sums and cross products of features and target less ``shift``."""
+        if not n:
             raise ValueError("no rows to fit")
-        c = [F.col(n) - F.lit(float(shift[i])) for i, n in enumerate(names)]
-        pairs = [(i, j) for i in range(len(names)) for j in range(i, len(names))]
-        row = df.agg(*(F.avg(c[i] * c[j]).alias(f"m{i}_{j}") for i, j in pairs)).first()
-        m = np.zeros((len(names), len(names)))
-        for (i, j), v in zip(pairs, row):
-            m[i, j] = m[j, i] = v
-        self.solve(m, np.array([float(x) for x in shift]))
+        mean = sums / n
+        self.solve(cross / n - np.outer(mean, mean), mean + shift)
         return self
 
     def solve(self, m: np.ndarray, means: np.ndarray) -> None:
@@ -153,8 +171,9 @@ class ElasticNet:
         if not self.fitted:
             raise ValueError("the model is not fitted")
         missing = set(self.columns) - set(columns)
-        if missing:
-            raise ValueError(f"feature columns differ: missing {sorted(missing)}")
+        surplus = set(columns) & set(FEATURES) - set(self.columns)
+        if missing or surplus:
+            raise ValueError(f"feature columns differ: missing {sorted(missing)}, not trained on {sorted(surplus)}")
         out = F.lit(self.intercept)
         for c, mean, scale, w in zip(self.columns, self.means, self.scales, self.coefficients):
             out = out + (F.col(c) - F.lit(mean)) / F.lit(scale) * F.lit(w)
@@ -177,10 +196,33 @@ class ElasticNet:
         return ElasticNet(d["alpha"], d["l1_ratio"], tuple(d["columns"]), means=d["means"], scales=d["scales"], coefficients=d["coefficients"], intercept=d["intercept"], fitted=True)
 
 
-def save_model(spark, model, folder: str, name: str) -> None:
-    """One JSON row per model; the kind is part of it, so either forecaster can be the winner."""
-    text = model.to_json() if isinstance(model, ElasticNet) else json.dumps({"kind": model.kind})
-    spark.createDataFrame([(text,)], "value string").coalesce(1).write.mode("overwrite").text(f"{folder}/model_{name}")
+def bucket_moments(bucketed: DataFrame, names: list[str]) -> dict[int, tuple]:
+    """{bucket: (rows, sums, cross products, shift)} of the columns less their means over all rows, in two aggregations."""
+    means = bucketed.agg(*(F.avg(c).alias(f"s{i}") for i, c in enumerate(names))).first()
+    shift = np.array([float(x or 0.0) for x in means])
+    c = [F.col(n) - F.lit(float(shift[i])) for i, n in enumerate(names)]
+    pairs = [(i, j) for i in range(len(names)) for j in range(i, len(names))]
+    out = {}
+    for row in bucketed.groupBy("bucket").agg(F.count("*").alias("n"), *(F.sum(x).alias(f"c{i}") for i, x in enumerate(c)), *(F.sum(c[i] * c[j]).alias(f"m{i}_{j}") for i, j in pairs)).collect():
+        cross = np.zeros((len(names), len(names)))
+        for i, j in pairs:
+            cross[i, j] = cross[j, i] = row[f"m{i}_{j}"]
+        out[row["bucket"]] = (row["n"], np.array([row[f"c{i}"] for i in range(len(names))], dtype=float), cross, shift)
+    return out
+
+
+def total_moments(parts) -> tuple:
+    parts = list(parts)
+    if not parts:
+        return 0, np.zeros(0), np.zeros((0, 0)), np.zeros(0)
+    return (*(reduce(lambda a, b: a + b, (p[k] for p in parts)) for k in range(3)), parts[0][3])
+
+
+def save_model(spark, model, folder: str, name: str, metadata: dict | None = None) -> None:
+    """One JSON row per model, with its metadata beside it; the kind is part of it, so either forecaster can be the winner."""
+    spark.createDataFrame([(model.to_json(),)], "value string").coalesce(1).write.mode("overwrite").text(f"{folder}/model_{name}")
+    if metadata is not None:
+        spark.createDataFrame([(json.dumps(metadata),)], "value string").coalesce(1).write.mode("overwrite").text(f"{folder}/metadata_{name}")
 
 
 def load_latest(spark, folder: str):
@@ -191,23 +233,66 @@ def load_latest(spark, folder: str):
     return row["name"], (ElasticNet.from_json(row["value"]) if json.loads(row["value"])["kind"] == "elastic_net" else Naive())
 
 
+def load_metadata(spark, folder: str, name: str) -> dict | None:
+    """The metadata saved with a model; None without any."""
+    from pyspark.errors import AnalysisException
+
+    try:
+        row = spark.read.text(f"{folder}/metadata_{name}").first()
+    except AnalysisException:
+        return None
+    return json.loads(row["value"]) if row else None
+
+
+def model_id(spark, folder: str, name: str) -> str:
+    """The id that predictions carry: the model's kind from its metadata, else the name of the artifact."""
+    found = load_metadata(spark, folder, name)
+    return f"model_{name}" if found is None else found.get("model", "unknown")
+
+
+def training_metadata(frame: DataFrame, winner, scores: dict[str, dict], trained_on: str) -> dict:
+    """What is kept about a training: the model, its date, rows, products, features, and the metrics of each forecaster."""
+    row = frame.agg(F.count("*").alias("n"), F.count_distinct("canonical_product_id").alias("k")).first()
+    return {"model": winner.kind, "train_date": trained_on, "train_rows": row["n"], "skus": row["k"], "features": list(FEATURES), **{f"metrics_{k}": v for k, v in scores.items()}, "metrics_winner": scores[winner.kind]}
+
+
+def fold_models(bucketed: DataFrame, make_model, n_splits: int = CV_SPLITS) -> dict[int, PriceModel]:
+    """{fold: model fitted on the buckets before it}."""
+    probe = make_model()
+    if not isinstance(probe, ElasticNet):
+        return {fold: make_model().fit(bucketed.where(F.col("bucket") < fold)) for fold in range(1, n_splits)}
+    moments = bucket_moments(bucketed, [*probe.columns, "target"])
+    return {fold: make_model().from_moments(*total_moments(m for b, m in moments.items() if b < fold)) for fold in range(1, n_splits)}
+
+
+def fold_predictions(bucketed: DataFrame, make_model, n_splits: int = CV_SPLITS, out: str = "prediction") -> DataFrame:
+    """The test rows of all folds with ``fold`` and the prediction of the fold's own model, in one pass."""
+    rows = bucketed.where(F.col("bucket").between(1, n_splits - 1)).withColumn("fold", F.col("bucket"))
+    columns = [c for c in bucketed.columns]
+    return rows.withColumn(out, F.coalesce(*(F.when(F.col("fold") == fold, m.predict_column(columns)) for fold, m in fold_models(bucketed, make_model, n_splits).items())))
+
+
 def cross_validate(bucketed: DataFrame, make_model, n_splits: int = CV_SPLITS) -> DataFrame:
-    """(fold, mae, rmse, mape) with a fresh model for each fold; the folds are few."""
-    parts = []
-    for fold in range(1, n_splits):
-        model = make_model().fit(bucketed.where(F.col("bucket") < fold))
-        parts.append(metrics(model.predict(bucketed.where(F.col("bucket") == fold)).withColumn("fold", F.lit(fold)), "target", "prediction", ["fold"]))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    """(fold, mae, rmse, mape) with a fresh model for each fold."""
+    return metrics(fold_predictions(bucketed, make_model, n_splits), "target", "prediction", ["fold"])
+
 
+def compare_models(bucketed: DataFrame, n_splits: int = CV_SPLITS) -> dict[str, dict]:
+    """{kind: mean metrics of its folds} of the two forecasters."""
+    return {m().kind: mean_of_folds(cross_validate(bucketed, m, n_splits)).first().asDict() for m in (ElasticNet, Naive)}
 
-def choose_model(bucketed: DataFrame, n_splits: int = CV_SPLITS):
+
+def choose_model(bucketed: DataFrame, n_splits: int = CV_SPLITS, scores: dict[str, dict] | None = None):
     """The forecaster of the lower mean MAPE (the elastic net on a tie), fitted on all rows."""
-    net = mean_of_folds(cross_validate(bucketed, ElasticNet, n_splits)).first()["mape"]
-    naive = mean_of_folds(cross_validate(bucketed, Naive, n_splits)).first()["mape"]
-    return (ElasticNet() if net <= naive else Naive()).fit(bucketed)
+    scores = scores or compare_models(bucketed, n_splits)
+    return (ElasticNet() if scores["elastic_net"]["mape"] <= scores["naive"]["mape"] else Naive()).fit(bucketed)
+
+
+def rejoined(rows: DataFrame, predictions: dict[str, DataFrame], keys: list[str] = KEYS) -> DataFrame:
+    """``rows`` with each forecaster's ``prediction`` under its name, joined by the keys of the row; only rows that all predicted."""
+    for name, p in predictions.items():
+        rows = rows.join(p.select(*keys, F.col("prediction").alias(name)), keys)
+    return rows
 
 
 def latest_week(features: DataFrame) -> DataFrame:

@@ -10,7 +10,7 @@ from quilate.functions import fixed_values as V
 from quilate.functions import listing, match, text
 from quilate.operators import features, market, models, quality, units, upsert
 from quilate.plans import title_cases as cases
-from quilate.session import table
+from quilate.session import ensure_checkpoint_dir, table
 from quilate.sources import config, html
 
 AS_OF = "2026-06-01 00:00:00"
@@ -63,6 +63,11 @@ def market_summary(spark, d):
     return market.market_summary(prices(spark, d), AS_OF).select("canonical_product_id", "source", "current_price", "historical_median", "pct_diff")
 
 
+def ordered_summary(spark, d):
+    """The summary by deviation, the lowest first."""
+    return market.by_deviation(market.market_summary(prices(spark, d), AS_OF)).select("place", "canonical_product_id", "pct_diff")
+
+
 def current_prices_limit10(spark, d):
     return market.current_prices(prices(spark, d), AS_OF).select("canonical_product_id", "source", "seller", "price_usd")
 
@@ -210,7 +215,33 @@ def upsert_listings(spark, d):
 
 
 def ingest_counters(spark, d):
-    return upsert.fold_outcomes(_arrivals(spark, d), order=["arrival"]).groupBy("source", "outcome").agg(F.count("*").alias("n"))
+    """What becomes of each arrival; what is no valid listing is an error and reaches no upsert."""
+    rows = schemas.validate_listings(_arrivals(spark, d))
+    good = upsert.fold_outcomes(rows.where("reject_reason IS NULL"), order=["arrival"]).select("source", "outcome")
+    bad = rows.where("reject_reason IS NOT NULL").select("source", F.lit("error").alias("outcome"))
+    return good.unionByName(bad).groupBy("source", "outcome").agg(F.count("*").alias("n"))
+
+
+#: Where the stored table ends and the incoming rows begin, in the queries that upsert into a filled table.
+LOADED_UNTIL = "2026-03-01 00:00:00"
+
+
+def _stored_and_incoming(spark, d):
+    rows = _arrivals(spark, d)
+    early = F.col("created_at") < F.lit(LOADED_UNTIL).cast("timestamp")
+    return upsert.upsert_listings(rows.where(early), order=["arrival"]), rows.where(~early)
+
+
+def upsert_into_stored(spark, d):
+    """Later arrivals upserted into the table that the earlier ones made."""
+    stored, incoming = _stored_and_incoming(spark, d)
+    out = upsert.upsert_listings(incoming, stored, order=["arrival"])
+    return out.select("listing_key", "source", "title", "currency", "price", F.date_format("updated_at", "yyyy-MM-dd HH:mm:ss").alias("updated"))
+
+
+def stored_counters(spark, d):
+    stored, incoming = _stored_and_incoming(spark, d)
+    return upsert.fold_outcomes(incoming, stored, order=["arrival"]).groupBy("outcome").agg(F.count("*").alias("n"))
 
 
 def validate_listings(spark, d):
@@ -286,8 +317,14 @@ def naive_cv_mean(spark, d):
     return rounded(models.mean_of_folds(models.metrics(models.Naive().predict(models.with_bucket(_frame(spark, d)).where("bucket > 0")), "target", "prediction", ["bucket"])))
 
 
+def _buckets(spark, d):
+    """The training frame in buckets; several passes read it, so it is cut from its lineage."""
+    ensure_checkpoint_dir(spark)
+    return models.with_bucket(_frame(spark, d)).checkpoint()
+
+
 def elasticnet_cv(spark, d):
-    return rounded(models.cross_validate(models.with_bucket(_frame(spark, d)), models.ElasticNet))
+    return rounded(models.cross_validate(_buckets(spark, d), models.ElasticNet))
 
 
 def elasticnet_importances(spark, d):
@@ -296,7 +333,7 @@ def elasticnet_importances(spark, d):
 
 
 def winner_predictions(spark, d):
-    model = models.choose_model(models.with_bucket(_frame(spark, d)))
+    model = models.choose_model(_buckets(spark, d))
     return models.predictions(table(spark, d, "feature_snapshots"), model, model.kind, AS_OF)
 
 
@@ -308,10 +345,28 @@ def prediction_bounds(spark, d):
     return rounded(models.predictions(table(spark, d, "feature_snapshots"), models.Naive(), "naive", AS_OF).select(*models.KEYS, "lower_bound", "upper_bound"))
 
 
-def model_winner_counts(spark, d):
+def replace_predictions(spark, d):
+    """Stored predictions of the last two weeks, those of the latest replaced by a new run."""
+    rows = table(spark, d, "feature_snapshots")
+    last = rows.agg(F.max("week_start").alias("_last"))
+    before = rows.join(F.broadcast(last), F.col("week_start") < F.col("_last")).drop("_last")
+    made = lambda f, name, at: models.predictions(f, models.Naive(), name, at)
+    stored = made(before, "stored", SINCE).unionByName(made(rows, "stored", SINCE))
+    return rounded(upsert.replace_rows(stored, made(rows, "naive", AS_OF), models.KEYS).select(*models.KEYS, "predicted_price_usd", "model_id", "run_at"))
+
+
+def baseline_winner_counts(spark, d):
+    """How often last week's price, or the rolling median, lies nearer."""
     return quality.winner_counts(_frame(spark, d), "target", "precio_lag_1", "mediana_movil")
 
 
+def model_winner_counts(spark, d):
+    """The same of the two forecasters, from their predictions of the test rows of all folds, rejoined by row."""
+    buckets = _buckets(spark, d)
+    tested = {m().kind: models.fold_predictions(buckets, m) for m in (models.ElasticNet, models.Naive)}
+    return quality.winner_counts(models.rejoined(buckets.select(*models.KEYS, "target"), tested), "target", "elastic_net", "naive")
+
+
 def skus_by_brand(spark, d):
     return market.skus_by_brand(table(spark, d, "canonical_catalog"), "ignivar")
 
@@ -421,11 +476,37 @@ def outliers(spark, d):
     return table(spark, d, "price_snapshots").where("currency = 'USD' AND (price < 10 OR price > 10000)").select("id", "price")
 
 
+def listing_outliers(spark, d):
+    """Prices out of the usual range, in whatever currency they stand."""
+    return table(spark, d, "raw_listings").where("price < 10 OR price > 10000").select("id", "price", "currency", "source")
+
+
 def title_keyword_share(spark, d):
     rows = table(spark, d, "raw_listings")
     return rows.groupBy("source").agg(F.count("*").alias("n"), F.count_if(F.col("title").rlike("(?i)placa de video|tarjeta|vga|gpu|graphics")).alias("gpu_words"))
 
 
+def model_word_share(spark, d):
+    """Titles with a word of the common graphics models, over the listings and the literal titles."""
+    rows = table(spark, d, "raw_listings").select("title").unionByName(cases.frames(spark)[0].select("title"))
+    return rows.agg(F.count("*").alias("titles"), F.count_if(F.col("title").rlike(V.GRAPHICS_WORDS)).alias("graphics"))
+
+
+def title_lengths(spark, d):
+    """Letters of titles: count, mean, extremes, quartiles."""
+    return quality.describe(table(spark, d, "raw_listings").select(F.length("title").cast("double").alias("letters")), "letters")
+
+
+def sharp_drops(spark, d):
+    """Products whose price of the last day lies more than 10 % below their median of earlier days."""
+    return hist_vs_current(spark, d).where("delta_pct < -10").select("canonical_product_id", "delta_pct")
+
+
+def feature_uniques(spark, d):
+    """Distinct weeks and products of the features."""
+    return table(spark, d, "feature_snapshots").agg(F.count_distinct("week_start").alias("weeks"), F.count_distinct("canonical_product_id").alias("products"))
+
+
 def precision_recall(spark, d):
     """The resolver against the sku of the listing's snapshots, where they agree on one."""
     snaps = table(spark, d, "price_snapshots").join(table(spark, d, "canonical_catalog").select(F.col("sku").alias("canonical_product_id")), "canonical_product_id", "left_semi")
@@ -434,7 +515,7 @@ def precision_recall(spark, d):
     return quality.precision_recall(match.resolve_titles(rows, table(spark, d, "canonical_catalog")), "truth", "resolved_sku")
 
 
-def daily_head(spark, d):
+def first_of_sources(spark, d):
     w = Window.partitionBy("source").orderBy("id")
     return table(spark, d, "raw_listings").withColumn("rn", F.row_number().over(w)).where("rn <= 3").select("source", "id")
 
@@ -442,11 +523,11 @@ def daily_head(spark, d):
 QUERIES = {
     f.__name__: f
     for f in (
-        weekly_features, weekly_features_since, calendar_spine, lag_features, rolling_median_4w, weekly_dispersion, market_summary, current_prices_limit10, price_history, distinct_skus, deal_signals,
+        weekly_features, weekly_features_since, calendar_spine, lag_features, rolling_median_4w, weekly_dispersion, market_summary, ordered_summary, current_prices_limit10, price_history, distinct_skus, deal_signals,
         best_deals_by_category, display_rows, normalize_title, normalize_sku, extract_brand, extract_variant, exact_match, regex_match, fuzzy_match, resolve_priority, title_cases, resolver_cases, match_rate, normalize_url, listing_key,
-        upsert_listings, ingest_counters, validate_listings, fx_normalize, resolve_snapshots, resolve_counters, replace_features, training_frame, min_history_skus, forward_fill, walk_forward_folds,
-        naive_cv_metrics, naive_cv_mean, elasticnet_cv, elasticnet_importances, winner_predictions, latest_week_predictions_naive, prediction_bounds, model_winner_counts, skus_by_brand, latest_listings,
+        upsert_listings, ingest_counters, upsert_into_stored, stored_counters, validate_listings, fx_normalize, resolve_snapshots, resolve_counters, replace_features, training_frame, min_history_skus, forward_fill, walk_forward_folds,
+        naive_cv_metrics, naive_cv_mean, elasticnet_cv, elasticnet_importances, winner_predictions, latest_week_predictions_naive, prediction_bounds, replace_predictions, baseline_winner_counts, model_winner_counts, skus_by_brand, latest_listings,
         parse_cards_thot, parse_cards_banifox, parse_cards_pccompu, page_urls, pagination_stop, dedup_urls, zero_row_alerts, fx_json, sku_stats, source_pivot, daily_volume, daily_median_top5, rolling_mean_7,
-        hist_vs_current, signal_marks, scan_listings, least_current_price, price_describe, listing_overview, top_products, value_counts_currency, component_prices, source_match_rate, per_source_counts, summary_history, value_counts_condition, null_counts, outliers, title_keyword_share, precision_recall, daily_head,
+        hist_vs_current, signal_marks, scan_listings, least_current_price, price_describe, listing_overview, top_products, value_counts_currency, component_prices, source_match_rate, per_source_counts, summary_history, value_counts_condition, null_counts, outliers, listing_outliers, title_keyword_share, model_word_share, title_lengths, sharp_drops, feature_uniques, precision_recall, first_of_sources,
     )
 }

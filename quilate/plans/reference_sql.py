@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from quilate.functions import fixed_values as V
-from quilate.plans.title_cases import SQL_TABLES
+from quilate.plans.title_cases import SQL_TABLES, TITLES, sql_literal
 
 AS_OF, SINCE = "TIMESTAMP '2026-06-01 00:00:00'", "TIMESTAMP '2026-02-02 00:00:00'"
 
@@ -129,6 +129,13 @@ FOLD = """
     folded AS (SELECT *, CASE WHEN row_number() OVER w = 1 THEN 'inserted' WHEN lag(price) OVER w <> price THEN 'updated' ELSE 'unchanged' END AS outcome FROM raw_listings WINDOW w AS (PARTITION BY listing_key ORDER BY id))
 """
 
+#: Arrivals in two loads: those of the first load come before those of the second, each in order.
+STORED = """
+    loads AS (SELECT *, created_at AT TIME ZONE 'UTC' < TIMESTAMP '2026-03-01 00:00:00' AS early FROM raw_listings),
+    placed AS (SELECT * REPLACE (row_number() OVER (ORDER BY early DESC, id) AS id) FROM loads),
+    arrivals AS (SELECT *, CASE WHEN row_number() OVER w = 1 THEN 'inserted' WHEN lag(price) OVER w <> price THEN 'updated' ELSE 'unchanged' END AS outcome FROM placed WINDOW w AS (PARTITION BY listing_key ORDER BY id))
+"""
+
 REJECT = """CASE WHEN trim(replace(title, chr(160), ' ')) = '' OR title IS NULL THEN 'title' WHEN source NOT IN ('thot', 'banifox', 'pccompu') THEN 'source' WHEN currency IS NULL OR currency NOT IN ('UYU', 'USD') THEN 'currency'
             WHEN condition NOT IN ('new', 'used') THEN 'condition' WHEN price IS NULL OR isnan(price) OR price <= 0 THEN 'price' WHEN base_price <= 0 THEN 'base_price' END"""
 
@@ -177,6 +184,7 @@ SQL = {
     "rolling_median_4w": f"WITH {_weekly()} SELECT week_start, canonical_product_id, round(r, 6) AS mediana_movil FROM f",
     "weekly_dispersion": f"WITH {_weekly()} SELECT strftime(wk, '%Y-%m-%d') AS week_start, p AS canonical_product_id, round(m, 6) AS mediana_semanal, round(s, 6) AS dispersion_precios FROM w",
     "market_summary": f"WITH {SUMMARY} SELECT canonical_product_id, source, current_price, historical_median, pct_diff FROM summary",
+    "ordered_summary": f"WITH {SUMMARY} SELECT row_number() OVER (ORDER BY pct_diff, canonical_product_id)::INT AS place, canonical_product_id, pct_diff FROM summary",
     "current_prices_limit10": f"""WITH {PRICES},
         newest AS (SELECT *, row_number() OVER (PARTITION BY canonical_product_id ORDER BY timestamp DESC, id DESC) AS rn FROM prices WHERE ts >= {AS_OF} - INTERVAL 720 HOUR),
         ten AS (SELECT * FROM newest WHERE rn <= 10 QUALIFY row_number() OVER (PARTITION BY canonical_product_id, source ORDER BY rn) = 1)
@@ -197,7 +205,13 @@ SQL = {
     "upsert_listings": """
         WITH f AS (SELECT listing_key, min_by(source, id) AS source, arg_min(title, id) AS title, arg_min(currency, id) AS currency, arg_max(price, id) AS price FROM raw_listings GROUP BY 1)
         SELECT *, true AS stamped FROM f""",
-    "ingest_counters": f"WITH {FOLD} SELECT source, outcome, count(*) AS n FROM folded GROUP BY ALL",
+    "ingest_counters": f"""WITH checked AS (SELECT *, {REJECT} AS reject_reason FROM raw_listings),
+        folded AS (SELECT source, CASE WHEN row_number() OVER w = 1 THEN 'inserted' WHEN lag(price) OVER w <> price THEN 'updated' ELSE 'unchanged' END AS outcome FROM checked WHERE reject_reason IS NULL WINDOW w AS (PARTITION BY listing_key ORDER BY id)
+                   UNION ALL SELECT source, 'error' FROM checked WHERE reject_reason IS NOT NULL)
+        SELECT source, outcome, count(*) AS n FROM folded GROUP BY ALL""",
+    "upsert_into_stored": f"""WITH {STORED} SELECT listing_key, arg_min(source, id) AS source, arg_min(title, id) AS title, arg_min(currency, id) AS currency, arg_max(price, id) AS price,
+        strftime(arg_max(CASE WHEN outcome <> 'unchanged' THEN created_at END, CASE WHEN outcome <> 'unchanged' THEN id END) AT TIME ZONE 'UTC', '%Y-%m-%d %H:%M:%S') AS updated FROM arrivals GROUP BY 1""",
+    "stored_counters": f"WITH {STORED} SELECT outcome, count(*) AS n FROM arrivals WHERE NOT early GROUP BY 1",
     "validate_listings": """
         WITH r AS (SELECT CASE WHEN trim(replace(title, chr(160), ' ')) = '' THEN 'title' WHEN source NOT IN ('thot', 'banifox', 'pccompu') THEN 'source' WHEN currency NOT IN ('UYU', 'USD') THEN 'currency'
             WHEN condition NOT IN ('new', 'used') THEN 'condition' WHEN isnan(price) OR price <= 0 THEN 'price' WHEN base_price <= 0 THEN 'base_price' END AS reject_reason FROM raw_listings)
@@ -225,7 +239,10 @@ SQL = {
         SELECT round(avg(mae), 6) AS mae, round(avg(rmse), 6) AS rmse, round(avg(mape), 6) AS mape FROM m""",
     "latest_week_predictions_naive": f"WITH {LATEST} SELECT week_start, canonical_product_id, round(precio_lag_1, 6) AS predicted_price_usd FROM latest",
     "prediction_bounds": f"WITH {LATEST} SELECT week_start, canonical_product_id, round(precio_lag_1 * 0.9, 6) AS lower_bound, round(precio_lag_1 * 1.1, 6) AS upper_bound FROM latest",
-    "model_winner_counts": f"""WITH {FRAME} SELECT CASE WHEN abs(target - precio_lag_1) < abs(target - mediana_movil) THEN 'precio_lag_1' WHEN abs(target - mediana_movil) < abs(target - precio_lag_1) THEN 'mediana_movil' ELSE 'tie' END AS winner, count(*) AS n
+    "replace_predictions": f"""WITH nums AS (SELECT week_start, canonical_product_id, {_NUM}, dense_rank() OVER (ORDER BY week_start DESC) AS age FROM feature_snapshots)
+        SELECT week_start, canonical_product_id, round(precio_lag_1, 6) AS predicted_price_usd, CASE age WHEN 1 THEN 'naive' ELSE 'stored' END AS model_id, CASE age WHEN 1 THEN '2026-06-01 00:00:00' ELSE '2026-02-02 00:00:00' END AS run_at
+        FROM nums WHERE age <= 2 AND {_ALL}""",
+    "baseline_winner_counts": f"""WITH {FRAME} SELECT CASE WHEN abs(target - precio_lag_1) < abs(target - mediana_movil) THEN 'precio_lag_1' WHEN abs(target - mediana_movil) < abs(target - precio_lag_1) THEN 'mediana_movil' ELSE 'tie' END AS winner, count(*) AS n
         FROM frame GROUP BY 1""",
     "skus_by_brand": "SELECT sku FROM canonical_catalog WHERE upper(coalesce(brand_family, '')) = 'IGNIVAR'",
     "latest_listings": "SELECT id, title FROM raw_listings ORDER BY updated_at DESC, id DESC LIMIT 50",
@@ -275,11 +292,18 @@ SQL = {
     "value_counts_condition": "SELECT condition AS value, count(*) AS n FROM raw_listings GROUP BY 1",
     "null_counts": " UNION ALL ".join(f"SELECT '{c}' AS column_name, count(*) - count({c}) AS nulls, count(*) AS rows FROM raw_listings" for c in ("item_id", "condition", "available_quantity", "base_price")),
     "outliers": "SELECT id, price FROM price_snapshots WHERE currency = 'USD' AND (price < 10 OR price > 10000)",
+    "listing_outliers": "SELECT id, price, currency, source FROM raw_listings WHERE price < 10 OR price > 10000",
+    "model_word_share": f"WITH cases AS (SELECT * FROM (VALUES {', '.join(f'({sql_literal(t)})' for t in TITLES)}) v(title)) SELECT count(*) AS titles, count(*) FILTER (regexp_matches(title, {_quoted(V.GRAPHICS_WORDS)})) AS graphics FROM (SELECT title FROM raw_listings UNION ALL SELECT title FROM cases)",
+    "title_lengths": """SELECT count(n) AS n, floor(avg(n) * 100 + 0.5) / 100 AS mean, floor(stddev_samp(n) * 100 + 0.5) / 100 AS deviation, min(n) AS least, max(n) AS most, floor(quantile_cont(n, 0.25) * 100 + 0.5) / 100 AS q25,
+        floor(quantile_cont(n, 0.5) * 100 + 0.5) / 100 AS q50, floor(quantile_cont(n, 0.75) * 100 + 0.5) / 100 AS q75, floor(quantile_cont(n, 0.99) * 100 + 0.5) / 100 AS q99 FROM (SELECT length(title)::DOUBLE AS n FROM raw_listings)""",
+    "sharp_drops": f"""WITH {PRICES}, x AS (SELECT canonical_product_id, median(price_usd) FILTER (ts::DATE < (SELECT max(ts)::DATE FROM prices)) AS h, median(price_usd) FILTER (ts::DATE = (SELECT max(ts)::DATE FROM prices)) AS c FROM prices GROUP BY 1)
+        SELECT canonical_product_id, floor((c - h) / h * 100 * 10 + 0.5) / 10 AS delta_pct FROM x WHERE h IS NOT NULL AND c IS NOT NULL AND floor((c - h) / h * 100 * 10 + 0.5) / 10 < -10""",
+    "feature_uniques": "SELECT count(DISTINCT week_start) AS weeks, count(DISTINCT canonical_product_id) AS products FROM feature_snapshots",
     "title_keyword_share": "SELECT source, count(*) AS n, count(*) FILTER (regexp_matches(title, '(?i)placa de video|tarjeta|vga|gpu|graphics')) AS gpu_words FROM raw_listings GROUP BY 1",
     "precision_recall": f"""WITH {_resolved()},
         truth AS (SELECT listing_id, min(canonical_product_id) AS truth FROM price_snapshots WHERE listing_id IS NOT NULL AND canonical_product_id IN (SELECT sku FROM canonical_catalog) GROUP BY 1 HAVING count(DISTINCT canonical_product_id) = 1),
         r AS (SELECT truth, sku FROM raw_listings JOIN truth ON listing_key = listing_id LEFT JOIN resolved USING (title)),
         c AS (SELECT count(*) FILTER (truth = sku) AS tp, count(*) FILTER (sku IS NOT NULL AND truth <> sku) AS fp, count(*) FILTER (sku IS NULL OR truth <> sku) AS fn FROM r)
         SELECT *, round(tp / nullif(tp + fp, 0), 6) AS precision, round(tp / nullif(tp + fn, 0), 6) AS recall FROM c""",
-    "daily_head": "SELECT source, id FROM raw_listings QUALIFY row_number() OVER (PARTITION BY source ORDER BY id) <= 3",
+    "first_of_sources": "SELECT source, id FROM raw_listings QUALIFY row_number() OVER (PARTITION BY source ORDER BY id) <= 3",
 }

@@ -23,12 +23,12 @@ def frames(spark):
     return spark.createDataFrame(list(enumerate(TITLES, 1)), "id int, title string"), spark.createDataFrame(list(enumerate(ENTRIES)), "pos int, sku string")
 
 
-def _literal(text: str | None) -> str:
+def sql_literal(text: str | None) -> str:
     return "NULL" if text is None else "'" + text.replace("'", "''") + "'"
 
 
 #: The same tables as common table expressions under the names of the whole ones.
 SQL_TABLES = f"""
-    raw_listings AS (SELECT * FROM (VALUES {', '.join(f'({i}, {_literal(t)})' for i, t in enumerate(TITLES, 1))}) v(id, title)),
-    canonical_catalog AS (SELECT * FROM (VALUES {', '.join(f'({i}, {_literal(e)})' for i, e in enumerate(ENTRIES))}) v(pos, sku))
+    raw_listings AS (SELECT * FROM (VALUES {', '.join(f'({i}, {sql_literal(t)})' for i, t in enumerate(TITLES, 1))}) v(id, title)),
+    canonical_catalog AS (SELECT * FROM (VALUES {', '.join(f'({i}, {sql_literal(e)})' for i, e in enumerate(ENTRIES))}) v(pos, sku))
 """

@@ -102,3 +102,60 @@ def test_quality(spark):
     r = quality.precision_recall(df, "t", "f").first()
     assert (r["tp"], r["fp"], r["fn"]) == (1, 2, 2)
     assert {x["value"]: x["n"] for x in quality.value_counts(df, "t").collect()} == {"a": 2, None: 2, "d": 1}
+
+
+def noisy_frame(spark, n=60):
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(n, 5)) * 10 + 100
+    y = 0.7 * x[:, 0] + 0.3 * x[:, 1] + rng.normal(size=n)
+    data = [(f"2026-{1 + i // 28:02d}-{1 + i % 28:02d}", f"p{i % 3}", *map(float, x[i]), float(y[i])) for i in range(n)]
+    return models.with_bucket(spark.createDataFrame(data, ["week_start", "canonical_product_id", *models.FEATURES, "target"]), 4).checkpoint()
+
+
+def test_moments_of_buckets_give_each_fold_its_own_fit(spark):
+    from quilate.session import ensure_checkpoint_dir
+
+    ensure_checkpoint_dir(spark)
+    b = noisy_frame(spark)
+    for fold, model in models.fold_models(b, models.ElasticNet, 4).items():
+        alone = models.ElasticNet().fit(b.where(f"bucket < {fold}"))
+        assert np.allclose(model.coefficients, alone.coefficients, atol=1e-8) and model.intercept == pytest.approx(alone.intercept)
+        want = models.metrics(alone.predict(b.where(f"bucket = {fold}")), "target", "prediction").first()
+        got = models.cross_validate(b, models.ElasticNet, 4).where(f"fold = {fold}").first()
+        assert [got[k] for k in ("mae", "rmse", "mape")] == pytest.approx([want[k] for k in ("mae", "rmse", "mape")])
+    with pytest.raises(ValueError, match="no rows"):
+        models.ElasticNet().fit(b.limit(0))
+    with pytest.raises(ValueError, match="not trained on"):
+        models.ElasticNet(columns=("precio_lag_1",)).fit(b).predict(b)
+    assert isinstance(models.Naive(), models.PriceModel) and isinstance(models.ElasticNet(), models.PriceModel)
+
+
+def test_winners_of_rejoined_predictions(spark):
+    b = noisy_frame(spark)
+    both = {m().kind: models.fold_predictions(b, m, 4) for m in (models.ElasticNet, models.Naive)}
+    rows = models.rejoined(b.select(*models.KEYS, "target"), both)
+    counts = {r["winner"]: r["n"] for r in quality.winner_counts(rows, "target", "elastic_net", "naive").collect()}
+    want = {}
+    for r in rows.collect():
+        e, n = abs(r["target"] - r["elastic_net"]), abs(r["target"] - r["naive"])
+        k = "elastic_net" if e < n else "naive" if n < e else "tie"
+        want[k] = want.get(k, 0) + 1
+    assert counts == want and sum(counts.values()) == b.where("bucket > 0").count() and counts["elastic_net"] > counts["naive"]
+
+
+def test_metadata_names_the_model(spark, tmp_path):
+    b = noisy_frame(spark)
+    scores = models.compare_models(b, 4)
+    winner = models.choose_model(b, 4, scores)
+    models.save_model(spark, winner, str(tmp_path), "20260601", models.training_metadata(b, winner, scores, "20260601"))
+    kept = models.load_metadata(spark, str(tmp_path), "20260601")
+    assert (kept["model"], kept["train_rows"], kept["skus"], kept["features"]) == ("elastic_net", 60, 3, list(models.FEATURES))
+    assert kept["metrics_winner"] == kept["metrics_elastic_net"] != kept["metrics_naive"]
+    assert models.model_id(spark, str(tmp_path), "20260601") == "elastic_net"
+    models.save_model(spark, winner, str(tmp_path), "20260602")
+    assert models.model_id(spark, str(tmp_path), "20260602") == "model_20260602" and models.load_latest(spark, str(tmp_path))[0] == "20260602"
+
+
+def test_summary_by_deviation(spark):
+    rows = spark.createDataFrame([("a", 3.0), ("b", -12.5), ("c", 3.0), ("d", 0.0)], "canonical_product_id string, pct_diff double")
+    assert [r["canonical_product_id"] for r in market.by_deviation(rows).collect()] == ["b", "d", "a", "c"]

@@ -153,3 +153,63 @@ def test_fetch_retries():
     assert pages.fetch("u", 1, opener=opener([500, 503, 500]), sleep=lambda s: None) == (500, "") and len(calls) == 3
     calls.clear()
     assert pages.fetch("u", 1, opener=opener([404]), sleep=lambda s: None) == (404, "") and len(calls) == 1
+
+
+def test_paged_lists_end_where_they_should():
+    card = '<li class="product"><a class="product-loop-title" href="/p/{0}">t{0}</a><span class="price">US$ 5</span></li>'
+    site = {1: [1, 2], 2: [2, 3], 3: [3, 1], 4: [9]}
+    asked = []
+
+    def get(url):
+        asked.append(url)
+        n = int(url.rstrip("/").rsplit("/", 1)[1]) if "/page/" in url else 1
+        return (200, "".join(card.format(k) for k in site[n])) if n in site else (404, "")
+
+    got = list(pages.paged("thot", "https://s.example/c", get))
+    assert [(r[1], r[5]) for r in got] == [(1, 2), (2, 1)] and len(asked) == 3  # the third page has nothing new
+    assert [r[1] for r in pages.paged("thot", "https://s.example/c", get, max_pages=1)] == [1]
+    assert [r[1] for r in pages.paged("thot", "https://s.example/c", get, start_page=4)] == [4]
+    assert list(pages.paged("thot", "https://s.example/c", lambda u: (404, ""))) == list(pages.paged("thot", "https://s.example/c", lambda u: (200, "<p>"))) == []
+    with pytest.raises(OSError, match="503"):
+        list(pages.paged("thot", "https://s.example/c", lambda u: (503, "")))
+
+
+def test_page_addresses_are_those_of_the_column(spark):
+    df = spark.createDataFrame([("https://s.example/c/?x=1",), ("https://s.example/c/",)], "b string")
+    for site in ("thot", "banifox", "pccompu"):
+        for p in (1, 2, 7):
+            assert [r["u"] for r in df.select(listing.page_url(site, F.col("b"), F.lit(p)).alias("u")).collect()] == [listing.page_address(site, r["b"], p) for r in df.collect()]
+
+
+def test_paged_source(spark):
+    import http.server
+    import threading
+
+    class Shop(http.server.BaseHTTPRequestHandler):
+        def do_GET(self):
+            n = int(self.path.rstrip("/").rsplit("/", 1)[1]) if "/page/" in self.path else 1
+            body = f'<li class="product"><a class="product-loop-title" href="/p/{n}">t</a><span class="price">US$ {n}</span></li>'.encode()
+            self.send_response(200 if n <= 3 else 404)
+            self.end_headers()
+            self.wfile.write(body if n <= 3 else b"")
+
+        def log_message(self, *a):
+            pass
+
+    server = http.server.ThreadingHTTPServer(("127.0.0.1", 0), Shop)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    try:
+        spark.dataSource.register(pages.PagedSource)
+        base = f"http://127.0.0.1:{server.server_port}"
+        read = spark.read.format("paged").option("site", "thot").option("urls", f"{base}/a,{base}/b").option("delay", "0").load()
+        rows = html.listings_from_cards(html.raw_cards(read.select("base_url", "page_no", "url", "html"), "thot", base), "thot").collect()
+        assert sorted((r["page_base_url"][-1], r["page_page_no"], r["price"]) for r in rows) == [(u, n, float(n)) for u in "ab" for n in (1, 2, 3)]
+    finally:
+        server.shutdown()
+
+
+def test_rebuilt_listings(spark):
+    from quilate import schemas
+
+    df = spark.createDataFrame([(0.0, ""), (5.0, "new"), (None, None), (-1.0, "used")], "base_price double, condition string")
+    assert [tuple(r) for r in schemas.rebuilt_listings(df).collect()] == [(None, None), (5.0, "new"), (None, None), (-1.0, "used")]
