@@ -35,10 +35,13 @@ def resolve_identifiers(values: DataFrame, value_col: str, reference: DataFrame,
     return best.where(F.size(winners) == 1).select("value", winners[0]["entry"].alias("entry"))
 
 
-def with_entry(df: DataFrame, value_col: str, reference: DataFrame, entry_col: str, out: str) -> DataFrame:
-    """``df`` with the entry each value means, NULL if none; exact values need no lookup."""
+def with_entry(df: DataFrame, value_col: str, reference: DataFrame, entry_col: str, out: str, values: DataFrame | None = None) -> DataFrame:
+    """``df`` with the entry each value means, NULL if none; exact values need no lookup.
+
+    ``values``: a smaller table that holds every value of ``df`` in a column of the same name, to take them from.
+    """
     exact = reference.select(F.col(entry_col).alias("_entry")).where("_entry IS NOT NULL").distinct()
-    typed = df.select(value_col).distinct().join(exact, F.col(value_col) == F.col("_entry"), "left_anti")
+    typed = (df if values is None else values).select(value_col).distinct().join(exact, F.col(value_col) == F.col("_entry"), "left_anti")
     meant = resolve_identifiers(typed, value_col, reference, entry_col).select(F.col("value").alias("_value"), F.col("entry").alias("_meant"))
     known = exact.select(F.col("_entry").alias("_value"), F.col("_entry").alias("_meant")).unionByName(meant)
     return df.join(known, F.col(value_col) == F.col("_value"), "left").withColumn(out, F.col("_meant")).drop("_value", "_meant")

@@ -133,6 +133,8 @@ UNITS = {"usd": ("usd", 1.0), "usd_cents": ("usd", 0.01), "uyu": ("uyu", 1.0), "
 def unit_priors(strings: DataFrame, col: str, grammar: UnitGrammar, other: tuple[float, float]) -> DataFrame:
     """(``unit_string``, ``unit_prior`` map of unit code to log weight) of each distinct string; an empty map if it names no unit.
 
+    A power of a currency (``usd^2``) is no unit of a price.
+
     ``other`` weighs the units that a string does not name: those near to a named one, and the rest.
     """
     distinct = strings.select(F.col(col).cast("string").alias("unit_string")).distinct()
@@ -145,7 +147,7 @@ def unit_priors(strings: DataFrame, col: str, grammar: UnitGrammar, other: tuple
                 top = found[0].score if found else 0.0
                 weights = {}
                 for code, (root, scale) in UNITS.items():
-                    own = [r.score - top for r in found if r.root == root and abs(math.log(r.scale / scale)) < 1e-6]
+                    own = [r.score - top for r in found if r.root == root and r.power == 1 and abs(math.log(r.scale / scale)) < 1e-6]
                     if own and max(own) > -2:
                         weights[code] = max(own)
                 # A unit of the same root or scale is likelier than one that shares neither.
@@ -205,32 +207,50 @@ TEXTS_TO_BROADCAST = 200_000
 LABEL_OTHER, SHOWN_OTHER = (-3.0, -7.0), (-6.0, -8.0)
 
 
-def convert_prices(prices: DataFrame, texts: DataFrame, rates: DataFrame, key: Column | None = None) -> DataFrame:
+def price_summary(prices: DataFrame) -> DataFrame:
+    """(``canonical_product_id``, ``currency``, ``level_week``, ``readings``): all values of these columns, from one pass."""
+    return prices.groupBy("canonical_product_id", "currency", _week().alias("level_week")).agg(F.count("*").alias("readings"))
+
+
+def _week() -> Column:
+    return F.to_date(F.date_trunc("week", "timestamp"))
+
+
+def nearest_rates(weeks: DataFrame, rates: DataFrame) -> DataFrame:
+    """(``rate_week``, ``rate``): each week with its rate, else that of the nearest week that has one, the earlier of two."""
+    order = Window.orderBy("rate_week")  # one row a week
+    known = F.when(F.col("rate").isNotNull(), F.struct("rate_week", "rate"))
+    rows = weeks.join(rates, "rate_week", "full_outer").select("rate_week", "rate", F.last(known, True).over(order.rowsBetween(Window.unboundedPreceding, 0)).alias("a"), F.first(known, True).over(order.rowsBetween(0, Window.unboundedFollowing)).alias("b"))
+    earlier = F.col("b").isNull() | (F.datediff("rate_week", "a.rate_week") <= F.datediff("b.rate_week", "rate_week"))
+    return rows.select("rate_week", F.when(F.col("a").isNotNull() & earlier, F.col("a.rate")).otherwise(F.col("b.rate")).alias("rate"))
+
+
+def convert_prices(prices: DataFrame, texts: DataFrame, rates: DataFrame, key: Column | None = None, summary: DataFrame | None = None, texts_to_broadcast: int = TEXTS_TO_BROADCAST) -> DataFrame:
     """Prices with their unit and their value in dollars.
 
     Adds ``unit_code``, ``usd_value`` (price in dollars at the week's rate), ``level``, ``level_rows`` and
     ``label_unit`` (the unit that the label names, NULL if it is not exactly USD or UYU) to id,
     timestamp, canonical_product_id, source, seller, price, currency, price_usd. A NULL or NaN price
     has no unit. Without any level the label's unit counts. ``key`` names the product (default: the
-    squeezed identifier). A week without a rate takes the nearest week's rate.
+    squeezed identifier). A week without a rate takes the nearest week's rate. ``summary``: the
+    ``price_summary`` of the prices, where it is at hand, spares two passes over them. Up to
+    ``texts_to_broadcast`` texts are broadcast, more are joined by id; the result is the same.
     """
-    week = F.to_date(F.date_trunc("week", "timestamp"))
-    base = prices.withColumn("level_key", key if key is not None else squeezed(F.col("canonical_product_id"))).withColumn("level_week", week)
+    base = prices.withColumn("level_key", key if key is not None else squeezed(F.col("canonical_product_id"))).withColumn("level_week", _week())
+    summary = base if summary is None else summary
     levels = price_levels(base)
     grammar = UnitGrammar({"usd": 0.5, "uyu": 0.5})
-    labels = unit_priors(base, "currency", grammar, LABEL_OTHER).select(F.col("unit_string").alias("_label"), F.col("unit_prior").alias("_label_prior"))
+    labels = unit_priors(summary, "currency", grammar, LABEL_OTHER).select(F.col("unit_string").alias("_label"), F.col("unit_prior").alias("_label_prior"))
     shown = texts.select("snapshot_id", F.col("price_text").alias("_shown")).where("_shown IS NOT NULL").dropDuplicates(["snapshot_id"])
     # The number differs in every text: the unit string is the text without it.
     shown = shown.withColumn("_unit", F.trim(F.regexp_replace("_shown", r"(?<![x\d])\d[\d.,]*", " ")))
     units = unit_priors(shown, "_unit", grammar, SHOWN_OTHER).select(F.col("unit_string").alias("_unit_string"), F.col("unit_prior").alias("_shown_prior"))
     shown = shown.select("snapshot_id", "_unit")
     # Few prices have a text; a short list of them spares all prices a shuffle by id.
-    if texts.limit(TEXTS_TO_BROADCAST + 1).count() <= TEXTS_TO_BROADCAST:
+    if texts.limit(texts_to_broadcast + 1).count() <= texts_to_broadcast:
         shown = F.broadcast(shown)
-    # Rates for all weeks that occur, forward then backward from the nearest recorded week.
-    weeks = base.select(F.col("level_week").alias("rate_week")).where("level_week IS NOT NULL").distinct().join(rates, "rate_week", "full_outer")
-    order = Window.orderBy("rate_week")  # one row a week
-    filled = weeks.select("rate_week", F.coalesce("rate", F.last("rate", True).over(order.rowsBetween(Window.unboundedPreceding, 0)), F.first("rate", True).over(order.rowsBetween(0, Window.unboundedFollowing))).alias("rate"))
+    weeks = summary.select(F.col("level_week").alias("rate_week")).where("level_week IS NOT NULL").distinct()
+    filled = nearest_rates(weeks, rates)
     rows = (
         base.join(levels, ["level_key", "level_week"], "left")
         .join(filled, F.col("level_week") == F.col("rate_week"), "left")

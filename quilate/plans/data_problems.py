@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quilate.operators import anomalies, identifiers, impute, units
-from quilate.session import table
+from quilate.session import ensure_checkpoint_dir, table
 
 #: Groups of similar records, the closest first.
 DECKS = [["canonical_product_id"], ["category", "brand_family"], ["category"], []]
@@ -46,12 +46,17 @@ def p4_masked_error(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _converted(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Price snapshots in dollars, with the catalogue entry their identifier means."""
+    """Price snapshots in dollars, with the catalogue entry their identifier means.
+
+    The prices are read three times: for the values of identifier, label and week, for the levels, and as they are.
+    """
+    ensure_checkpoint_dir(spark)
     prices = table(spark, sf_dir, "price_snapshots").select("id", "timestamp", "canonical_product_id", "source", "seller", "price", "currency", "price_usd")
-    prices = identifiers.with_entry(prices, "canonical_product_id", table(spark, sf_dir, "canonical_catalog"), "sku", "entry")
+    summary = units.price_summary(prices).checkpoint()
+    prices = identifiers.with_entry(prices, "canonical_product_id", table(spark, sf_dir, "canonical_catalog"), "sku", "entry", summary)
     rates = units.weekly_rate(table(spark, sf_dir, "feature_snapshots"), "week_start", "usd_uyu_rate")
     key = F.coalesce("entry", identifiers.squeezed(F.col("canonical_product_id")))
-    return units.convert_prices(prices, table(spark, sf_dir, "price_texts"), rates, key)
+    return units.convert_prices(prices, table(spark, sf_dir, "price_texts"), rates, key, summary)
 
 
 def p5_flags(spark: SparkSession, sf_dir: str) -> DataFrame:

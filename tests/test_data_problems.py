@@ -74,6 +74,28 @@ def test_prices_and_findings(spark):
     assert units.convert_prices(df, texts.limit(0), rates.limit(0)).count() == 35
 
 
+def test_summary_and_join_of_texts_change_nothing(spark):
+    df = price_rows(spark, [(700.0 + i, "USD", 700.0 + i) for i in range(20)] + [(28000.0, "$", 700.0), (70000.0, "pesos", 17.5), (700.0, None, 700.0)])
+    rates = spark.createDataFrame([(dt.date(2026, 2, 23), 40.0)], "rate_week date, rate double")
+    texts = spark.createDataFrame([(i, "U$S 700,00") for i in range(0, 23, 2)], "snapshot_id long, price_text string")
+    rows = lambda **k: sorted(map(str, units.convert_prices(df, texts, rates, **k).collect()))
+    assert rows() == rows(texts_to_broadcast=0) == rows(summary=units.price_summary(df)) and len(rows()) == 23
+
+
+def test_a_power_of_a_currency_is_no_unit(spark):
+    df = spark.createDataFrame([("usd^2",), ("usd",), ("usd c/u",)], "u string")
+    got = {r["unit_string"]: r["unit_prior"] for r in units.unit_priors(df, "u", G, units.LABEL_OTHER).collect()}
+    assert got["usd^2"] == {} and got["usd"]["usd"] == got["usd c/u"]["usd"] == 0
+
+
+def test_the_nearest_weeks_rate(spark):
+    day = lambda d: dt.date(2026, 1, 5) + dt.timedelta(days=7 * d)
+    rates = spark.createDataFrame([(day(2), 40.0), (day(8), 44.0), (day(5), None)], "rate_week date, rate double")
+    weeks = spark.createDataFrame([(day(d),) for d in (0, 3, 5, 6, 9)], "rate_week date")
+    got = {(r["rate_week"] - day(0)).days // 7: r["rate"] for r in units.nearest_rates(weeks, rates).collect()}
+    assert got == {0: 40.0, 2: 40.0, 3: 40.0, 5: 40.0, 6: 44.0, 8: 44.0, 9: 44.0}
+
+
 def test_rates(spark):
     df = spark.createDataFrame([(i, "2026-03-02", r) for i, r in enumerate([39.5, 39.5, 1 / 39.5, 3950.0, None, float("nan"), 0.0])] + [(9, "2026-03-09", None)], "id long, w string, r double")
     got = {r["row_id"]: (r["unit_code"], r["rate"]) for r in units.rate_units(df, "id", "w", "r").collect()}
