@@ -9,17 +9,74 @@ from pyspark.sql import types as T
 SOURCES, CURRENCIES, CONDITIONS = ("thot", "banifox", "pccompu"), ("UYU", "USD"), ("new", "used")
 
 
-def _struct(spec: str) -> T.StructType:
-    kinds = {"s": T.StringType(), "d": T.DoubleType(), "i": T.IntegerType(), "t": T.TimestampType()}
-    fields = (f.split(":") for f in spec.split())
-    return T.StructType([T.StructField(n.rstrip("!"), kinds[k], not n.endswith("!")) for n, k in fields])
+STRING, DOUBLE, INTEGER, TIMESTAMP = T.StringType(), T.DoubleType(), T.IntegerType(), T.TimestampType()
 
-
-RAW_LISTINGS = _struct("listing_key!:s source!:s item_id:s url!:s timestamp!:t title!:s price!:d currency!:s seller!:s condition:s available_quantity:i base_price:d created_at!:t updated_at!:t")
-PRICE_SNAPSHOTS = _struct("timestamp!:t canonical_product_id!:s source!:s seller!:s listing_id:s price!:d currency!:s price_usd!:d availability:i created_at!:t")
-FEATURE_SNAPSHOTS = _struct("week_start!:s canonical_product_id!:s run_at!:s precio_lag_1:d precio_lag_2:d mediana_movil:d dispersion_precios:d usd_uyu_rate:d")
-PREDICTIONS = _struct("week_start!:s canonical_product_id!:s predicted_price_usd!:d lower_bound:d upper_bound:d model_id!:s run_at!:s")
-CATALOG = _struct("pos!:i sku!:s brand_family:s category:s release_year:i notes:s")
+#: Columns of the tables, in their order; False: never NULL. Fixed values.
+RAW_LISTINGS = T.StructType(
+    [
+        T.StructField("listing_key", STRING, False),
+        T.StructField("source", STRING, False),
+        T.StructField("item_id", STRING),
+        T.StructField("url", STRING, False),
+        T.StructField("timestamp", TIMESTAMP, False),
+        T.StructField("title", STRING, False),
+        T.StructField("price", DOUBLE, False),
+        T.StructField("currency", STRING, False),
+        T.StructField("seller", STRING, False),
+        T.StructField("condition", STRING),
+        T.StructField("available_quantity", INTEGER),
+        T.StructField("base_price", DOUBLE),
+        T.StructField("created_at", TIMESTAMP, False),
+        T.StructField("updated_at", TIMESTAMP, False),
+    ]
+)
+PRICE_SNAPSHOTS = T.StructType(
+    [
+        T.StructField("timestamp", TIMESTAMP, False),
+        T.StructField("canonical_product_id", STRING, False),
+        T.StructField("source", STRING, False),
+        T.StructField("seller", STRING, False),
+        T.StructField("listing_id", STRING),
+        T.StructField("price", DOUBLE, False),
+        T.StructField("currency", STRING, False),
+        T.StructField("price_usd", DOUBLE, False),
+        T.StructField("availability", INTEGER),
+        T.StructField("created_at", TIMESTAMP, False),
+    ]
+)
+FEATURE_SNAPSHOTS = T.StructType(
+    [
+        T.StructField("week_start", STRING, False),
+        T.StructField("canonical_product_id", STRING, False),
+        T.StructField("run_at", STRING, False),
+        T.StructField("precio_lag_1", DOUBLE),
+        T.StructField("precio_lag_2", DOUBLE),
+        T.StructField("mediana_movil", DOUBLE),
+        T.StructField("dispersion_precios", DOUBLE),
+        T.StructField("usd_uyu_rate", DOUBLE),
+    ]
+)
+PREDICTIONS = T.StructType(
+    [
+        T.StructField("week_start", STRING, False),
+        T.StructField("canonical_product_id", STRING, False),
+        T.StructField("predicted_price_usd", DOUBLE, False),
+        T.StructField("lower_bound", DOUBLE),
+        T.StructField("upper_bound", DOUBLE),
+        T.StructField("model_id", STRING, False),
+        T.StructField("run_at", STRING, False),
+    ]
+)
+CATALOG = T.StructType(
+    [
+        T.StructField("pos", INTEGER, False),
+        T.StructField("sku", STRING, False),
+        T.StructField("brand_family", STRING),
+        T.StructField("category", STRING),
+        T.StructField("release_year", INTEGER),
+        T.StructField("notes", STRING),
+    ]
+)
 TABLES = {"raw_listings": RAW_LISTINGS, "price_snapshots": PRICE_SNAPSHOTS, "feature_snapshots": FEATURE_SNAPSHOTS, "predictions": PREDICTIONS}
 
 
