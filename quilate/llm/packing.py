@@ -13,10 +13,12 @@ Rounding never overfills: bounds are integers, and each pattern's worst case is
 
 from __future__ import annotations
 
+import os
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -44,11 +46,15 @@ def load_tokenizer(path: str):
 
 
 def count_tokens(df: DataFrame, id_col: str, text_col: str, tokenizer_path: str = DEFAULT_TOKENIZER) -> DataFrame:
-    """(id, n_tokens) of each row; NULL and empty texts have no tokens. Whole texts are read."""
+    """(id, n_tokens) of each row; NULL and empty texts have no tokens. Whole texts are read.
+
+    The vocabulary file is read by the driver's path and sent to the executors.
+    """
+    df.sparkSession.sparkContext.addFile(tokenizer_path)
     source = df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encoding = load_tokenizer(tokenizer_path)
+        encoding = load_tokenizer(SparkFiles.get(os.path.basename(tokenizer_path)))
         for batch in batches:
             counts = [len(encoding.encode_ordinary(t)) if t else 0 for t in batch["text"]]
             yield pd.DataFrame({"id": batch["id"], "n_tokens": np.array(counts, dtype="int64")})

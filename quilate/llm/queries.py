@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quilate.llm import leaks, listings, packing, percentiles, reference_map, spam
-from quilate.session import table
+from quilate.session import spread, table
 
 PS = (0.05, 0.25, 0.5, 0.75, 0.95, 0.99)
 
@@ -57,7 +57,7 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     titles = reference_map.map_to_reference(table(spark, sf_dir, "raw_listings"), "title", catalog, "sku", ["id"])
     listed = titles.select(F.lit("raw_listings").alias("origin"), F.col("id").alias("row_id"), F.coalesce("entry", F.lit(reference_map.UNMATCHED)).alias("sku"))
     typed = table(spark, sf_dir, "price_snapshots").select("id", "canonical_product_id").join(catalog, F.col("canonical_product_id") == F.col("sku"), "left_anti")
-    values = reference_map.spread(typed.select("canonical_product_id").distinct())
+    values = spread(typed.select("canonical_product_id").distinct())
     meant = reference_map.map_to_reference(values, "canonical_product_id", catalog, "sku").where("entry IS NOT NULL")
     ids = typed.join(meant, typed["canonical_product_id"] == meant["value"], "left")
     return listed.unionByName(ids.select(F.lit("price_snapshots").alias("origin"), F.col("id").alias("row_id"), F.coalesce("entry", F.lit(reference_map.UNMATCHED)).alias("sku")))

@@ -28,6 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quilate.llm import titles as T
+from quilate.session import spread
 
 UNMATCHED = "UNMATCHED"
 #: How entries were found; of all shards the first of these counts. A mention that no entry fits rules out whole strings.
@@ -275,12 +276,6 @@ def known_rests(entries: list[tuple[int, str]], shards: list[list[tuple[int, str
     return [{k: frozen[k] for k in {(r[1], r[0]) for r in (read[entry] for _, entry in shard) if r}} for shard in shards]
 
 
-def spread(values: DataFrame) -> DataFrame:
-    """Distinct values over as many tasks as the session's shuffles have: few bytes of them are much work, so size alone must not merge them."""
-    # By a hash of its own: a repartition by the columns themselves is dropped as the one that made the values distinct.
-    return values.repartition(int(values.sparkSession.conf.get("spark.sql.shuffle.partitions")), F.xxhash64(*values.columns))
-
-
 def map_to_reference(df: DataFrame, value_col: str, reference: DataFrame, entry_col: str, key_cols: list[str] = (), max_distance: int = 1, shard_entries: int = SHARD_ENTRIES, shards_bound: int = 64) -> DataFrame:
     """Each row's value with the reference entry it means.
 
