@@ -154,7 +154,9 @@ def containment_links(classes: DataFrame, containment: float = 1.0) -> DataFrame
     seen = tokens.groupBy("hard", "token").agg(F.count("*").alias("df"))
     total = classes.groupBy("hard").agg(F.count("*").alias("classes"))
     weight = F.log(1 + F.col("classes") / F.col("df")) + 0.1
-    weighed = tokens.join(seen, ["hard", "token"]).join(total, "hard").select("class_key", "hard", F.struct(F.col("df"), "token", weight.alias("w")).alias("t"))
+    # The sets of a hot hard part (or of none) never meet on that key alone: weights are made per token first.
+    weights = seen.join(total, "hard").select("hard", "token", F.struct(F.col("df"), "token", weight.alias("w")).alias("t"))
+    weighed = tokens.join(weights, ["hard", "token"]).select("class_key", "hard", "t")
     ordered = weighed.groupBy("class_key", "hard").agg(F.sort_array(F.collect_list("t")).alias("ts"))
     # Both sides of the join read the ordered sets: the cut keeps the plan, and the driver's memory, small.
     sum_of = lambda ts: F.aggregate(ts, F.lit(0.0), lambda a, t: a + t["w"])
