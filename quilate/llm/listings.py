@@ -45,6 +45,8 @@ _DETAIL = re.compile(
 )
 _CAPACITY = re.compile(r"(?<![a-z\d.,])\d+(?:[.,]\d+)?[\s-]*(?:gigabytes?|gigas?|gb|g|terabytes?|teras?|tb|t|mb)(?![a-z])")
 _WORDS = re.compile(r"[a-z]+|\d+")
+_KINDS = {k: re.compile(rf"(?<![a-z]){k}(?![a-z])") for k in ACCESSORY_KINDS}
+_VARIANT = re.compile(r"(\d{4})[\s_-]*(" + "|".join(sorted({*T.VARIANT_WORDS, *T.VARIANT_LETTERS}, key=len, reverse=True)) + r")(?![a-z])")
 
 
 def normalise(text: str | None, matcher: ReferenceMatcher) -> tuple[str, list[str]]:
@@ -68,7 +70,7 @@ def normalise(text: str | None, matcher: ReferenceMatcher) -> tuple[str, list[st
     else:
         hard_parts = []
         no_cooler = re.sub(r"s\s*/\s*cooler", " ", line)
-        kinds = [k for k in ACCESSORY_KINDS if re.search(rf"(?<![a-z]){k}(?![a-z])", no_cooler)]
+        kinds = [k for k, word in _KINDS.items() if word.search(no_cooler)]
         rate = None
         if gen := re.search(r"(?<!g)ddr[\s_-]*(\d)", line):
             caps = T.capacities(line)
@@ -76,7 +78,7 @@ def normalise(text: str | None, matcher: ReferenceMatcher) -> tuple[str, list[st
             rate = T.memory_speed(line)  # soft: where it stands alone, it looks like any other number
         elif kinds:
             hard_parts += kinds[:1]
-            rest = re.sub(rf"(?<![a-z]){kinds[0]}(?![a-z])", " ", no_cooler)
+            rest = _KINDS[kinds[0]].sub(" ", no_cooler)
         elif re.search(r"(?<![a-z])(?:ssd|disco|solid|unidad ssd)(?![a-z])", line) or re.search(r"\d\s*(?:tb|tera)", line):
             caps = T.capacities(line)
             hard_parts += ["ssd", *(f"{gb:g}gb" for _, gb in caps[:1])]
@@ -86,9 +88,8 @@ def normalise(text: str | None, matcher: ReferenceMatcher) -> tuple[str, list[st
         for m in re.finditer(r"(?<![a-z])([a-z]{2})[\s_-]*(\d{2})(?!\d)", rest):
             hard_parts.append(m[1] + m[2])
         rest = re.sub(r"(?<![a-z])[a-z]{2}[\s_-]*\d{2}(?!\d)", " ", rest)
-        for m in re.finditer(r"(\d{4})[\s_-]*(" + "|".join(sorted({*T.VARIANT_WORDS, *T.VARIANT_LETTERS}, key=len, reverse=True)) + r")(?![a-z])", rest):
-            hard_parts.append(m[1] + m[2])
-        rest = re.sub(r"(\d{4})[\s_-]*(?:" + "|".join(sorted({*T.VARIANT_WORDS, *T.VARIANT_LETTERS}, key=len, reverse=True)) + r")(?![a-z])", " ", rest)
+        hard_parts += [m[1] + m[2] for m in _VARIANT.finditer(rest)]
+        rest = _VARIANT.sub(" ", rest)
         hard = " ".join(hard_parts)
     soft = {w for w in _WORDS.findall(rest) if w not in TRADE_WORDS and (len(w) > 1)}
     return hard, sorted(soft)

@@ -27,6 +27,8 @@ _BARE = re.compile(r"(?:ddr[\s_-]*\d|(?:gb|g|gigas|mb))[\s_|-]+(\d{4})(?!\d)(?![
 
 def plain(text: str) -> str:
     """Lower case without accents or compatibility forms."""
+    if text.isascii():
+        return text.lower()
     decomposed = unicodedata.normalize("NFKD", text)
     return "".join(c for c in decomposed if not unicodedata.combining(c)).lower()
 
