@@ -122,6 +122,19 @@ def value_counts_currency(spark, d):
     return quality.value_counts(table(spark, d, "price_snapshots"), "currency")
 
 
+def safe_floats(spark, d):
+    """Price texts that are plain numbers, as numbers; the others NULL."""
+    return table(spark, d, "price_texts").select("snapshot_id", listing.safe_float(F.col("price_text")).alias("number"), listing.safe_float(F.regexp_replace("price_text", "[^0-9.]", "")).alias("digits"))
+
+
+def unseen_snapshots(spark, d):
+    """Snapshots that a table of the earlier ones does not hold yet, each key once: appending twice changes nothing."""
+    rows = table(spark, d, "price_snapshots")
+    stored = rows.where(F.col("created_at") < F.lit(LOADED_UNTIL).cast("timestamp"))
+    keys = ["source", "listing_id", "timestamp"]
+    return upsert.unseen_snapshots(rows, stored, keys).select("source", "listing_id", F.date_format("timestamp", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("at"))
+
+
 def component_prices(spark, d):
     return table(spark, d, "raw_listings").where("currency = 'USD' AND price >= 43").select("id", "price")
 
@@ -410,6 +423,12 @@ def parse_cards_pccompu(spark, d):
     return _parsed(spark, d, "pccompu")
 
 
+def all_sites_listings(spark, d):
+    """The listings of all sites' pages in one table, each address of a site once."""
+    parts = [html.first_of_each_url(_parsed(spark, d, site), ["id"]).withColumn("site", F.lit(site)) for site in SOURCES]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2]).groupBy("site", "currency").agg(F.count("*").alias("n"), F.count_distinct("url").alias("urls"), F.round(F.sum(F.col("price").cast("decimal(20,2)")).cast("double"), 2).alias("total"))
+
+
 def page_urls(spark, d):
     base = table(spark, d, "raw_listings").select("source", F.concat(F.lit("https://"), "source", F.lit(".example/c/")).alias("base")).distinct()
     rows = base.select("source", "base", F.explode(F.sequence(F.lit(1), F.lit(3))).alias("page"))
@@ -527,7 +546,7 @@ QUERIES = {
         best_deals_by_category, display_rows, normalize_title, normalize_sku, extract_brand, extract_variant, exact_match, regex_match, fuzzy_match, resolve_priority, title_cases, resolver_cases, match_rate, normalize_url, listing_key,
         upsert_listings, ingest_counters, upsert_into_stored, stored_counters, validate_listings, fx_normalize, resolve_snapshots, resolve_counters, replace_features, training_frame, min_history_skus, forward_fill, walk_forward_folds,
         naive_cv_metrics, naive_cv_mean, elasticnet_cv, elasticnet_importances, winner_predictions, latest_week_predictions_naive, prediction_bounds, replace_predictions, baseline_winner_counts, model_winner_counts, skus_by_brand, latest_listings,
-        parse_cards_thot, parse_cards_banifox, parse_cards_pccompu, page_urls, pagination_stop, dedup_urls, zero_row_alerts, fx_json, sku_stats, source_pivot, daily_volume, daily_median_top5, rolling_mean_7,
-        hist_vs_current, signal_marks, scan_listings, least_current_price, price_describe, listing_overview, top_products, value_counts_currency, component_prices, source_match_rate, per_source_counts, summary_history, value_counts_condition, null_counts, outliers, listing_outliers, title_keyword_share, model_word_share, title_lengths, sharp_drops, feature_uniques, precision_recall, first_of_sources,
+        parse_cards_thot, parse_cards_banifox, parse_cards_pccompu, all_sites_listings, page_urls, pagination_stop, dedup_urls, zero_row_alerts, fx_json, sku_stats, source_pivot, daily_volume, daily_median_top5, rolling_mean_7,
+        hist_vs_current, signal_marks, scan_listings, least_current_price, price_describe, listing_overview, top_products, value_counts_currency, safe_floats, unseen_snapshots, component_prices, source_match_rate, per_source_counts, summary_history, value_counts_condition, null_counts, outliers, listing_outliers, title_keyword_share, model_word_share, title_lengths, sharp_drops, feature_uniques, precision_recall, first_of_sources,
     )
 }

@@ -249,6 +249,11 @@ SQL = {
     "parse_cards_thot": _cards("thot", "CASE WHEN currency = 'USD' THEN 'USD' ELSE 'UYU' END"),
     "parse_cards_banifox": _cards("banifox", "'USD'"),
     "parse_cards_pccompu": _cards("pccompu", "CASE WHEN currency = 'USD' THEN 'USD' ELSE 'UYU' END"),
+    "all_sites_listings": "WITH p AS (" + " UNION ALL ".join(f"SELECT '{s}' AS site, url, price, currency FROM ({_cards(s, c)})" for s, c in (("thot", "CASE WHEN currency = 'USD' THEN 'USD' ELSE 'UYU' END"), ("banifox", "'USD'"), ("pccompu", "CASE WHEN currency = 'USD' THEN 'USD' ELSE 'UYU' END"))) + ") SELECT site, currency, count(*) AS n, count(DISTINCT url) AS urls, round(sum(price::DECIMAL(20,2))::DOUBLE, 2) AS total FROM p GROUP BY ALL",
+    "safe_floats": "SELECT snapshot_id, try_cast(price_text AS DOUBLE) AS number, try_cast(regexp_replace(price_text, '[^0-9.]', '', 'g') AS DOUBLE) AS digits FROM price_texts",
+    "unseen_snapshots": """WITH stored AS (SELECT * FROM price_snapshots WHERE created_at AT TIME ZONE 'UTC' < TIMESTAMP '2026-03-01 00:00:00')
+        SELECT DISTINCT source, listing_id, strftime(timestamp AT TIME ZONE 'UTC', '%Y-%m-%d %H:%M:%S.%f') AS at FROM price_snapshots r
+        WHERE NOT EXISTS (SELECT 1 FROM stored s WHERE s.source = r.source AND s.listing_id IS NOT DISTINCT FROM r.listing_id AND s.timestamp = r.timestamp)""",
     "page_urls": """
         SELECT source, page::INT AS page, CASE source WHEN 'pccompu' THEN 'https://pccompu.example/c/?pagina=' || page
                ELSE 'https://' || source || '.example/c/' || CASE WHEN page = 1 THEN '' ELSE CASE source WHEN 'thot' THEN 'page/' ELSE 'pag/' END || page || '/' END END AS url

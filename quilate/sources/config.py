@@ -83,3 +83,21 @@ def job_table(spark: SparkSession, jobs: list[Job]) -> DataFrame:
 def rate_from_json(body: Column) -> Column:
     """Pesos per dollar of a rates document; NULL if it is missing or unreadable."""
     return F.get_json_object(body, "$.usd.uyu").try_cast("double")
+
+
+#: Address of the rates document of a day, and how long to wait for it. Fixed values.
+RATES_ADDRESS, RATES_TIMEOUT = "https://cdn.jsdelivr.net/npm/@fawazahmed0/currency-api@{date}/v1/currencies/usd.json", 10
+
+
+def rates_of_weeks(spark: SparkSession, weeks: list[str], address: str = RATES_ADDRESS) -> DataFrame:
+    """(``week_start``, ``usd_uyu_rate``) of each week's document, one request a week; NULL where it is missing or unreadable.
+
+    The source of ``pages.PageSource`` has to be registered. A week asked for twice is fetched once.
+    """
+    wanted = sorted(set(weeks))
+    if not wanted:
+        return spark.createDataFrame([], "week_start string, usd_uyu_rate double")
+    urls = spark.createDataFrame([(w, address.format(date=w)) for w in wanted], "week_start string, url string")
+    pages = spark.read.format("pages").option("urls", ",".join(address.format(date=w) for w in wanted)).option("timeout", str(RATES_TIMEOUT)).load()
+    rate = F.when(F.col("status") == 200, rate_from_json(F.col("html")))
+    return urls.join(pages, "url", "left").select("week_start", rate.alias("usd_uyu_rate"))

@@ -213,3 +213,32 @@ def test_rebuilt_listings(spark):
 
     df = spark.createDataFrame([(0.0, ""), (5.0, "new"), (None, None), (-1.0, "used")], "base_price double, condition string")
     assert [tuple(r) for r in schemas.rebuilt_listings(df).collect()] == [(None, None), (5.0, "new"), (None, None), (-1.0, "used")]
+
+
+def test_rates_are_fetched_once_a_week(spark):
+    import http.server
+    import threading
+
+    asked = []
+
+    class Rates(http.server.BaseHTTPRequestHandler):
+        def do_GET(self):
+            asked.append(self.path)
+            known = {"/2026-05-04.json": b'{"usd":{"uyu":39.5}}', "/2026-05-11.json": b"broken"}
+            self.send_response(200 if self.path in known else 404)
+            self.end_headers()
+            self.wfile.write(known.get(self.path, b""))
+
+        def log_message(self, *a):
+            pass
+
+    server = http.server.ThreadingHTTPServer(("127.0.0.1", 0), Rates)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    try:
+        spark.dataSource.register(pages.PageSource)
+        address = f"http://127.0.0.1:{server.server_port}/{{date}}.json"
+        got = {r["week_start"]: r["usd_uyu_rate"] for r in config.rates_of_weeks(spark, ["2026-05-04", "2026-05-11", "2026-05-04", "2026-05-18"], address).collect()}
+        assert got == {"2026-05-04": 39.5, "2026-05-11": None, "2026-05-18": None} and len(asked) == 3
+        assert config.rates_of_weeks(spark, [], address).count() == 0
+    finally:
+        server.shutdown()
