@@ -40,9 +40,9 @@ FUNCTION_WORDS = frozenset(
     são foi foram estão estava há tem têm tinha ter é
     """.split()
 )
-FEATURES = ("bare_share", "echo_share", "link_share", "tag_share", "list_share", "function_share", "unique_share")
-#: The other view, for the labels: compressed share of the text; ends of sentences, addresses and tag marks a word; digits a letter; letters.
-LABEL_VIEW = ("compressed", "ends", "addresses", "marks", "digits", "letters")
+FEATURES = ("bare_share", "echo_share", "link_share", "tag_share", "list_share")
+#: The other view, for the labels: compressed share of the text; ends of sentences, addresses and tag marks a word; digits a letter; letters, and letters a line.
+LABEL_VIEW = ("compressed", "ends", "addresses", "marks", "digits", "letters", "line_letters")
 #: Words of the windows in which function words, and repetitions, are counted.
 WINDOW, ECHO_WINDOW = 16, 40
 #: Words that one address counts as.
@@ -141,12 +141,8 @@ def features(text: str | None) -> list[float]:
         bare[plain] = near < 0.11
         # Prose that repeats a sentence keeps its function words; keyword lists do so only in place names.
         echo[plain] = (distinct < (0.5 if width >= 32 else 0.45)) | ((distinct < 0.62) & (near < 0.25))
-    # Lists of goods and specifications have no sentences by nature: the words beside them tell what the page is.
-    beside = kind != LISTED
-    own = np.count_nonzero(beside)
-    words_beside = (np.count_nonzero(function[beside]) / own, (len(number) if own == n else len(np.unique(ids[beside]))) / own) if own else (1.0, 1.0)
     each = np.bincount(kind, minlength=4) / n
-    return [float(x) for x in (np.count_nonzero(bare) / n, np.count_nonzero(echo) / n, each[LINK], each[TAGGED], each[LISTED], *words_beside)]
+    return [float(x) for x in (np.count_nonzero(bare) / n, np.count_nonzero(echo) / n, each[LINK], each[TAGGED], each[LISTED])]
 
 
 #: Bytes compressed together, so that a text's length plays no part, and what zlib adds to each piece.
@@ -157,27 +153,28 @@ _END = re.compile(r"[.!?…](?:\s|<|$)")
 def label_view(text: str | None) -> list[float]:
     """What the labels come from; NULL and empty texts compress to all of themselves."""
     if not text or not text.strip():
-        return [1.0, 0.0, 0.0, 0.0, 0.0, 0.0]
+        return [1.0, 0.0, 0.0, 0.0, 0.0, 0.0, 0.0]
     raw = text.encode("utf-8", "replace")
     pieces = max(1, round(len(raw) / PIECE_BYTES))
     step = -(-len(raw) // pieces)
     cut = [raw[i : i + step] for i in range(0, len(raw), step)]
     compressed = sum((len(zlib.compress(c, 6)) - PIECE_OVERHEAD) / len(c) for c in cut) / len(cut)
     words = len(text.split())
-    return [compressed, len(_END.findall(text)) / words, (text.count("http") + text.count("www.")) / words, text.count("#") / words, sum(map(text.count, "0123456789")) / len(text), float(len(text))]
+    return [compressed, len(_END.findall(text)) / words, (text.count("http") + text.count("www.")) / words, text.count("#") / words, sum(map(text.count, "0123456789")) / len(text), float(len(text)), len(text) / (text.count("\n") + 1)]
 
 
 #: Weak labels. A page is spam if it compresses below the one share with few sentences, or below the third with hardly
-#: any in its letters (and few digits, which lists of goods have), or is dense in addresses or tag marks; it is sound above the other share with sentences and without those.
+#: any in its letters (and few digits, which lists of goods have), or has none in long lines, or is dense in addresses or tag marks; it is sound above the other share with sentences and without those.
 SPAM_COMPRESSED, SOUND_COMPRESSED, LIST_COMPRESSED, LIST_DIGITS = 0.38, 0.45, 0.5, 0.03
-SPAM_ENDS, FEW_ENDS, SOUND_ENDS, LEAST_LETTERS = 0.012, 0.03, 0.015, 300
+SPAM_ENDS, FEW_ENDS, NO_ENDS, SOUND_ENDS, LEAST_LETTERS, LONG_LINES = 0.012, 0.03, 0.004, 0.015, 300, 150
 SPAM_MARKS, SOUND_MARKS, SPAM_ADDRESSES, SOUND_ADDRESSES = 0.3, 0.1, 0.12, 0.05
 
 
 def weak_label(view: Column) -> Column:
     """1 spam, 0 sound, NULL unclear (or both)."""
-    compressed, ends, addresses, marks, digits, letters = (view[i] for i in range(len(LABEL_VIEW)))
-    spam = ((compressed <= SPAM_COMPRESSED) & (ends <= FEW_ENDS)) | ((ends <= SPAM_ENDS) & (letters >= LEAST_LETTERS) & (compressed < LIST_COMPRESSED) & (digits < LIST_DIGITS)) | (marks >= SPAM_MARKS) | (addresses >= SPAM_ADDRESSES)
+    compressed, ends, addresses, marks, digits, letters, line_letters = (view[i] for i in range(len(LABEL_VIEW)))
+    spam = ((compressed <= SPAM_COMPRESSED) & (ends <= FEW_ENDS)) | ((ends <= SPAM_ENDS) & (letters >= LEAST_LETTERS) & (compressed < LIST_COMPRESSED) & (digits < LIST_DIGITS))
+    spam = spam | ((ends <= NO_ENDS) & (letters >= LEAST_LETTERS) & (line_letters >= LONG_LINES)) | (marks >= SPAM_MARKS) | (addresses >= SPAM_ADDRESSES)
     sound = (compressed >= SOUND_COMPRESSED) & (ends >= SOUND_ENDS) & (marks < SOUND_MARKS) & (addresses < SOUND_ADDRESSES)
     return F.when(spam & ~sound, 1).when(sound & ~spam, 0)
 
@@ -246,6 +243,8 @@ def page_features(df: DataFrame, id_col: str, text_col: str, url_col: str) -> Da
 
 #: Labelled pages that the trees are grown on, of each kind.
 TRAIN_SPAM, TRAIN_SOUND = 2000, 4000
+#: With fewer labelled pages of either kind no trees are grown.
+LEAST_LABELLED = 20
 #: One page in so many, by hash of the id, is never trained on.
 HELD_OUT = 5
 
@@ -263,7 +262,7 @@ def _labelled(df: DataFrame, id_col: str, text_col: str, url_col: str, train_spa
 def _scored(pages: DataFrame, rows: list, trees: int, host_weight: float, host_prior: float) -> DataFrame:
     """``pages`` with ``page_score`` (of the trees) and ``score`` (smoothed with the host's rate)."""
     y = np.array([r["label"] for r in rows], dtype=float)
-    forest = bagged_trees(np.array([r["f"] for r in rows]), y, trees) if len(rows) and 0 < y.mean() < 1 else None
+    forest = bagged_trees(np.array([r["f"] for r in rows]), y, trees) if min((y == 0).sum(), (y == 1).sum()) >= LEAST_LABELLED else None
     shared = pages.sparkSession.sparkContext.broadcast(forest)
 
     @F.pandas_udf("double")
@@ -285,12 +284,12 @@ def _scored(pages: DataFrame, rows: list, trees: int, host_weight: float, host_p
     return scored.join(rates, scored["host"] == rates["of"]).withColumn("score", 1 / (1 + F.exp(-smooth)))
 
 
-def spam_pages(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", url_col: str = "url", train_spam: int = TRAIN_SPAM, train_sound: int = TRAIN_SOUND, trees: int = 40, host_weight: float = 0.3, host_prior: float = 50.0, threshold: float = 0.4) -> DataFrame:
+def spam_pages(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", url_col: str = "url", train_spam: int = TRAIN_SPAM, train_sound: int = TRAIN_SOUND, trees: int = 40, host_weight: float = 0.3, host_prior: float = 50.0, threshold: float = 0.35) -> DataFrame:
     """``doc_id``, ``host``, ``page_score``, ``score``, ``is_spam`` of each row.
 
-    NULL texts and those without words have a page score of 0. A NULL url gives the host ''. Without labelled
-    pages of both kinds (a tiny or empty table) the share of bare, repeated, linked and tagged words
-    is the score. Repeated rows each come out; only the named columns are read. Hosts are smoothed
+    NULL texts and those without words have a page score of 0. A NULL url gives the host ''. With fewer
+    than ``LEAST_LABELLED`` labelled pages of either kind (a tiny or empty table) the share of bare,
+    repeated, linked and tagged words is the score. Repeated rows each come out; only the named columns are read. Hosts are smoothed
     through one row per host. The threshold is below a half because only clear pages are labelled:
     a page that is half spam is seldom among them.
     """
@@ -299,7 +298,7 @@ def spam_pages(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", ur
     return scored.select("doc_id", "host", "page_score", "score", (F.col("score") > threshold).alias("is_spam"))
 
 
-def stage_report(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", url_col: str = "url", train_spam: int = TRAIN_SPAM, train_sound: int = TRAIN_SOUND, trees: int = 40, host_weight: float = 0.3, host_prior: float = 50.0, threshold: float = 0.4) -> DataFrame:
+def stage_report(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", url_col: str = "url", train_spam: int = TRAIN_SPAM, train_sound: int = TRAIN_SOUND, trees: int = 40, host_weight: float = 0.3, host_prior: float = 50.0, threshold: float = 0.35) -> DataFrame:
     """What each stage finds among the labelled pages that are held out from training.
 
     (``stage``, ``held_out``, ``spam``, ``found``, ``both``): held-out pages, those labelled spam,
