@@ -52,7 +52,7 @@ _ANCHOR = re.compile(r"<a\b[^<>]*>(.*?)</a>", re.S | re.I)
 _URL = re.compile(r"https?://[^\s<>\"']+|www\.[^\s<>\"']+", re.I)
 _TAGS = re.compile(r"</?(?:p|div|br|li|ul|ol|tr|td|h\d)\b[^<>]*>", re.I)
 _ANYTAG = re.compile(TAG, re.I)
-_WORD = re.compile(r"[^\W_]+(?:_[^\W_]+)*", re.U)
+_WORD = re.compile(r"\w+")
 _PRICE = re.compile(r"(?:u\$s|us\$|usd|uyu|\$u|r\$|\$|€)\s?\d|\d\s?(?:pesos|d[oó]lares|dollars|usd|uyu)\b", re.I)
 _SPEC = re.compile(r"^\W{0,6}(?:[^\W_]+ ?){1,4}:\s*\S")
 LINK, TAGGED, LISTED, PLAIN = 1, 2, 3, 0
@@ -60,7 +60,7 @@ LINK, TAGGED, LISTED, PLAIN = 1, 2, 3, 0
 
 def _lines(text: str) -> list[tuple[str, int]]:
     """(line, kind) of a text: plain, listed (prices, specifications), link or tags."""
-    text = repair(text)
+    text = repair(text).lower()
     if "<" in text:
         text = _ANCHOR.sub(lambda m: f"\n\x01{m[1]}\n", text)
         text = _ANYTAG.sub(" ", _TAGS.sub("\n", text))
@@ -125,19 +125,20 @@ def features(text: str | None) -> list[float]:
     if not text or not text.strip():
         return [0.0] * len(FEATURES)
     lines = _lines(text)
-    found = [_WORD.findall(line.lower()) for line, _ in lines]
+    found = [_WORD.findall(line) for line, _ in lines]
     words = [w for f in found for w in f]
     n = len(words)
     if not n:
         return [0.0] * len(FEATURES)
     kind = np.repeat([k for _, k in lines], [len(f) for f in found])
-    number = {w: i for i, w in enumerate(dict.fromkeys(words))}
-    ids = np.fromiter(map(number.__getitem__, words), dtype=np.int64, count=n)
-    function = np.fromiter(map(FUNCTION_WORDS.__contains__, number), dtype=bool, count=len(number))[ids]
     bare, echo = np.zeros(n, bool), np.zeros(n, bool)
     plain = np.flatnonzero(kind == PLAIN)
     if len(plain) >= 10:
-        near, distinct, width = _shares(ids[plain], function[plain])
+        own = words if len(plain) == n else [words[i] for i in plain]
+        number = {w: i for i, w in enumerate(dict.fromkeys(own))}
+        ids = np.fromiter(map(number.__getitem__, own), dtype=np.int64, count=len(own))
+        function = np.fromiter(map(FUNCTION_WORDS.__contains__, number), dtype=bool, count=len(number))[ids]
+        near, distinct, width = _shares(ids, function)
         bare[plain] = near < 0.11
         # Prose that repeats a sentence keeps its function words; keyword lists do so only in place names.
         echo[plain] = (distinct < (0.5 if width >= 32 else 0.45)) | ((distinct < 0.62) & (near < 0.25))
