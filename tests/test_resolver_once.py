@@ -8,7 +8,7 @@ import __spark_entry__ as entry
 
 DATA = Path("/root/testdata/sf0.001")
 pytestmark = pytest.mark.skipif(not DATA.exists(), reason="needs the test tables")
-NAMES = ["resolve_counters", "resolve_snapshots", "match_rate", "resolve_priority"]
+NAMES = ["resolve_counters", "resolve_snapshots", "match_rate", "resolve_priority", "source_match_rate"]
 
 
 @pytest.mark.parametrize("name", NAMES)
