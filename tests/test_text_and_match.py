@@ -123,3 +123,15 @@ def test_many_titles_and_a_long_catalogue(spark):
     found = index.best_of_all(texts, 0.8)
     assert time.process_time() - began < 10
     assert found[0] == (skus[0], pytest.approx(11 / 12)) and found[3] == (None, 0.0)
+
+
+def test_places_end_early():
+    """Most places end at the first letters of an entry: so many steps are weighed for 300 titles and 1,000 entries."""
+    skus = [f"{maker} {i // 5 + 1000} {('', 'ti', 'xt', 'plus', 'max')[i % 5]}".strip() for maker in ("ignivar", "morvane", "jadrix 9", "cornepnus") for i in range(250)]
+    texts = [f"placa grafica {maker} {1000 + i % 50}ti zorzal {i} caja hasta cuotas" for i, maker in enumerate(["ignvar", "morbane", "jadrix"] * 100)]
+    weighed, count = [], match.np.bitwise_count
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(match, "PLACES_APART", 1)
+        m.setattr(match.np, "bitwise_count", lambda v: weighed.append(len(v)) or count(v))
+        match.FuzzyIndex(skus).best_of_all(texts, 0.8)
+    assert sum(weighed) < 340_000  # 361,190 when each step was weighed before its first letter
