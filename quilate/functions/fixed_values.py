@@ -31,6 +31,12 @@ TOKEN_REWRITES = (
     (r"\b(\d+)\s*GB\s+(DDR[345])\s+(\d{3,5})(?:\s*MHz)?\b", r"\2 \1GB \3MHz"),
 )
 
+#: What a title holds if any of these rewrites finds something: first rewrite, last one, pattern. Titles without it skip them, which changes no result.
+REWRITES_NEED = (
+    (0, 15, r"(?i)\b(?:R(?:TX|X)?\s*\d{4}|Arc\s*[AB]\d|G(?:TX|T)?\s*\d{3}|PC\s*\d{3}|PC[345]\s*\d|PCIe\s+\d|Gen\s*\d|M\s*\.?\s*2\b)"),
+    (15, 18, r"(?i)\d\s+[GT]B\b|\d\s*GB\s+DDR[345]"),
+)
+
 #: Board makers by their words, in order: the first maker with any word in the title counts. Fixed values.
 BRAND_WORDS = (
     ("ASUS", ("asus", "rog", "tuf", "dual", "prime")),
@@ -82,6 +88,11 @@ MODEL_PATTERNS = (
     r"\bSSD\s+(\d+)(GB|TB)\b",
 )
 
+#: What a title holds if any of the model patterns finds something.
+MODELS_NEED = (
+    r"(?i)\b(?:R(?:TX|X)?\s*\d{4}|(?:radeon|geforce|athlon)\s*\d{4}|GV-R\d|Arc\s*[AB]\d|GTX\s*\d|Ryzen\s*[3579]|Intel\s*Core\s*i|i[3579]\d{4}|DDR[345]\s*\d+\s*GB|\d+\s*GB\s*DDR[345]|KINGSTON\s|SSD\s+\d)"
+)
+
 #: Ordered rewrites of a found model, upper case, into the catalogue's form. Fixed values; a table, because the queries and their SQL both run it.
 MODEL_REWRITES = (
     (r"\s+", " "),

@@ -42,8 +42,19 @@ def collapse(c: Column) -> Column:
 def normalize_title(title: Column) -> Column:
     """Accents, separators, token rewrites, case, noise words and spaces, in this order; NULL stays NULL."""
     t = F.regexp_replace(without_accents(title), V.SEPARATORS, " ")
-    for pattern, replacement in V.TOKEN_REWRITES:
-        t = F.regexp_replace(t, "(?i)" + pattern, java(replacement))
+
+    def rewritten(t: Column, rewrites, need: str) -> Column:
+        def all_of(x: Column) -> Column:
+            out = x
+            for pattern, replacement in rewrites:
+                out = F.regexp_replace(out, "(?i)" + pattern, java(replacement))
+            return F.when(x.rlike(need), out).otherwise(x)
+
+        # As a function of an array's element, because the text would be worked out anew for each time it is named.
+        return F.get(F.transform(F.array(t), all_of), F.lit(0))
+
+    for lo, hi, need in V.REWRITES_NEED:
+        t = rewritten(t, V.TOKEN_REWRITES[lo:hi], need)
     words = F.filter(F.split(collapse(F.lower(t)), " "), lambda w: ~w.isin(*V.NOISE_WORDS) & (w != ""))
     return F.array_join(words, " ")
 
