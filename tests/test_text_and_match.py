@@ -156,3 +156,19 @@ def test_entries_of_one_maker_are_looked_up():
     assert [search(f"caja ignivar ignivar {i} ti x") for i in range(2000)] == [f"ignivar {i} ti" for i in range(2000)]
     assert search("ignivar9") is None and search("caja") is None and search(None) is None
     assert time.process_time() - began < 0.5
+
+
+def test_texts_close_to_an_entry_are_not_searched_widely():
+    """A text with an entry of a ratio of 0.9 or more is done: the wider search weighs only the others. Entries of a lower ratio and ties stay as they are."""
+    skus = [f"{maker} {i // 5 + 1000} {('', 'ti', 'xt', 'plus', 'max')[i % 5]}".strip() for maker in ("ignivar", "morvane", "jadrix 9") for i in range(250)]
+    near = [f"placa grafica ignivar {1000 + i % 50}ti zorzal {i} caja hasta cuotas" for i in range(200)]
+    index, weighed, count = match.FuzzyIndex(skus), [], match.np.bitwise_count
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(match.np, "bitwise_count", lambda v: weighed.append(len(v)) or count(v))
+        found = index.best_of_all(near, 0.8)
+        close = sum(weighed)
+        weighed.clear()
+        m.setattr(match, "NEAR", 0.8)
+        assert index.best_of_all(near, 0.8) == found and min(f[1] for f in found) >= 0.9
+    assert close < sum(weighed) / 2
+    assert match.FuzzyIndex(["", "1", "11"]).best("11", 0.6) == ("1", 1.0)
