@@ -5,6 +5,7 @@ from pathlib import Path
 import pytest
 
 import __spark_entry__ as entry
+from quilate.functions import fixed_values as V
 
 DATA = Path("/root/testdata/sf0.001")
 pytestmark = pytest.mark.skipif(not DATA.exists(), reason="needs the test tables")
@@ -15,3 +16,9 @@ NAMES = ["resolve_counters", "resolve_snapshots", "match_rate", "resolve_priorit
 def test_titles_are_searched_once(spark, name):
     plan = entry.queries()[name](spark, str(DATA))._jdf.queryExecution().optimizedPlan().toString()
     assert "search(" not in plan and plan.count("MapInPandas") == 1
+
+
+@pytest.mark.parametrize("name", NAMES)
+def test_titles_without_a_model_skip_rewrites_and_patterns(spark, name):
+    plan = entry.queries()[name](spark, str(DATA))._jdf.queryExecution().optimizedPlan().toString()
+    assert all(f", {need}) THEN" in plan for need in (*(need for _, _, need in V.REWRITES_NEED), V.MODELS_NEED))
